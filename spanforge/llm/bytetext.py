@@ -159,3 +159,17 @@ def shingles(words: Spans, n_docs: int, width: int = 5) -> tuple[np.ndarray, np.
     keep = np.ones(len(doc), bool)
     keep[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
     return doc[keep], code[keep]
+
+
+def char_shingles(b: Bytes, lines: Spans, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of all runs of so many characters; a shorter line is one shingle."""
+    at = np.flatnonzero((b.raw & 0xC0) != 0x80)
+    lo, hi = np.searchsorted(at, lines.start), np.searchsorted(at, lines.end)
+    at = np.append(at, len(b.raw))
+    count = np.where(hi > lo, np.maximum(hi - lo - width + 1, 1), 0)
+    owner = np.repeat(np.arange(len(lo)), count)
+    first = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + lo[owner]
+    last = np.minimum(first + width, hi[owner])
+    # The line's own end, as the next character may begin behind a newline.
+    end = np.where(last == hi[owner], lines.end[owner], at[last])
+    return owner, b.codes(at[first], end)

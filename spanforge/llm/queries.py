@@ -39,7 +39,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.decontaminate import find_leaks
+
+    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.line_dedup import fuzzy_lines
+
+    return fuzzy_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_sequences, op4_quality, op5_near_duplicates, op6_token_counts)
+    f.__name__: f for f in (op1_pack_sequences, op4_quality, op5_near_duplicates, op6_token_counts, op7_decontaminate, op10_line_dedup)
 }
 ORACLES: dict[str, str] = {}
