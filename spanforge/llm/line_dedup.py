@@ -94,6 +94,8 @@ def candidates(keys: DataFrame) -> DataFrame:
                 continue
             old = len(key_t)
             key, line = np.concatenate([key_t, key]), np.concatenate([line_t, line])
+            again = np.append(False, (key[1:] == key[:-1]) & (line[1:] == line[:-1]))
+            key, line = key[~again], line[~again]  # the kept tail holds no repeats
             fresh = np.append(True, key[1:] != key[:-1])
             begin = np.flatnonzero(fresh)
             idx = np.arange(len(key)) - begin[np.cumsum(fresh) - 1]
@@ -114,8 +116,7 @@ def candidates(keys: DataFrame) -> DataFrame:
             last = np.flatnonzero(key == key[-1])[-SMALL_RUN:]
             key_t, line_t, idx_t = key[last], line[last], idx[last]
 
-    # Equal lines would count as a long run, so each (key, line) comes once.
-    dealt = keys.distinct().repartition("key").sortWithinPartitions("key", "line")
+    dealt = keys.repartition("key").sortWithinPartitions("key", "line")
     return dealt.mapInArrow(run, "large boolean, a long, b long")
 
 

@@ -275,3 +275,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # An empty set is linked with nothing, and rows with the same id are one document.
     comp_id = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", comp_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def clean(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+    """The kept documents with all their columns."""
+    gone = written(near_duplicates(docs, percent=percent).where("NOT kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
