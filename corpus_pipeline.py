@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanforge.llm.storage import written
 
@@ -16,7 +15,37 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return score(docs, train(docs, labels), keep=tuple(docs.columns)).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal or similar lines the first stays; a document that loses all its words goes."""
+    from spanforge.llm.line_dedup import clean
+
+    return clean(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays."""
+    from spanforge.llm.near_dedup import clean
+
+    return clean(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    from spanforge.llm.decontaminate import clean
+
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences."""
+    import public_tokenizers
+
+    from spanforge.llm.packing import digest, pack
+
+    return digest(pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
 #: Classifier and tokenizer can't be expressed in SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
