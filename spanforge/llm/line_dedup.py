@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,31 +35,26 @@ HASHES, ROWS = 64, 4
 PERCENT = 80
 SMALL_RUN = 10
 BROADCAST_ROWS = 1_000_000
-_SLICE = 1 << 20
+_SLICE = 1 << 19
+WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def _solid(b: Bytes) -> Spans:
-    """The lines that hold a word, with their number in the text as code-free spans."""
+    """The distinct lines that hold a word, named as Spark's xxhash64 names them."""
     lines = b.lines()
     ink = np.concatenate([[0], np.cumsum(~b.blank())])
-    use = ink[lines.end] > ink[lines.start]
-    first = np.searchsorted(lines.doc, np.arange(b.n))
-    lines.number = (np.arange(len(lines.doc)) - first[lines.doc])[use]
-    for name in ("start", "end", "doc", "code"):
-        setattr(lines, name, getattr(lines, name)[use])
-    return lines
+    use = np.flatnonzero(ink[lines.end] > ink[lines.start])
+    raw = b.raw.tobytes()
+    name = np.fromiter((xxhash.xxh64_intdigest(raw[s:e], 42) for s, e in zip(lines.start[use].tolist(), lines.end[use].tolist(), strict=True)), np.uint64, len(use))
+    name, pick = np.unique(name.view(np.int64), return_index=True)
+    use = use[pick]
+    return Spans(lines.start[use], lines.end[use], lines.doc[use], name)
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of every line with a word."""
-    src = docs.select(F.col("doc_id").cast("long"), "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1):
-            lines = _solid(Bytes(part.column(1)))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(lines.doc)), pa.array(lines.number.astype(np.int32)), pa.array(lines.code.view(np.int64))], names=["doc_id", "line_no", "line"])
-
-    return src.mapInArrow(run, "doc_id long, line_no int, line long")
+    """(doc_id, line_no, line, content) of every line with a word."""
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "content"))
+    return rows.where(F.col("content").rlike(WORD)).withColumn("line", F.xxhash64("content"))
 
 
 def line_bands(docs: DataFrame) -> DataFrame:
@@ -69,13 +65,12 @@ def line_bands(docs: DataFrame) -> DataFrame:
         for part in slices(batches, 0, _SLICE):
             b = Bytes(part.column(0))
             lines = _solid(b)
-            code, pick = np.unique(lines.code.view(np.int64), return_index=True)
-            new = ~np.isin(code, seen)
-            code, pick = code[new], pick[new]
-            seen = np.concatenate([seen, code])[-200_000:]  # spares repeated work only
-            some = Spans(lines.start[pick], lines.end[pick], lines.doc[pick], lines.code[pick])
-            owner, shingle = char_shingles(b, some, WIDTH)
-            keys = bands(minima(owner, shingle, len(pick), HASHES), ROWS)
+            new = ~np.isin(lines.code, seen)
+            lines = Spans(lines.start[new], lines.end[new], lines.doc[new], lines.code[new])
+            code = lines.code
+            seen = np.concatenate([seen, code])[-100_000:]  # spares repeated work only
+            owner, shingle = char_shingles(b, lines, WIDTH)
+            keys = bands(minima(owner, shingle, len(code), HASHES), ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(code, keys.shape[1]))], names=["key", "line"])
 
     return docs.select("text").mapInArrow(run, "key long, line long")
@@ -122,18 +117,8 @@ def candidates(keys: DataFrame) -> DataFrame:
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line, content) of the wanted lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 0):
-            b = Bytes(part.column(0))
-            lines = _solid(b)
-            code, pick = np.unique(lines.code.view(np.int64), return_index=True)
-            raw = b.raw.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array([raw[s:e] for s, e in zip(lines.start[pick], lines.end[pick], strict=True)], pa.binary())], names=["line", "content"])
-
-    rows = docs.select("text").mapInArrow(run, "line long, content binary")
     few = wanted.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(wanted) if few else wanted, "line", "left_semi").groupBy("line").agg(F.first("content").alias("content"))
+    return line_rows(docs).join(F.broadcast(wanted) if few else wanted, "line", "left_semi").select("line", "content").dropDuplicates(["line"])
 
 
 def line_sets(texts: DataFrame) -> DataFrame:
@@ -172,11 +157,17 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def _verify(b: pa.RecordBatch, percent: int) -> pa.RecordBatch:
     n = b.num_rows
-    owner, code = (np.concatenate(x) for x in zip(_sets(Bytes(b.column(2))), _sets(Bytes(b.column(3))), strict=True))
-    order = np.lexsort((code, owner))
-    twice = (owner[order][1:] == owner[order][:-1]) & (code[order][1:] == code[order][:-1])
-    both = np.bincount(owner[order][1:][twice], minlength=n)
-    total = np.bincount(owner, minlength=n) - both
+    sides = []
+    for col in (2, 3):
+        t = Bytes(b.column(col))
+        owner, code = char_shingles(t, Spans(t.bounds[:-1], t.bounds[1:], np.arange(n), np.zeros(n, np.uint64)), WIDTH)
+        # One sort does for all pairs of the batch: the pair's number, then 54 bits of the hash.
+        sides.append(np.unique((owner.astype(np.uint64) << np.uint64(54)) | (code >> np.uint64(10))))
+    joint = np.concatenate(sides)
+    joint.sort()
+    of = (joint >> np.uint64(54)).astype(np.int64)
+    both = np.bincount(of[1:][joint[1:] == joint[:-1]], minlength=n)
+    total = np.bincount(of, minlength=n) - both
     return b.select([0, 1]).filter(pa.array(100 * both >= percent * total))
 
 
@@ -192,9 +183,11 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     members = found.where("large").select(F.col("a").alias("key"), F.col("b").alias("node"))
     if not members.isEmpty():
         members = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
-        links = large_links(members, line_sets(texts), links, percent)
+        crowd = members.select(F.col("node").alias("line")).distinct()
+        sets = written(line_sets(texts.join(crowd, "line", "left_semi")), "linesets")
+        links = large_links(members, sets, links, percent)
     comp = connected_components(links)
-    rows = written(line_rows(src), "lines")
+    rows = written(line_rows(src).select("doc_id", "line_no", "line"), "lines")
     few = comp.count() <= BROADCAST_ROWS
     comp = comp.select(F.col("node").alias("line"), F.col("component").alias("grp"))
     grouped = rows.join(F.broadcast(comp) if few else comp, "line", "left").select("doc_id", "line_no", F.coalesce("grp", "line").alias("grp"))
@@ -218,7 +211,7 @@ def clean(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     both = docs.join(F.broadcast(per_doc) if few else per_doc, docs["doc_id"] == F.col("__id"), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__drop", i))
     out = both.withColumn("__text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept)))
-    out = out.where(F.col("__drop").isNull() | F.col("__text").rlike("[^\\x20\\x09-\\x0D]"))
+    out = out.where(F.col("__drop").isNull() | F.col("__text").rlike(WORD))
     cols = []
     for c in docs.columns:
         changed = F.col("__text") if c == "text" else F.when(F.col("__drop").isNull(), F.col(c)).otherwise(F.length("__text")) if c == "n_chars" else F.col(c)
