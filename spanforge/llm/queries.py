@@ -57,6 +57,12 @@ def op9_archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.pitman_yor import score
+
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm.chat import repair
 
@@ -70,7 +76,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_sequences, op4_quality, op5_near_duplicates, op6_token_counts, op7_decontaminate, op8_main_text, op9_archive_round_trip, op3_role_repair, op10_line_dedup)
+    f.__name__: f for f in (op1_pack_sequences, op4_quality, op5_near_duplicates, op6_token_counts, op7_decontaminate, op8_main_text, op9_archive_round_trip, op2_language_model, op3_role_repair, op10_line_dedup)
 }
 #: Words of a text, lower-cased, and its five-word shingles; duckdb.
 _SHINGLES = r"""
