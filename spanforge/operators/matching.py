@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanforge import schema as S
 from spanforge.functions import loose_json as J
@@ -68,12 +70,6 @@ def infer(lefts: list[int], headers: list[tuple[int, list[str]]]) -> tuple[list,
     return columns, safe
 
 
-@F.pandas_udf("fields array<string>, safe boolean")
-def _infer(lefts: pd.Series, xs: pd.Series, fields: pd.Series) -> pd.DataFrame:
-    got = [infer([int(v) for v in e], [(int(p), list(f)) for p, f in zip(x, fs, strict=True)]) for e, x, fs in zip(lefts, xs, fields, strict=True)]
-    return pd.DataFrame({"fields": [g[0] for g in got], "safe": [g[1] for g in got]})
-
-
 def infer_fields(spans: DataFrame) -> DataFrame:
     """doc_id, page, fields, safe: the field of every column of a page."""
     t = L.tables(spans)
@@ -81,8 +77,15 @@ def infer_fields(spans: DataFrame) -> DataFrame:
     t = t.withColumn("head", head)
     xs = F.transform("head", lambda z: z["x"])
     fields = F.transform("head", lambda z: C.header_candidates(z["text"]))
-    out = t.select(*L.KEY, _infer(F.col("lefts"), xs, fields).alias("r"))
-    return out.select(*L.KEY, "r.fields", "r.safe")
+    t = t.select(*L.KEY, "lefts", xs.alias("xs"), fields.alias("found"))
+    schema = T.StructType([t.schema[c] for c in L.KEY] + [T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("safe", T.BooleanType())])
+
+    def run(frames):
+        for f in frames:
+            got = [infer([int(v) for v in e], [(int(p), list(c)) for p, c in zip(x, cs, strict=True)]) for e, x, cs in zip(f["lefts"], f["xs"], f["found"], strict=True)]
+            yield pd.DataFrame({"doc_id": f["doc_id"], "page": f["page"], "fields": [g[0] for g in got], "safe": [g[1] for g in got]})
+
+    return t.mapInPandas(run, schema)
 
 
 def order_ok(mapping: Column) -> Column:
@@ -100,8 +103,6 @@ def modal_columns(pages: DataFrame) -> DataFrame:
 
 def sample_rows(grid_rows: DataFrame, limit: int) -> DataFrame:
     """Row 0 of each page, then row 1 of each page, ... up to limit.  grid_rows: (doc_id, page, row_idx, ...)."""
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("doc_id").orderBy("row_idx", "page")
     return grid_rows.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= limit)
 
@@ -185,17 +186,15 @@ def classify_columns(grid: DataFrame, tolerance: float = 0.5) -> DataFrame:
     hit = row.select("doc_id", F.explode(F.array_distinct(triples)).alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("hits"))
     rows = row.groupBy("doc_id").agg(F.count("*").alias("rows"))
     best = hit.join(rows, "doc_id").where("hits = rows").groupBy("doc_id").agg(F.min("t").alias("t"))
-    d = p.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "decimals"))).alias("d"))
-    both = best.join(d, "doc_id")
-    i, j = F.col("t.i"), F.col("t.j")
-    di, dj = F.try_element_at("d", i), F.try_element_at("d", j)
-    swap = di > dj
-    sums = both.select("doc_id", F.when(swap, j).otherwise(i).alias("q"), F.when(swap, i).otherwise(j).alias("r"), F.col("t.k").alias("k"))
-    x = p.join(sums, "doc_id", "left")
-    text = x.withColumn("is_text", (F.col("numeric") < 1.0) & (F.col("dated") < 0.5) & (F.col("inches") < 0.5))
-    longest = text.where("is_text").groupBy("doc_id").agg(F.max_by("col_idx", F.struct("mean_length", -F.col("col_idx"))).alias("longest"))
-    keyed = text.where("is_text AND kinds = n").groupBy("doc_id").agg(F.min("col_idx").alias("first_key"))
-    y = text.join(longest, "doc_id", "left").join(keyed, "doc_id", "left")
+    w = W.partitionBy("doc_id")  # about ten columns a document
+    q = p.join(best, "doc_id", "left")
+    of = lambda i: F.max(F.when(F.col("col_idx") == F.col(f"t.{i}"), F.col("decimals"))).over(w)
+    q = q.withColumn("swap", of("i") > of("j")).withColumn("is_text", (F.col("numeric") < 1.0) & (F.col("dated") < 0.5) & (F.col("inches") < 0.5))
+    y = q.select(
+        "*", F.when(F.col("swap"), F.col("t.j")).otherwise(F.col("t.i")).alias("q"), F.when(F.col("swap"), F.col("t.i")).otherwise(F.col("t.j")).alias("r"), F.col("t.k").alias("k"),
+        F.max_by("col_idx", F.when(F.col("is_text"), F.struct("mean_length", -F.col("col_idx")))).over(w).alias("longest"),
+        F.min(F.when(F.col("is_text") & (F.col("kinds") == F.col("n")), F.col("col_idx"))).over(w).alias("first_key"),
+    )
     c = F.col("col_idx")
     field = (
         F.when(c == F.col("k"), None).when(c == F.col("q"), "QTY").when(c == F.col("r"), "PRICE").when(F.col("dated") >= 0.5, "NEED_DATE").when(F.col("inches") >= 0.5, "WIDE")

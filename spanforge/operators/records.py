@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge import schema as S
@@ -47,6 +47,11 @@ def validate_envelopes(envelopes: DataFrame) -> DataFrame:
     return envelopes.select("file", F.explode(faults).alias("problem"))
 
 
+def product(qty: Column, price: Column) -> Column:
+    """The value of a line to two places, multiplied exactly."""
+    return F.round(qty.cast("decimal(16,2)") * price.cast("decimal(16,3)"), 2).cast("double")
+
+
 def amounts(raw: DataFrame) -> DataFrame:
     """doc_id, ORD_NO, amount_text: the amount cell by order number, the last of equals."""
     return raw.where("ord_no <> ''").groupBy("doc_id", F.col("ord_no").alias("ORD_NO")).agg(F.max_by("amount", "rec_seq").alias("amount_text"))
@@ -55,5 +60,5 @@ def amounts(raw: DataFrame) -> DataFrame:
 def cross_check(records: DataFrame, amount: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """doc_id, rec_seq, ORD_NO, calc, amount, ok of the records that have all three numbers."""
     both = records.join(amount, ["doc_id", "ORD_NO"], "left").withColumn("amount", C.to_number(F.col("amount_text"), 2))
-    both = both.where("QTY IS NOT NULL AND PRICE IS NOT NULL AND amount IS NOT NULL").withColumn("calc", F.round(F.col("QTY") * F.col("PRICE"), 2))
+    both = both.where("QTY IS NOT NULL AND PRICE IS NOT NULL AND amount IS NOT NULL").withColumn("calc", product(F.col("QTY"), F.col("PRICE")))
     return both.select("doc_id", "rec_seq", "ORD_NO", "calc", "amount", (F.abs(F.col("calc") - F.col("amount")) <= tolerance).alias("ok"))
