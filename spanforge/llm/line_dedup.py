@@ -2,9 +2,10 @@
 
 A node is a distinct line that holds a word, named by a 64-bit hash.  Each has 64 minima
 over its shingles of eight characters, in 16 bands of four (a pair at similarity 0.8 is
-missed with probability 2e-4, at 0.85 with 8e-6).  Rows of a band are sorted, not gathered:
-a run of up to ten lines gives its pairs, which are verified on the exact sets, at 0.8 or
-more; longer runs are compared in blocks that give a spanning forest of their links.
+missed with probability 2e-4, at 0.85 with 8e-6).  Band keys travel to buckets as arrays,
+a line's once per slice of texts.  A run of up to ten lines with one key gives its pairs,
+which are verified on the exact sets, at 0.8 or more; longer runs are compared in blocks
+that give a spanning forest of their links.
 Components come from alternating stars, a distributed union-find, and of all lines of a
 component the first by (doc_id, line_no) stays.
 
@@ -35,7 +36,7 @@ HASHES, ROWS = 64, 4
 PERCENT = 80
 SMALL_RUN = 10
 BROADCAST_ROWS = 1_000_000
-_SLICE = 1 << 19
+_SLICE = 1 << 17
 WORD = "[^\\x20\\x09-\\x0D]"
 
 
@@ -57,62 +58,74 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("content").rlike(WORD)).withColumn("line", F.xxhash64("content"))
 
 
-def line_bands(docs: DataFrame) -> DataFrame:
-    """(key, line), one row a band; lines that recur inside a slice give one set of rows."""
+def line_bands(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, keys, lines): the bands of many lines, dealt to buckets of keys as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, size
+            key, line = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key)
+            key, line = key[order], line[order]
+            at = ((key >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
+            begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            ends = np.append(begin[1:], len(key))
+            held, size = [], 0
+            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(begin, ends, strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(at[begin].astype(np.int64)), cut(key), cut(line)], names=["bucket", "keys", "lines"])
+
         seen = np.zeros(0, np.int64)
         for part in slices(batches, 0, _SLICE):
             b = Bytes(part.column(0))
             lines = _solid(b)
             new = ~np.isin(lines.code, seen)
             lines = Spans(lines.start[new], lines.end[new], lines.doc[new], lines.code[new])
-            code = lines.code
-            seen = np.concatenate([seen, code])[-100_000:]  # spares repeated work only
+            seen = np.concatenate([seen, lines.code])[-20_000:]  # spares repeated work only
             owner, shingle = char_shingles(b, lines, WIDTH)
-            keys = bands(minima(owner, shingle, len(code), HASHES), ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(code, keys.shape[1]))], names=["key", "line"])
+            keys = bands(minima(owner, shingle, len(lines.code), HASHES), ROWS).view(np.uint64)
+            held.append((keys.ravel(), np.repeat(lines.code, keys.shape[1])))
+            size += keys.size
+            if size >= 1 << 20:
+                yield flush()
+        if size:
+            yield flush()
 
-    return docs.select("text").mapInArrow(run, "key long, line long")
+    return docs.select("text").mapInArrow(run, "bucket long, keys binary, lines binary")
 
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """From the runs of equal keys: (False, a, b) for all pairs of a run of at most SMALL_RUN
-    lines, (True, key, line) for every line of a longer one.
+def candidates(dealt: DataFrame) -> DataFrame:
+    """From the lines of equal keys: (False, a, b) for all pairs of at most SMALL_RUN lines,
+    (True, key, line) for every line of a longer run.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_t, line_t, idx_t = (np.zeros(0, np.int64) for _ in range(3))
-        for b in batches:
-            key, line = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(key):
-                continue
-            old = len(key_t)
-            key, line = np.concatenate([key_t, key]), np.concatenate([line_t, line])
-            again = np.append(False, (key[1:] == key[:-1]) & (line[1:] == line[:-1]))
-            key, line = key[~again], line[~again]  # the kept tail holds no repeats
-            fresh = np.append(True, key[1:] != key[:-1])
-            begin = np.flatnonzero(fresh)
-            idx = np.arange(len(key)) - begin[np.cumsum(fresh) - 1]
-            if old:  # the first run goes on from the batch before
-                idx[: begin[1] if len(begin) > 1 else len(key)] += idx_t[0]
-            now = np.arange(len(key)) >= old
-            big, one, two = [], [], []
-            over = np.flatnonzero(now & (idx >= SMALL_RUN))
-            turn = np.flatnonzero(now & (idx == SMALL_RUN))
-            whole = np.concatenate([over, *(turn - k for k in range(1, SMALL_RUN + 1))])
-            for shift in range(1, SMALL_RUN):
-                i = np.flatnonzero(now & (idx >= shift) & (idx < SMALL_RUN))
-                x, y = line[i], line[i - shift]
-                one.append(np.minimum(x, y))
-                two.append(np.maximum(x, y))
-            big = np.repeat([True, False], [len(whole), sum(map(len, one))])
-            yield pa.RecordBatch.from_arrays([pa.array(big), pa.array(np.concatenate([key[whole], *one])), pa.array(np.concatenate([line[whole], *two]))], names=["large", "a", "b"])
-            last = np.flatnonzero(key == key[-1])[-SMALL_RUN:]
-            key_t, line_t, idx_t = key[last], line[last], idx[last]
-
-    dealt = keys.repartition("key").sortWithinPartitions("key", "line")
-    return dealt.mapInArrow(run, "large boolean, a long, b long")
+    def run(t: pa.Table) -> pa.Table:
+        key = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("keys")])
+        line = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t.column("lines")])
+        order = np.argsort(key)
+        key, line = key[order], line[order]
+        same = key[1:] == key[:-1]
+        shared = np.append(same, False) | np.append(False, same)  # the great part of keys stands alone
+        key, line = key[shared], line[shared]
+        order = np.lexsort((line, key))
+        key, line = key[order], line[order]
+        fresh = np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1]))[: len(key)]
+        key, line = key[fresh], line[fresh]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+        length = np.diff(np.append(begin, len(key)))
+        large = np.repeat(length > SMALL_RUN, length)
+        one, two = [key[large].view(np.int64)], [line[large]]
+        key, line = key[~large], line[~large]
+        for shift in range(1, SMALL_RUN):
+            i = np.flatnonzero(key[shift:] == key[:-shift]) if shift < len(key) else np.zeros(0, np.int64)
+            one.append(np.minimum(line[i], line[i + shift]))
+            two.append(np.maximum(line[i], line[i + shift]))
+        n = len(one[0])
+        return pa.table({"large": pa.array(np.arange(sum(map(len, one))) < n), "a": pa.array(np.concatenate(one)), "b": pa.array(np.concatenate(two))})
+
+    return dealt.groupBy("bucket").applyInArrow(run, "large boolean, a long, b long")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -121,26 +134,16 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return line_rows(docs).join(F.broadcast(wanted) if few else wanted, "line", "left_semi").select("line", "content").dropDuplicates(["line"])
 
 
-def line_sets(texts: DataFrame) -> DataFrame:
-    """(node, codes): the shingle sets of lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1, _SLICE):
-            b = Bytes(part.column(1))
-            owner, code = _sets(b)
-            at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b.n))])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([code[at[i] : at[i + 1]].tobytes() for i in range(b.n)], pa.binary())], names=["node", "codes"])
-
-    return texts.select("line", "content").mapInArrow(run, "node long, codes binary")
-
-
-def _sets(b: Bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the distinct shingles, sorted, each text taken as one line."""
+def _sets_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The distinct shingles of each text."""
+    b = Bytes(column.combine_chunks())
     owner, code = char_shingles(b, Spans(b.bounds[:-1], b.bounds[1:], np.arange(b.n), np.zeros(b.n, np.uint64)), WIDTH)
-    order = np.lexsort((code, owner))
-    owner, code = owner[order], code[order]
-    keep = np.append(True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])) if len(owner) else np.zeros(0, bool)
-    return owner[keep], code[keep]
+    at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b.n))])
+    out = []
+    for i in range(b.n):
+        own = np.sort(code[at[i] : at[i + 1]])
+        out.append(own[np.append(True, own[1:] != own[:-1])[: len(own)]])
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -148,8 +151,8 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                yield _verify(b.slice(at, 1024), percent)
+            for at in range(0, b.num_rows, 128):
+                yield _verify(b.slice(at, 128), percent)
 
     two = pairs.join(texts.select(F.col("line").alias("a"), F.col("content").alias("ta")), "a").join(texts.select(F.col("line").alias("b"), F.col("content").alias("tb")), "b")
     return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
@@ -162,7 +165,8 @@ def _verify(b: pa.RecordBatch, percent: int) -> pa.RecordBatch:
         t = Bytes(b.column(col))
         owner, code = char_shingles(t, Spans(t.bounds[:-1], t.bounds[1:], np.arange(n), np.zeros(n, np.uint64)), WIDTH)
         # One sort does for all pairs of the batch: the pair's number, then 54 bits of the hash.
-        sides.append(np.unique((owner.astype(np.uint64) << np.uint64(54)) | (code >> np.uint64(10))))
+        side = np.sort((owner.astype(np.uint64) << np.uint64(54)) | (code >> np.uint64(10)))
+        sides.append(side[np.append(True, side[1:] != side[:-1])[: len(side)]])
     joint = np.concatenate(sides)
     joint.sort()
     of = (joint >> np.uint64(54)).astype(np.int64)
@@ -174,7 +178,8 @@ def _verify(b: pa.RecordBatch, percent: int) -> pa.RecordBatch:
 def fuzzy_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """doc_id, line_no, first_doc_id, first_line_no, kept: one row per line with a word."""
     src = docs.select(F.col("doc_id").cast("long"), "text")
-    found = written(candidates(line_bands(src)), "candidates")
+    buckets = max(8, 2 * src.rdd.getNumPartitions())
+    found = written(candidates(line_bands(src, buckets)), "candidates")
     pairs = found.where("NOT large").select("a", "b").distinct()
     ends = F.when(F.col("large"), F.array("b")).otherwise(F.array("a", "b"))
     wanted = written(found.select(F.explode(ends).alias("line")).distinct(), "wanted")
@@ -184,8 +189,8 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     if not members.isEmpty():
         members = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
         crowd = members.select(F.col("node").alias("line")).distinct()
-        sets = written(line_sets(texts.join(crowd, "line", "left_semi")), "linesets")
-        links = large_links(members, sets, links, percent)
+        sets = texts.join(crowd, "line", "left_semi").select(F.col("line").alias("node"), F.col("content").alias("codes"))
+        links = large_links(members, sets, links, percent, _sets_of)
     comp = connected_components(links)
     rows = written(line_rows(src).select("doc_id", "line_no", "line"), "lines")
     few = comp.count() <= BROADCAST_ROWS

@@ -22,7 +22,7 @@ id; columns beside id and text are ignored; an empty table gives an empty result
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -201,23 +201,29 @@ def forest(node: np.ndarray, group: np.ndarray, codes: list[np.ndarray], percent
     return out
 
 
-def block_links(blocks: DataFrame, percent: int) -> DataFrame:
+def stored_sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def block_links(blocks: DataFrame, percent: int, sets_of: Callable = stored_sets) -> DataFrame:
     """Links inside blocks of (block columns g1, g2, g3; node, grp, codes)."""
 
     def run(table: pa.Table) -> pa.Table:
-        codes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("codes")]
+        codes = sets_of(table.column("codes"))
         got = forest(table.column("node").to_numpy(), table.column("grp").to_numpy(), codes, percent)
         return pa.table({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([y for _, y in got], pa.int64())})
 
     return blocks.groupBy("g1", "g2", "g3").applyInArrow(run, "a long, b long")
 
 
-def large_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links of large bands, beyond those known.  members: (key, node, n)."""
+def large_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int, sets_of: Callable = stored_sets) -> DataFrame:
+    """Links of large bands, beyond those known.  members: (key, node, n); sets: (node, codes),
+    where sets_of makes a list of distinct hashes from a column of codes.
+    """
     # First inside blocks, each band with a dealing of its own.
     parts = F.ceil(F.col("n") / BLOCK)
     first = members.select("node", F.col("key").alias("g1"), F.pmod(F.xxhash64("key", "node"), parts).alias("g2"), F.lit(0).cast("long").alias("g3"))
-    inner = block_links(first.join(sets, "node").withColumn("grp", F.col("node")), percent)
+    inner = block_links(first.join(sets, "node").withColumn("grp", F.col("node")), percent, sets_of)
     links = written(links.unionByName(inner), "links")
     # Then between blocks of bands that still hold several classes.
     comp = connected_components(links)
@@ -246,7 +252,7 @@ def large_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent:
     sides = pairs.select("key", "b1", "b2", F.col("b1").alias("block")).unionByName(pairs.where("b1 <> b2").select("key", "b1", "b2", F.col("b2").alias("block")))
     rows = placed.withColumn("block", F.xxhash64(F.coalesce("class", F.lit(-1)), F.col("class").isNull(), "part")).join(sides, ["key", "block"])
     rows = rows.select("node", "grp", F.col("key").alias("g1"), F.col("b1").alias("g2"), F.col("b2").alias("g3")).join(sets, "node")
-    return links.unionByName(block_links(rows, percent))
+    return links.unionByName(block_links(rows, percent, sets_of))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
