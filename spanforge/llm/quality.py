@@ -113,13 +113,15 @@ def fit(texts: list[str], good: list[int], epochs: int = 60, rate: float = 0.5,
         for kind, (doc, bucket) in enumerate(features(b, b.words())):
             key, count = np.unique((doc << BITS) | bucket, return_counts=True)
             d = key >> BITS
-            rows.append(d + at)
-            cols.append((key & ((1 << BITS) - 1)) + (kind << BITS))
-            vals.append(count / np.bincount(doc, minlength=b.n)[d])
+            # The narrow types halve the driver's memory, whose bound is that of the sample.
+            rows.append((d + at).astype(np.int32))
+            cols.append(((key & ((1 << BITS) - 1)) + (kind << BITS)).astype(np.int32))
+            vals.append((count / np.bincount(doc, minlength=b.n)[d]).astype(np.float32))
     rows, cols, vals = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
     held = np.arange(n) % 5 == 4
     use = ~held[rows]
-    r, c, v = rows[use], cols[use], vals[use]
+    r, c, v, hidden = rows[use], cols[use], vals[use], (rows[~use], cols[~use], vals[~use])
+    del rows, cols, vals, use
     # Each bucket's step is scaled by its weight in the sample, as rare n-grams have tiny means.
     scale = np.sqrt(np.bincount(c, v * v, minlength=weights.size) + 1e-3)
     w, bias = weights.ravel(), 0.0
@@ -132,7 +134,8 @@ def fit(texts: list[str], good: list[int], epochs: int = 60, rate: float = 0.5,
         grad2 += g * g
         w -= rate * g / np.sqrt(grad2) * np.minimum(1.0, scale)
         bias -= rate * err.sum()
-    z = np.bincount(rows, w[cols] * vals, minlength=n) + bias
+    del r, c, v
+    z = np.bincount(hidden[0], w[hidden[1]] * hidden[2], minlength=n) + bias
     slope, offset = _platt(z[held], y[held])
     return w.reshape(weights.shape).astype(np.float32), float(bias), slope, offset
 
