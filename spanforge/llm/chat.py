@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.llm.bytetext import lean, tidy
+
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
@@ -193,7 +195,7 @@ def repair(conversations: DataFrame) -> DataFrame:
 
     src = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     dealt = src.repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
-    rows = written(dealt.mapInArrow(_solved_here, _DDL), "turns")
+    rows = written(lean(dealt).mapInArrow(tidy(_solved_here), _DDL), "turns")
     done = rows.where("action IS NOT NULL")
     loose = rows.where("action IS NULL").select("conv_id", "block", "pos", "turn", "role", "text")
 

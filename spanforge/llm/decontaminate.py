@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.bytetext import Bytes, mix, shingles, slices
+from spanforge.llm.bytetext import Bytes, lean, mix, shingles, slices, tidy
 
 PERCENT = 80
 BLOCK_BYTES = 16 << 20
@@ -107,7 +107,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT,
                 cols = [part.column(0).take(pa.array([x[0] for x in got], pa.int64())), pa.array([index.ids[x[1]] for x in got], pa.int64()), *(pa.array([x[k] for x in got], pa.int64()) for k in (2, 3))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "n_item", "n_shared"])
 
-        part = src.mapInArrow(run, schema)
+        part = lean(src).mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -128,5 +128,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT, bloc
                 keep[[x[0] for x in index.search(doc, code, b.n)]] = False
                 yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = lean(docs).mapInArrow(tidy(run), docs.schema)
     return docs

@@ -27,6 +27,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.llm.bytetext import lean, tidy
+
 SPACE = "▁"
 MAX_STATES = 400_000
 MAX_UNITS = 1_500_000
@@ -265,5 +267,5 @@ def count_tokens(df: DataFrame, model_file: str, *, text_col: str = "text", keep
             sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts, pa.int64()), sizes], names=[*names, "n_tokens", "n_bytes"])
 
-    out = src.mapInArrow(run, schema)
+    out = lean(src).mapInArrow(tidy(run), schema)
     return out.select(*keep, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

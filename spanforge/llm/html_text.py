@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.llm.bytetext import lean, tidy
+
 # Element names of the HTML standard by their role in layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math select object canvas".split())
@@ -305,4 +307,4 @@ def extract(pages: DataFrame, *, keep: tuple[str, ...] = ("page_id", "url"), lab
                 texts = [t.text(p >= THRESHOLD) for t, p in zip(trees, marginals(trees, model), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return src.mapInArrow(run, schema)
+    return lean(src).mapInArrow(tidy(run), schema)

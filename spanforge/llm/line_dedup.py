@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.bytetext import Bytes, Spans, char_shingles, slices
+from spanforge.llm.bytetext import Bytes, Spans, char_shingles, lean, slices, tidy
 from spanforge.llm.components import connected_components
 from spanforge.llm.minhash import bands, minima
 from spanforge.llm.near_dedup import large_links
@@ -93,7 +93,7 @@ def line_bands(docs: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket long, keys binary, lines binary")
+    return lean(docs.select("text")).mapInArrow(tidy(run), "bucket long, keys binary, lines binary")
 
 
 def candidates(dealt: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 yield _verify(b.slice(at, 128), percent)
 
     two = pairs.join(texts.select(F.col("line").alias("a"), F.col("content").alias("ta")), "a").join(texts.select(F.col("line").alias("b"), F.col("content").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return lean(two.select("a", "b", "ta", "tb")).mapInArrow(tidy(run), "a long, b long")
 
 
 def _verify(b: pa.RecordBatch, percent: int) -> pa.RecordBatch:

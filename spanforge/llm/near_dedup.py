@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.bytetext import Bytes, shingles, slices
+from spanforge.llm.bytetext import Bytes, lean, shingles, slices, tidy
 from spanforge.llm.components import connected_components
 from spanforge.llm.minhash import bands, minima
 from spanforge.llm.storage import written
@@ -62,7 +62,7 @@ def node_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sig_col = pa.FixedSizeBinaryArray.from_buffers(pa.binary(HASHES * 4), b.n, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), sig_col], names=["doc_id", "n_shingles", "set_a", "set_b", "sig"])
 
-    return src.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
+    return lean(src).mapInArrow(tidy(run), "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def band_keys(nodes: DataFrame) -> DataFrame:
                 node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], names=["key", "node"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
+    return lean(nodes.select("node", "sig")).mapInArrow(tidy(run), "key long, node long")
 
 
 def _matrix(sigs: pa.Array) -> np.ndarray:
@@ -96,7 +96,7 @@ def node_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
             at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.n))])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([code[at[i] : at[i + 1]].tobytes() for i in range(b.n)], pa.binary())], names=["node", "codes"])
 
-    return src.mapInArrow(run, "node long, codes binary")
+    return lean(src).mapInArrow(tidy(run), "node long, codes binary")
 
 
 def small_pairs(members: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def small_pairs(members: DataFrame) -> DataFrame:
             yield _pairs(rest)
 
     dealt = members.repartition("key").sortWithinPartitions("key").select("key", "node", "sig")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return lean(dealt).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _pairs(t: pa.Table) -> pa.RecordBatch:
@@ -161,7 +161,7 @@ def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     withs = pairs.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("ca")), "a").join(sets.select(F.col("node").alias("b"), F.col("codes").alias("cb")), "b")
-    return withs.select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long")
+    return lean(withs.select("a", "b", "ca", "cb")).mapInArrow(tidy(run), "a long, b long")
 
 
 def forest(node: np.ndarray, group: np.ndarray, codes: list[np.ndarray], percent: int) -> list[tuple[int, int]]:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.bytetext import Bytes, mix, slices
+from spanforge.llm.bytetext import Bytes, lean, mix, slices, tidy
 from spanforge.llm.storage import written
 
 CONTEXTS = 256
@@ -121,7 +121,7 @@ def cut(docs: DataFrame, buckets: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.mapInArrow(run, "slice long, bucket long, blob binary")
+    return lean(docs).mapInArrow(tidy(run), "slice long, bucket long, blob binary")
 
 
 def _stirling() -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.bytetext import Bytes, Spans, slices, windows
+from spanforge.llm.bytetext import Bytes, Spans, lean, slices, tidy, windows
 
 TRAIN_ROWS = 3000
 TRAIN_BYTES = 20_000
@@ -185,6 +185,6 @@ def score(docs: DataFrame, model: tuple, *, threshold: float = THRESHOLD, keep:
             cols = [*part.columns[:-1], *(pa.array(counts[c].astype(np.int64)) for c in longs), pa.array(p)]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *longs, "probability"])
 
-    out = src.mapInArrow(run, schema)
+    out = lean(src).mapInArrow(tidy(run), schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("probability") >= threshold))

@@ -30,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.llm.bytetext import lean, tidy
 from spanforge.llm.storage import new_path, written
 
 DICT_MAGIC = 0x184D2A5D
@@ -104,7 +105,7 @@ def write_archives(pages: DataFrame, out_dir: str, *, min_payload: int = 0, arch
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "size", "digest", "frame"])
 
-    frames = written(src.mapInArrow(compress, "page_id long, url string, size long, digest string, frame binary"), "frames")
+    frames = written(lean(src).mapInArrow(tidy(compress), "page_id long, url string, size long, digest string, frame binary"), "frames")
     again = frames.where(F.col("size") >= min_payload).groupBy("digest", "size").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
     few = again.count() <= BROADCAST_ROWS
     rows = frames.join(F.broadcast(again) if few else again, ["digest", "size"], "left").select("page_id", "url", "size", "digest", "top", F.when(F.col("top").isNull() | F.col("page_id").eqNullSafe(F.col("top")), F.col("frame")).alias("frame"))
@@ -133,7 +134,7 @@ def write_archives(pages: DataFrame, out_dir: str, *, min_payload: int = 0, arch
         if len(held) > 1:
             yield close()
 
-    return written(rows.mapInArrow(archive, "path string, records long, bytes long"), "archives")
+    return written(lean(rows).mapInArrow(tidy(archive), "path string, records long, bytes long"), "archives")
 
 
 def parse(raw: bytes) -> dict:
@@ -217,7 +218,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.mapInArrow(run, _READ)
+    return lean(files).mapInArrow(tidy(run), _READ)
 
 
 def round_trip(pages: DataFrame, *, min_payload: int = 0) -> DataFrame:
