@@ -37,7 +37,7 @@ PERCENT = 80
 SMALL_RUN = 10
 BROADCAST_ROWS = 1_000_000
 _SLICE = 1 << 17
-WORD = "[^\\x20\\x09-\\x0D]"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _solid(b: Bytes) -> Spans:
@@ -55,7 +55,7 @@ def _solid(b: Bytes) -> Spans:
 def line_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, content) of every line with a word."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "content"))
-    return rows.where(F.col("content").rlike(WORD)).withColumn("line", F.xxhash64("content"))
+    return rows.where(F.btrim("content", F.lit(BLANKS)) != "").withColumn("line", F.xxhash64("content"))
 
 
 def line_bands(docs: DataFrame, buckets: int) -> DataFrame:
@@ -77,13 +77,16 @@ def line_bands(docs: DataFrame, buckets: int) -> DataFrame:
             cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(begin, ends, strict=True)], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(at[begin].astype(np.int64)), cut(key), cut(line)], names=["bucket", "keys", "lines"])
 
-        seen = np.zeros(0, np.int64)
+        seen: set[int] = set()  # spares repeated work only
         for part in slices(batches, 0, _SLICE):
             b = Bytes(part.column(0))
             lines = _solid(b)
-            new = ~np.isin(lines.code, seen)
+            names = lines.code.tolist()
+            new = np.array([x not in seen for x in names], bool)
             lines = Spans(lines.start[new], lines.end[new], lines.doc[new], lines.code[new])
-            seen = np.concatenate([seen, lines.code])[-20_000:]  # spares repeated work only
+            seen.update(names)
+            if len(seen) > 200_000:
+                seen.clear()
             owner, shingle = char_shingles(b, lines, WIDTH)
             keys = bands(minima(owner, shingle, len(lines.code), HASHES), ROWS).view(np.uint64)
             held.append((keys.ravel(), np.repeat(lines.code, keys.shape[1])))
@@ -216,7 +219,7 @@ def clean(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     both = docs.join(F.broadcast(per_doc) if few else per_doc, docs["doc_id"] == F.col("__id"), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__drop", i))
     out = both.withColumn("__text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept)))
-    out = out.where(F.col("__drop").isNull() | F.col("__text").rlike(WORD))
+    out = out.where(F.col("__drop").isNull() | (F.btrim("__text", F.lit(BLANKS)) != ""))
     cols = []
     for c in docs.columns:
         changed = F.col("__text") if c == "text" else F.when(F.col("__drop").isNull(), F.col(c)).otherwise(F.length("__text")) if c == "n_chars" else F.col(c)
