@@ -108,8 +108,8 @@ def fit(texts: list[str], good: list[int], epochs: int = 60, rate: float = 0.5,
     if n < 10 or y.min() == y.max():
         return weights.astype(np.float32), 0.0, 0.0, 10.0
     rows, cols, vals = [], [], []
-    for at in range(0, n, 256):
-        b = Bytes(pa.array(texts[at : at + 256], pa.string()))
+    for at in range(0, n, 32):
+        b = Bytes(pa.array(texts[at : at + 32], pa.string()))
         for kind, (doc, bucket) in enumerate(features(b, b.words())):
             key, count = np.unique((doc << BITS) | bucket, return_counts=True)
             d = key >> BITS
