@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.bytetext import Bytes, Spans, lean, slices, tidy, windows
+from spanforge.llm.bytetext import Bytes, Spans, give_back, lean, slices, tidy, windows
 
 TRAIN_ROWS = 3000
 TRAIN_BYTES = 20_000
@@ -100,6 +100,40 @@ def decision(b: Bytes, words: Spans, weights: np.ndarray, bias: float) -> np.nda
     return out
 
 
+class Entries:
+    """(row, bucket, value) of the sample, kept in fixed blocks: no list is ever joined."""
+
+    BLOCK = 1 << 19
+    KINDS = (np.int32, np.int32, np.float32)
+
+    def __init__(self):
+        self.blocks: list[tuple[np.ndarray, ...]] = []
+        self.used = self.BLOCK
+
+    def add(self, part: tuple[np.ndarray, ...]) -> None:
+        at, n = 0, len(part[0])
+        while at < n:
+            if self.used == self.BLOCK:
+                self.blocks.append(tuple(np.empty(self.BLOCK, t) for t in self.KINDS))
+                self.used = 0
+            m = min(n - at, self.BLOCK - self.used)
+            for to, x in zip(self.blocks[-1], part, strict=True):
+                to[self.used : self.used + m] = x[at : at + m]
+            self.used, at = self.used + m, at + m
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, ...]]:
+        for k, block in enumerate(self.blocks):
+            end = self.used if k + 1 == len(self.blocks) else self.BLOCK
+            yield tuple(x[:end] for x in block)
+
+    def products(self, w: np.ndarray, n: int) -> np.ndarray:
+        """The sum of weight times value, per row."""
+        z = np.zeros(n)
+        for r, c, v in self:
+            z += np.bincount(r, w[c] * v, minlength=n)
+        return z
+
+
 def fit(texts: list[str], good: list[int], epochs: int = 60, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float, float, float]:
     """Weights, bias and the calibration's slope and offset."""
     y = np.asarray(good, float)
@@ -107,35 +141,35 @@ def fit(texts: list[str], good: list[int], epochs: int = 60, rate: float = 0.5,
     weights = np.zeros((4, 1 << BITS))
     if n < 10 or y.min() == y.max():
         return weights.astype(np.float32), 0.0, 0.0, 10.0
-    rows, cols, vals = [], [], []
-    for at in range(0, n, 32):
-        b = Bytes(pa.array(texts[at : at + 32], pa.string()))
+    held = np.arange(n) % 5 == 4
+    seen, hidden = Entries(), Entries()
+    for at in range(0, n, 8):
+        b = Bytes(pa.array(texts[at : at + 8], pa.string()))
         for kind, (doc, bucket) in enumerate(features(b, b.words())):
             key, count = np.unique((doc << BITS) | bucket, return_counts=True)
             d = key >> BITS
-            # The narrow types halve the driver's memory, whose bound is that of the sample.
-            rows.append((d + at).astype(np.int32))
-            cols.append(((key & ((1 << BITS) - 1)) + (kind << BITS)).astype(np.int32))
-            vals.append((count / np.bincount(doc, minlength=b.n)[d]).astype(np.float32))
-    rows, cols, vals = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
-    held = np.arange(n) % 5 == 4
-    use = ~held[rows]
-    r, c, v, hidden = rows[use], cols[use], vals[use], (rows[~use], cols[~use], vals[~use])
-    del rows, cols, vals, use
+            part = d + at, (key & ((1 << BITS) - 1)) + (kind << BITS), count / np.bincount(doc, minlength=b.n)[d]
+            out = held[part[0]]
+            hidden.add(tuple(x[out] for x in part))
+            seen.add(tuple(x[~out] for x in part))
     # Each bucket's step is scaled by its weight in the sample, as rare n-grams have tiny means.
-    scale = np.sqrt(np.bincount(c, v * v, minlength=weights.size) + 1e-3)
+    scale = np.full(weights.size, 1e-3)
+    for _, c, v in seen:
+        scale += np.bincount(c, v * v, minlength=weights.size)
+    scale = np.minimum(1.0, np.sqrt(scale))
     w, bias = weights.ravel(), 0.0
     share = np.where(y > 0, 0.5 / max(y[~held].sum(), 1), 0.5 / max((1 - y[~held]).sum(), 1)) * ~held
     grad2 = np.full(w.size, 1e-8)
     for _ in range(epochs):
-        z = np.bincount(r, w[c] * v, minlength=n) + bias
+        z = seen.products(w, n) + bias
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        g = np.bincount(c, err[r] * v, minlength=w.size) + decay * w
+        g = decay * w
+        for r, c, v in seen:
+            g += np.bincount(c, err[r] * v, minlength=w.size)
         grad2 += g * g
-        w -= rate * g / np.sqrt(grad2) * np.minimum(1.0, scale)
+        w -= rate * g / np.sqrt(grad2) * scale
         bias -= rate * err.sum()
-    del r, c, v
-    z = np.bincount(hidden[0], w[hidden[1]] * hidden[2], minlength=n) + bias
+    z = hidden.products(w, n) + bias
     slope, offset = _platt(z[held], y[held])
     return w.reshape(weights.shape).astype(np.float32), float(bias), slope, offset
 
@@ -164,7 +198,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
     picked = lab.orderBy(order, "__id").limit(rows)
     d = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).where(F.octet_length("__text") <= most_bytes)
     got = d.join(F.broadcast(picked), "__id").orderBy(order, "__id", "__text").limit(rows).collect()
-    return fit([x["__text"] for x in got], [int(x["__good"] > 0) for x in got])
+    texts, good = [x["__text"] for x in got], [int(x["__good"] > 0) for x in got]
+    del got
+    model = fit(texts, good)
+    del texts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: tuple, *, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
