@@ -386,6 +386,14 @@ def anonymize_codes(spark, d):
     return N.anonymize(_raw(spark, d)).select("doc_id", "rec_seq", "ord_no", "part_no", "width")
 
 
+_UNIT_MASK = "coalesce(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in S.UNIT_SWAPS.items() if len(k) == len(v)) + f"}}[raw.unit], substr(['M', 'PC', 'KG', 'EA', 'LB', 'PK'][(s % 6 + 1)::INT] || array_to_string([substr('{S.UPPER_CODE}', ((s + k) % 24 + 1)::INT, 1) FOR k IN range(0, 16)], ''), 1, length(raw.unit)))"
+
+
+@query(RAW + f", f AS (SELECT doc_id, unit, row_number() OVER (PARTITION BY doc_id ORDER BY min(rec_seq), unit) - 1 AS s FROM raw GROUP BY doc_id, unit), y AS (SELECT *, regexp_extract(need_date, '^[0-9]{{2,4}}') AS year FROM raw) SELECT raw.doc_id, raw.rec_seq, {_UNIT_MASK} AS unit, CASE WHEN year = '' THEN need_date ELSE lpad((year::INT + 1)::VARCHAR, length(year)::INT, '0') || substr(need_date, length(year) + 1) END AS need_date FROM y AS raw JOIN f ON f.doc_id = raw.doc_id AND f.unit = raw.unit")
+def anonymize_words(spark, d):
+    return N.anonymize(_raw(spark, d)).select("doc_id", "rec_seq", "unit", "need_date")
+
+
 @query()
 def anonymize_audit(spark, d):
     raw = _raw(spark, d)
@@ -414,6 +422,63 @@ def score_mapping(spark, d):
     return parse_mapping(spark, d).select("doc_id", "run", E.mapping_score(F.col("mapping"), F.array(*[F.lit(f) for f in _GOOD])).alias("score"))
 
 
+#: The same kinds as strict JSON, with what is found in each: answer, faults, scores as said and resolved.
+_STRICT = [
+    (_KINDS[0], [], 1.0, 1.0), (_KINDS[1], [], 0.0, 1.0), (_KINDS[2], ["length"], 0.0, 0.0), (_KINDS[3], ["duplicate"], 0.9, 0.9), (_KINDS[4], [], 0.9, 0.9), (None, ["no JSON"], 0.0, 0.0),
+    (_KINDS[6], ["null as text"], 0.9, 0.9),
+]
+_FOUND = "WITH found(kind, mapping, faults, strict, normal) AS (VALUES " + ", ".join(f"({k}, {'NULL' if m is None else _list(m)}, {_list(f)}::VARCHAR[], {a}::DOUBLE, {b}::DOUBLE)" for k, (m, f, a, b) in enumerate(_STRICT)) + ") "
+
+
+def _strict(spark, d):
+    import json
+
+    raw = F.array(*[F.lit("no answer" if k is None else json.dumps({"mapping": k}, ensure_ascii=False)) for k in _KINDS])
+    cust = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.element_at(raw, (F.col("c_custkey") % len(_KINDS) + 1).cast("int")).alias("raw"))
+    return cust.select("doc_id", M.mapping_faults(F.col("raw"), F.lit(10)).alias("p")).select("doc_id", "p.mapping", "p.faults")
+
+
+@query(_FOUND + f"SELECT c_custkey AS doc_id, mapping, faults FROM customer JOIN found ON kind = c_custkey % {len(_KINDS)}")
+def mapping_faults(spark, d):
+    return _strict(spark, d)
+
+
+@query(_FOUND + f"SELECT c_custkey AS doc_id, strict, normal FROM customer JOIN found ON kind = c_custkey % {len(_KINDS)}")
+def score_mapping_dual(spark, d):
+    return _strict(spark, d).select("doc_id", E.mapping_scores(F.col("mapping"), F.array(*[F.lit(f) for f in _GOOD])).alias("s")).select("doc_id", "s.strict", "s.normal")
+
+
+@query(_RUNS + "SELECT doc_id, run, true AS forward, false AS backward FROM runs JOIN parsed USING (kind) WHERE error IS NULL")
+def order_check(spark, d):
+    return parse_mapping(spark, d).where("error IS NULL").select("doc_id", "run", M.order_ok(F.col("mapping")).alias("forward"), M.order_ok(F.reverse("mapping")).alias("backward"))
+
+
+@query(SPANS + ", r AS (SELECT doc_id, page, row_idx, '{' || string_agg('\"' || col_idx || '\":' || to_json(value)::VARCHAR, ',' ORDER BY col_idx) || '}' AS cells FROM grid GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row_idx, page) AS pick FROM r QUALIFY pick <= 3) SELECT doc_id, 'Name the field of each column. Fields: " + ", ".join(S.IMPORTED) + ". Use null for none. Answer as JSON with a list under mapping.' || chr(10) || string_agg('row ' || pick || ': ' || cells, chr(10) ORDER BY pick) AS prompt FROM p GROUP BY doc_id")
+def prompt_texts(spark, d):
+    cells = F.map_from_entries(F.array_sort(F.collect_list(F.struct("col_idx", "value")))).alias("cells")
+    return M.prompt(M.sample_rows(L.grid(_spans(spark, d)).groupBy("doc_id", "page", "row_idx").agg(cells), 3))
+
+
+_WIDE = "[\\x{1100}-\\x{115f}\\x{2e80}-\\x{303e}\\x{3041}-\\x{a4cf}\\x{ac00}-\\x{d7a3}\\x{f900}-\\x{faff}\\x{fe30}-\\x{fe6f}\\x{ff01}-\\x{ff60}\\x{ffe0}-\\x{ffe6}]"
+
+
+@query(HEADS + f", w AS (SELECT id, h, length(h) + len(regexp_extract_all(h, '{_WIDE}')) AS width FROM heads) SELECT id, width::INT AS width, h || repeat(' ', greatest(0, 20 - width)) AS padded FROM w")
+def display_width(spark, d):
+    return _heads(spark, d).select("id", C.display_width(F.col("h")).cast("int").alias("width"), C.padded(F.col("h"), 20).alias("padded"))
+
+
+@query(DIFFS + "SELECT doc_id, ORD_NO, array_to_string([CASE WHEN expected[i] = actual[i] THEN ' ' ELSE '^' END FOR i IN range(1, length(expected) + 1)], '') AS marks FROM diffs WHERE field = 'MATM_DESC'")
+def diff_marks(spark, d):
+    diffs = A.diff_cells(*_sides(spark, d)).where("field = 'MATM_DESC'")
+    return diffs.select("doc_id", "ORD_NO", C.diff_marks(F.col("expected"), F.col("actual")).alias("marks"))
+
+
+@query("SELECT o_orderkey AS id, round((o_custkey % 101) / 100.0 * (o_orderkey % 40) / 38, 9)::DOUBLE AS score, o_orderkey % 11 >= 5 AS passed FROM orders")
+def score_end_to_end(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("id"), F.round(E.end_to_end((F.col("o_custkey") % 101).cast("double"), F.col("o_orderkey") % 40, F.lit(38)), 9).alias("score"), E.lenient_pass(F.col("o_orderkey") % 11, F.lit(10)).alias("passed"))
+
+
 _O = "SELECT o_orderkey AS id, (o_orderkey % 20)::INT AS f, (o_orderkey % 20 + o_custkey % 15)::INT AS l, 5 AS tf, 20 AS tl FROM orders"
 
 
@@ -486,3 +551,18 @@ def column_profile(spark, d):
 @query()
 def classify_columns(spark, d):
     return M.classify_columns(L.grid(_spans(spark, d)))
+
+
+@query()
+def extract_records(spark, d):
+    from spanforge.plans.extract import deterministic
+
+    return deterministic(_spans(spark, d))["records"]
+
+
+@query()
+def extract_by_proposal(spark, d):
+    from spanforge.plans.extract import by_proposal
+
+    answers = _raw(spark, d).select("doc_id").distinct().select("doc_id", F.lit(0).alias("run"), F.lit(_answers()[0]).alias("raw"))
+    return by_proposal(_spans(spark, d), answers)["records"]
