@@ -23,10 +23,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays."""
+    """One document of each component stays; documents are linked from a similarity of 0.8."""
     from spanforge.llm.near_dedup import clean
 
-    return clean(docs)
+    return clean(docs, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

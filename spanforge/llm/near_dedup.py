@@ -2,8 +2,8 @@
 
 A document's set holds its distinct shingles of five lower-cased words.  Equal sets become
 one node.  128 minima under universal hash functions are cut into 32 bands of four (a pair
-at similarity 0.85 shares none with probability 5e-11).  Nodes that share a band are held
-against each other: by signature first, then on full sets; components come from
+at similarity 0.85 shares none with probability 5e-11, at 0.8 with 5e-8).  Nodes that share
+a band are held against each other: by signature first, then on full sets; components come from
 alternating stars.
 
 No group is expanded into its pairs.  Bands of up to ``SMALL`` nodes give only the pairs
@@ -23,6 +23,7 @@ id; columns beside id and text are ignored; an empty table gives an empty result
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,17 @@ HASHES, ROWS = 128, 4
 PERCENT = 85
 SMALL = 32
 BLOCK = 256
-#: Agreeing minima of 128 below which a pair is not checked further; 0.85 reaches it but for 1e-12.
-AGREE = 76
 BROADCAST_IDS = 1_000_000
 
 
+def least_agreeing(percent: int) -> int:
+    """Agreeing minima below which a pair is not checked further; one at the limit reaches it but for 1e-12."""
+    p, n, below = percent / 100, 0, 0.0
+    while n < HASHES and (below := below + comb(HASHES, n) * p**n * (1 - p) ** (HASHES - n)) <= 1e-12:
+        n += 1
+    return n
+
+
 def node_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, two 64-bit sums that stand for the set, and the signature."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -99,11 +106,12 @@ def node_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
     return lean(src).mapInArrow(tidy(run), "node long, codes binary")
 
 
-def small_pairs(members: DataFrame) -> DataFrame:
+def small_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of small bands whose signatures agree, each at the lowest key that both share.
 
     members: (key, node, sig), a few nodes a key.
     """
+    least = least_agreeing(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -113,15 +121,15 @@ def small_pairs(members: DataFrame) -> DataFrame:
             cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # sorted; the last key may go on
             rest = t.slice(cut)
             if cut:
-                yield _pairs(t.slice(0, cut))
+                yield _pairs(t.slice(0, cut), least)
         if rest is not None and rest.num_rows:
-            yield _pairs(rest)
+            yield _pairs(rest, least)
 
     dealt = members.repartition("key").sortWithinPartitions("key").select("key", "node", "sig")
     return lean(dealt).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def _pairs(t: pa.Table) -> pa.RecordBatch:
+def _pairs(t: pa.Table, least: int) -> pa.RecordBatch:
     key, node = t.column(0).to_numpy(), t.column(1).to_numpy()
     sig = _matrix(t.column(2).combine_chunks())
     found_a, found_b = [], []
@@ -132,7 +140,7 @@ def _pairs(t: pa.Table) -> pa.RecordBatch:
         for at in range(0, len(i), 8192):
             x, y = i[at : at + 8192], i[at : at + 8192] + shift
             same = sig[x] == sig[y]
-            agree = same.sum(1) >= AGREE
+            agree = same.sum(1) >= least
             x, y, same = x[agree], y[agree], same[agree]
             if not len(x):
                 continue
@@ -270,7 +278,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = written(members.select("node").distinct(), "wanted")
     sets = written(node_sets(docs, wanted, id_col, text_col), "shingles")
     few = members.where(F.col("n") <= SMALL).join(nodes, "node").select("key", "node", "sig")
-    pairs = written(small_pairs(few), "pairs")
+    pairs = written(small_pairs(few, percent), "pairs")
     links = exact_links(pairs, sets, percent)
     large = members.where(F.col("n") > SMALL)
     links = written(links, "links") if large.isEmpty() else large_links(large, sets, links, percent)

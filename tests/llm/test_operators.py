@@ -338,5 +338,32 @@ def test_pipeline(spark):
     assert good.join(kept, "doc_id", "left_anti").count() <= 0.05 * good.count()
 
 
+def test_pipeline_links_from_similarity_80(spark):
+    import corpus_pipeline as p
+
+    # A text of 104 distinct words has 100 shingles; k changed words far apart leave (100 - 5k) of 100 + 5k.
+    rows, gone, seen = [], set(), []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(104)]
+        for k in (0, 1, 2, 3):
+            w = list(base)
+            for j in range(k):
+                w[10 + 30 * j] = f"g{g}k{k}x{j}"
+            w += [f"g{g}t{k}" for _ in range(1 if k == 2 else 0)]
+            rows.append((10 * g + k, " ".join(w), 7))
+    sets = {i: shingles(t) for i, t, _ in rows}
+    for i, j in itertools.combinations(sets, 2):
+        n = len(sets[i] & sets[j])
+        share = 100 * n / (len(sets[i]) + len(sets[j]) - n)
+        if i // 10 == j // 10:
+            seen.append(share)
+        if share >= 80:
+            gone.add(j)
+    assert any(80 <= x < 85 for x in seen) and any(x < 80 for x in seen)
+    got = p.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), SF)
+    assert got.columns == ["doc_id", "text", "n_chars"] and {r.doc_id for r in got.collect()} == set(sets) - gone
+    assert near_dedup.least_agreeing(85) == 76 and near_dedup.least_agreeing(80) == 67
+
+
 def test_checksum_of_held_out_ids():
     assert pitman_yor.held_out(5) == (zlib.crc32(b"5") % 7 == 2)
