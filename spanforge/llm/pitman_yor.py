@@ -1,21 +1,23 @@
 """Language-model scores by a hierarchical Pitman-Yor model (operator 2).
 
-Two levels of Chinese restaurants: one restaurant for each of 256 contexts (the class of
-the previous word by its last two bytes; class 0 opens a text), all with one parent, whose
-base is uniform over the V training tokens and one unknown.  Every table of a context sends
-one customer to the parent.  Table counts are sampled by Gibbs: given all others, the
+Three levels of Chinese restaurants: one for each previous word, under one for each of 256
+classes of words (by their last two bytes; class 0 opens a text), all of these with one
+parent, whose base is uniform over the V training tokens and one unknown.  Every table sends
+one customer to the level above.  Table counts are sampled by Gibbs: given all others, the
 tables of a dish follow the generalised Stirling numbers up to ``EXACT`` customers; further
 customers of a dish are seated in doubling blocks under the probability at the block's
 start.  Probabilities are averaged over ``SAMPLES`` sweeps after ``BURN_IN``, and a text's
 score is the sum of their logarithms; -score / n_tokens is the log10 perplexity.
 
-Nothing is collected or broadcast but some 800 totals.  Documents are cut into slices of
+Nothing is collected or broadcast but some 1,000 totals.  Documents are cut into slices of
 about ``SLICE_TOKENS`` tokens.  A slice sends each bucket of words its distinct (word,
-context) pairs with training counts, once each, however often they occur; a bucket seats
-its words and answers each slice in the slice's own order; the slice then adds up its texts.
-So a very frequent word is one small entry per slice.  During sampling a bucket takes its
-own totals times the number of buckets for those of the whole; the final probabilities use
-the exact totals and sum to one.
+previous word) pairs with training counts, once each, however often they occur; a bucket
+seats its words and answers each slice in the slice's own order; the slice then adds up its
+texts.  So a very frequent word is one small entry per slice.  The tables of a previous word
+lie in many buckets; its own bucket adds them up, before sampling (one for each distinct
+pair) and after it.  During sampling a bucket takes its own totals times the number of
+buckets for those of classes and parent, and the tables of a previous word in other buckets
+as before sampling; the final probabilities use the exact totals and sum to one.
 
 Defined results: a null or empty text is its end alone; a null id is in the training part
 (its text is empty); repeated rows count and are scored each on their own; without training
@@ -69,7 +71,7 @@ def _unzip(blob: bytes, *kinds: type) -> list[np.ndarray]:
 
 
 def tokens(b: Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word and context in one key, text, tokens per text): 56 bits of the word's hash, 8 of context."""
+    """(word and its class in one key, text, tokens per text): 56 bits of the word's hash, 8 of class."""
     w = b.words()
     last = w.end - 1
     suffix = b.data[last].astype(np.uint64) * np.uint64(256) + np.where(last > w.start, b.data[np.maximum(last - 1, 0)], 0).astype(np.uint64)
@@ -79,12 +81,22 @@ def tokens(b: Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code = np.insert(w.code, ends, END)
     doc = np.insert(w.doc, ends, np.arange(b.n))
     own = np.insert(kind, ends, np.uint64(0))  # an end opens the next text
-    before = np.append(np.uint64(0), own[:-1])
-    return (code & ~np.uint64(0xFF)) | before, doc, per + 1
+    return (code & ~np.uint64(0xFF)) | own, doc, per + 1
+
+
+def home(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a word; grows with the key."""
+    return ((key >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
+
+
+def runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    edges = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, int)
+    return zip(edges.tolist(), np.append(edges[1:], len(x)).tolist(), strict=True)
 
 
 def cut(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (slice, bucket, blob): pairs for each bucket, and bucket -1 with the slice's own texts."""
+    """Rows (slice, bucket, words, blob): words and pairs for each bucket, and bucket -1 with the slice's own texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -94,19 +106,23 @@ def cut(docs: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, keys, counts, ids, total
-            uniq, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            vocab, word = np.unique(np.concatenate(keys), return_inverse=True)
+            before = np.append(np.searchsorted(vocab, END & ~np.uint64(0xFF)), word[:-1])
+            uniq, inverse = np.unique(word * len(vocab) + before, return_inverse=True)
+            word, before = uniq // len(vocab), uniq % len(vocab)
             per = np.concatenate(counts)
             train = np.repeat([not held_out(i) for i in ids], per)
             seen = np.bincount(inverse[train], minlength=len(uniq)).astype(np.uint32)
-            at = ((uniq >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
-            edges = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            rows_b, rows_x = [-1], [_zip(inverse.astype(np.uint32), per.astype(np.int64), np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], bool))]
-            for a, z in zip(edges, np.append(edges[1:], len(uniq)), strict=True):
-                word = uniq[a:z] >> np.uint64(8)
-                first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            pairs = np.bincount(word, minlength=len(vocab)).astype(np.uint32)
+            begin = np.append(0, np.cumsum(pairs, dtype=np.int64))
+            at = home(vocab, buckets)
+            rows_b, rows_w, rows_x = [-1], [None], [_zip(inverse.astype(np.uint32), per.astype(np.int64), np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], bool), before.astype(np.uint32))]
+            for a, z in runs(at):
+                p, q = begin[a], begin[z]
                 rows_b.append(int(at[a]))
-                rows_x.append(_zip(word[first], np.diff(np.append(first, z - a)).astype(np.uint16), uniq[a:z].astype(np.uint8), seen[a:z]))
-            out = pa.RecordBatch.from_arrays([pa.array([base + seq] * len(rows_b)), pa.array(rows_b, pa.int64()), pa.array(rows_x, pa.binary())], names=["slice", "bucket", "blob"])
+                rows_w.append(_zip(vocab[a:z]))
+                rows_x.append(_zip(pairs[a:z], vocab[before[p:q]], seen[p:q]))
+            out = pa.RecordBatch.from_arrays([pa.array([base + seq] * len(rows_b)), pa.array(rows_b, pa.int64()), pa.array(rows_w, pa.binary()), pa.array(rows_x, pa.binary())], names=["slice", "bucket", "words", "blob"])
             seq, keys, counts, ids, total = seq + 1, [], [], [], 0
             return out
 
@@ -121,7 +137,7 @@ def cut(docs: DataFrame, buckets: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return lean(docs).mapInArrow(tidy(run), "slice long, bucket long, blob binary")
+    return lean(docs).mapInArrow(tidy(run), "slice long, bucket long, words binary, blob binary")
 
 
 def _stirling() -> np.ndarray:
@@ -159,56 +175,128 @@ def seat(count: np.ndarray, tables: np.ndarray, others: np.ndarray, strength: fl
     return new
 
 
-def seatings(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, buckets: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per kept sweep: tables of each pair, customers and tables of each word in the parent."""
+def seatings(word: np.ndarray, context: np.ndarray, kind: np.ndarray, count: np.ndarray, n_words: int, start: np.ndarray, buckets: int, seed: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per kept sweep: tables of each pair; customers and tables of each (word, class) and its number
+    for each pair; customers and tables of each word in the parent.
+
+    kind: the class of each context; start: the contexts' tables in all buckets before the first sweep.
+    """
     rng, stirling = np.random.default_rng(seed), _stirling()
     known = np.bincount(word, count, minlength=n_words) > 0
     types = max(int(known.sum()), 1) * buckets
-    tables = np.minimum(count, 1)
+    both, of_both = np.unique(word * CONTEXTS + kind[context], return_inverse=True)
+    dish, klass = both // CONTEXTS, both % CONTEXTS
+    first = np.minimum(count, 1)
+    tables = first
     for sweep in range(BURN_IN + SAMPLES):
-        guests = np.bincount(word, tables, minlength=n_words).astype(np.int64)
-        if sweep == 0:
-            upper = np.minimum(guests, 1)
+        mid = np.bincount(of_both, tables, minlength=len(both)).astype(np.int64)
+        middle = np.minimum(mid, 1) if sweep == 0 else np.minimum(middle, mid)
+        guests = np.bincount(dish, middle, minlength=n_words).astype(np.int64)
+        upper = np.minimum(guests, 1) if sweep == 0 else np.minimum(upper, guests)
         all_upper = upper.sum() * buckets
         upper = seat(guests, upper, np.maximum(all_upper - upper, 0).astype(float), BASE_STRENGTH, BASE_DISCOUNT, np.full(n_words, 1 / (types + 1)), stirling, rng)
         total = guests.sum() * buckets
         p = (guests - BASE_DISCOUNT * upper + (BASE_STRENGTH + BASE_DISCOUNT * upper.sum() * buckets) / (types + 1)) / (BASE_STRENGTH + total)
-        room = np.bincount(context, tables, minlength=CONTEXTS)[context] * buckets
-        tables = seat(count, tables, np.maximum(room - tables, 0).astype(float), STRENGTH, DISCOUNT, np.maximum(p[word], 1e-300), stirling, rng)
+        room = np.bincount(klass, middle, minlength=CONTEXTS)[klass] * buckets
+        middle = seat(mid, middle, np.maximum(room - middle, 0).astype(float), STRENGTH, DISCOUNT, np.maximum(p[dish], 1e-300), stirling, rng)
+        room = np.bincount(klass, middle, minlength=CONTEXTS)[klass] * buckets
+        there = np.bincount(klass, mid, minlength=CONTEXTS)[klass] * buckets
+        q = (mid - DISCOUNT * middle + (STRENGTH + DISCOUNT * room) * p[dish]) / (STRENGTH + there)
+        # A context's tables in other buckets are counted as they were at the start.
+        room = (start + np.bincount(context, tables - first, minlength=len(kind)))[context]
+        tables = seat(count, tables, np.maximum(room - tables, 0).astype(float), STRENGTH, DISCOUNT, np.maximum(q[of_both], 1e-300), stirling, rng)
         if sweep >= BURN_IN:
-            guests = np.bincount(word, tables, minlength=n_words).astype(np.int64)
-            yield tables, guests, np.minimum(upper, guests)
+            mid = np.bincount(of_both, tables, minlength=len(both)).astype(np.int64)
+            kept = np.minimum(middle, mid)
+            guests = np.bincount(dish, kept, minlength=n_words).astype(np.int64)
+            yield tables, mid, kept, of_both, klass, guests, np.minimum(upper, guests)
 
 
-def answers(parts: DataFrame, buckets: int) -> DataFrame:
-    """Rows (slice, bucket, blob, totals): what each slice needs of each bucket, and the bucket's totals."""
+def merged(t: pa.Table) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The slices' parts of a bucket, sorted by slice: parts, words, contexts, number of each part's
+    word, of each part's pair, and the (word, context) and training count of each pair."""
+    got = [_unzip(w.as_py(), np.uint64) + _unzip(x.as_py(), np.uint32, np.uint64, np.uint32) for w, x in zip(t.column("words"), t.column("blob"), strict=True)]
+    words, of_word = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    contexts, of_context = np.unique(np.concatenate([g[2] for g in got]), return_inverse=True)
+    pair, of_pair = np.unique(np.repeat(of_word, np.concatenate([g[1] for g in got])) * len(contexts) + of_context, return_inverse=True)
+    count = np.bincount(of_pair, np.concatenate([g[3] for g in got]), minlength=len(pair)).astype(np.int64)
+    return got, words, contexts, of_word, of_pair, pair, count
 
-    def run(t: pa.Table) -> pa.Table:
+
+def followers(parts: DataFrame, buckets: int) -> DataFrame:
+    """Rows (bucket, home, blob): for the contexts of a bucket, by their own buckets, the distinct words seen behind them in all."""
+
+    def send(t: pa.Table) -> pa.Table:
+        _, _, contexts, _, _, pair, count = merged(t.sort_by("slice"))
+        n = np.bincount((pair % len(contexts))[count > 0], minlength=len(contexts)).astype(np.uint32)
+        at = home(contexts, buckets)
+        cuts = list(runs(at))
+        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()] * len(cuts), pa.int64()), "home": pa.array([int(at[a]) for a, _ in cuts], pa.int64()), "blob": pa.array([_zip(contexts[a:z], n[a:z]) for a, z in cuts], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        got = [_unzip(x.as_py(), np.uint64, np.uint32) for x in t.column("blob")]
+        _, of = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        n = np.bincount(of, np.concatenate([g[1] for g in got]))[of].astype(np.uint32)
+        cuts = np.append(0, np.cumsum([len(g[0]) for g in got]))
+        return pa.table({"bucket": t.column("bucket"), "home": t.column("home"), "blob": pa.array([_zip(n[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+
+    schema = "bucket long, home long, blob binary"
+    return parts.where("bucket >= 0").groupBy("bucket").applyInArrow(send, schema).groupBy("home").applyInArrow(add, schema)
+
+
+def answers(parts: DataFrame, starts: DataFrame, buckets: int) -> DataFrame:
+    """Rows (slice, bucket, blob, totals): what each slice needs of each bucket; as slice -1 the bucket's
+    totals; as slice -2 its contexts' tables, for the contexts' own buckets."""
+
+    def run(t: pa.Table, s: pa.Table) -> pa.Table:
         t = t.sort_by("slice")
-        got = [_unzip(x.as_py(), np.uint64, np.uint16, np.uint8, np.uint32) for x in t.column("blob")]
-        words = np.concatenate([g[0] for g in got])
-        distinct, of_word = np.unique(words, return_inverse=True)
-        pair_word = np.repeat(of_word, np.concatenate([g[1] for g in got]))
-        pair, of_pair = np.unique(pair_word * CONTEXTS + np.concatenate([g[2] for g in got]), return_inverse=True)
-        count = np.bincount(of_pair, np.concatenate([g[3] for g in got]), minlength=len(pair)).astype(np.int64)
-        word, context, n = pair // CONTEXTS, pair % CONTEXTS, len(distinct)
+        got, words, contexts, of_word, of_pair, pair, count = merged(t)
+        start = np.concatenate([_unzip(x.as_py(), np.uint32)[0] for x in s.sort_by("home").column("blob")]).astype(np.int64)
+        word, context, n = pair // len(contexts), pair % len(contexts), len(words)
+        kind = (contexts & np.uint64(0xFF)).astype(np.int64)
         total_of_word = np.bincount(word, count, minlength=n)
-        spent, rest = np.zeros(len(pair)), []
-        totals = [float((total_of_word > 0).sum()), float(count.sum()), *np.bincount(context, count, minlength=CONTEXTS)]
+        left, rest, sent = [], [], []
+        totals = [float((total_of_word > 0).sum()), float(count.sum())]
         bucket = t.column("bucket")[0].as_py()
-        for tables, guests, upper in seatings(word, context, count, n, buckets, bucket):
-            spent += tables / SAMPLES
+        for tables, mid, middle, of_both, klass, guests, upper in seatings(word, context, kind, count, n, start, buckets, bucket):
+            left.append((count - DISCOUNT * tables).astype(np.float32))
+            left.append((mid - DISCOUNT * middle).astype(np.float32)[of_both])
             rest.append((guests - BASE_DISCOUNT * upper).astype(np.float32))
-            totals += [float(guests.sum()), float(upper.sum()), *np.bincount(context, tables, minlength=CONTEXTS)]
-        left = (count - DISCOUNT * spent).astype(np.float32)
+            sent.append(np.bincount(context, tables, minlength=len(contexts)).astype(np.uint32))
+            totals += [float(guests.sum()), float(upper.sum()), *np.bincount(klass, mid, minlength=CONTEXTS), *np.bincount(klass, middle, minlength=CONTEXTS)]
         rows, a, b = [], 0, 0
         for g in got:
             w, p = of_word[a : a + len(g[0])], of_pair[b : b + len(g[2])]
             a, b = a + len(g[0]), b + len(g[2])
-            rows.append(_zip(total_of_word[w].astype(np.int64), g[1], g[2], left[p], *(r[w] for r in rest)))
-        return pa.table({"slice": pa.concat_arrays([*t.column("slice").chunks, pa.array([-1])]), "bucket": pa.array([bucket] * (len(rows) + 1)), "blob": pa.array([*rows, None], pa.binary()), "totals": pa.array([None] * len(rows) + [totals], pa.list_(pa.float64()))})
+            rows.append(_zip(total_of_word[w].astype(np.int64), g[1], (g[2] & np.uint64(0xFF)).astype(np.uint8), *(x[p] for x in left), *(r[w] for r in rest)))
+        at = home(contexts, buckets)
+        cuts = list(runs(at))
+        some = [_zip(contexts[a:z], *(x[a:z] for x in sent)) for a, z in cuts]
+        return pa.table({
+            "slice": pa.array([*t.column("slice").to_pylist(), -1, *[-2] * len(cuts)], pa.int64()), "bucket": pa.array([bucket] * (len(rows) + 1) + [int(at[a]) for a, _ in cuts], pa.int64()),
+            "blob": pa.array([*rows, None, *some], pa.binary()), "totals": pa.array([None] * len(rows) + [totals] + [None] * len(cuts), pa.list_(pa.float64())),
+        })
+
+    return parts.where("bucket >= 0").groupBy("bucket").cogroup(starts.groupBy("bucket")).applyInArrow(run, "slice long, bucket long, blob binary, totals array<double>")
+
+
+def context_tables(parts: DataFrame, back: DataFrame, buckets: int) -> DataFrame:
+    """Rows (slice, bucket, blob): the tables of the restaurants of each slice's words; buckets are numbered on."""
+
+    def run(t: pa.Table, s: pa.Table) -> pa.Table:
+        got = [_unzip(x.as_py(), np.uint64, *[np.uint32] * SAMPLES) for x in s.column("blob")]
+        known, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *(g[0] for g in got)]), return_inverse=True)
+        sums = [np.append(np.bincount(of, np.concatenate([np.zeros(0), *(g[k + 1] for g in got)]), minlength=len(known)), 0) for k in range(SAMPLES)]
+        blobs = []
+        for x in t.column("words"):
+            words = _unzip(x.as_py(), np.uint64)[0]
+            at = np.searchsorted(known, words)
+            at = np.where(np.append(known, np.uint64(0))[at] == words, at, len(known))
+            blobs.append(_zip(*(x[at].astype(np.uint32) for x in sums)))
+        return pa.table({"slice": t.column("slice"), "bucket": pa.array([b + buckets for b in t.column("bucket").to_pylist()], pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
-    return parts.where("bucket >= 0").groupBy("bucket").applyInArrow(run, "slice long, bucket long, blob binary, totals array<double>")
+    sent = back.where("slice = -2").select("bucket", "blob")
+    return parts.where("bucket >= 0").select("slice", "bucket", "words").groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(run, "slice long, bucket long, blob binary")
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,27 +306,37 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     size = src.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     buckets = max(4, -(-int(size) // BUCKET_BYTES))
     parts = written(cut(src, buckets), "slices")
-    back = written(answers(parts, buckets), "answers")
-    sums = {r["pos"]: r["x"] for r in back.where("slice < 0").select(F.posexplode("totals").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).collect()}
+    starts = followers(parts, buckets)
+    back = written(answers(parts, starts, buckets), "answers")
+    sums = {r["pos"]: r["x"] for r in back.where("slice = -1").select(F.posexplode("totals").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).collect()}
     if not sums:
         return docs.sparkSession.createDataFrame([], schema)
     flat = np.array([sums[k] for k in range(len(sums))])
-    types, train_tokens, customers = flat[0], int(flat[1]), flat[2 : 2 + CONTEXTS]
-    samples = flat[2 + CONTEXTS :].reshape(SAMPLES, 2 + CONTEXTS)
+    types, train_tokens = flat[0], int(flat[1])
+    samples = flat[2:].reshape(SAMPLES, 2 + 2 * CONTEXTS)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("bucket")
         blobs = [x.as_py() for x in t.column("blob")]
-        inverse, per, ids, null = _unzip(blobs[0], np.uint32, np.int64, np.int64, bool)
-        known, base, log = [], [], []
-        for blob in blobs[1:]:
-            total, pairs, context, left, *rest = _unzip(blob, np.int64, np.uint16, np.uint8, np.float32, *[np.float32] * SAMPLES)
+        inverse, per, ids, null, before = _unzip(blobs[0], np.uint32, np.int64, np.int64, bool, np.uint32)
+        half = len(blobs) // 2 + 1
+        got = [_unzip(x, np.int64, np.uint32, np.uint8, *[np.float32] * (3 * SAMPLES)) for x in blobs[1:half]]
+        rooms = [_unzip(x, *[np.uint32] * SAMPLES) for x in blobs[half:]]
+        # Every word but the end is followed once wherever it occurs, and an end opens a text: a word is its context's customers.
+        count = np.concatenate([g[0] for g in got])
+        room = [np.concatenate([r[k] for r in rooms]) for k in range(SAMPLES)]
+        known, base, log, at = [], [], [], 0
+        for total, pairs, kind, *rest in got:
             of = np.repeat(np.arange(len(total)), pairs)
+            prev = before[at : at + len(of)]
+            at += len(of)
             mean = np.zeros(len(of))
-            for (guests, upper, *tables), own in zip(samples, rest, strict=True):
-                parent = (own + (BASE_STRENGTH + BASE_DISCOUNT * upper) / (types + 1)) / (BASE_STRENGTH + guests)
-                mean += (STRENGTH + DISCOUNT * np.array(tables)[context]) * parent[of] / SAMPLES
-            log.append(np.log10((left + mean) / (STRENGTH + customers[context])))
+            for k, (guests, upper, *own) in enumerate(samples):
+                inside, tables = np.array(own[:CONTEXTS])[kind], np.array(own[CONTEXTS:])[kind]
+                parent = (rest[2 * SAMPLES + k] + (BASE_STRENGTH + BASE_DISCOUNT * upper) / (types + 1)) / (BASE_STRENGTH + guests)
+                middle = (rest[2 * k + 1] + (STRENGTH + DISCOUNT * tables) * parent[of]) / (STRENGTH + inside)
+                mean += (rest[2 * k] + (STRENGTH + DISCOUNT * room[k][prev]) * middle) / (STRENGTH + count[prev]) / SAMPLES
+            log.append(np.log10(mean))
             known.append((total > 0)[of])
             base.append(np.log10((total + 1) / (train_tokens + types + 1))[of])
         begin = np.cumsum(per) - per
@@ -246,5 +344,5 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         named = [None if no else int(i) for i, no in zip(ids, null, strict=True)]
         return pa.table({"doc_id": pa.array(named, pa.int64()), "held_out": pa.array([held_out(i) for i in named]), "n_tokens": pa.array(per), "n_known": pa.array(add(known).astype(np.int64)), "train_tokens": pa.array(np.full(len(per), train_tokens)), "base_score": pa.array(add(base)), "score": pa.array(add(log))})
 
-    both = parts.where("bucket < 0").unionByName(back.where("slice >= 0").drop("totals"))
+    both = parts.where("bucket < 0").drop("words").unionByName(back.where("slice >= 0").drop("totals")).unionByName(context_tables(parts, back, buckets))
     return both.groupBy("slice").applyInArrow(run, schema)

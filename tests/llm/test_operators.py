@@ -96,6 +96,27 @@ def test_language_model(docs, none, spark):
     assert big[0] > big[1]
 
 
+def test_each_previous_word_has_a_restaurant(spark):
+    # The two previous words end alike; only the whole word tells what follows.
+    train, held = [i for i in range(400) if not pitman_yor.held_out(i)], [i for i in range(400) if pitman_yor.held_out(i)]
+    rows = [(i, f"xaab left{i % 3} yaab right{i % 3} " * 5) for i in train]
+    rows += [(held[0], "xaab left1 yaab right1 " * 5), (held[1], "xaab right1 yaab left1 " * 5)]
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 10
+
+
+def test_probabilities_sum_to_one(spark):
+    train, held = [i for i in range(400) if not pitman_yor.held_out(i)], [i for i in range(400) if pitman_yor.held_out(i)]
+    rng, asked = random.Random(6), ["", "u", "u u", "u new", "new", "new u", "new new"]
+    rows = [(i, "u " * rng.randint(0, 6)) for i in train] + list(zip(held, asked, strict=False))
+    got = {r.doc_id: 10**r.score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    s = dict(zip(asked, (got[i] for i in held), strict=False))
+    # If the rows of "u" and of a text's start sum to one, the row of a new word is fixed: x is P(new | start) / P(u | start).
+    rest, uu, nn, un, nu = 1 - s[""], s["u u"] / s["u"], s["new new"] / s["new"], s["u new"] / s["new"], s["new u"] / s["u"]
+    x = (rest * (1 - uu) - s["u"]) / (s["u"] + rest * un)
+    assert s["new"] == pytest.approx(x * rest / (1 + x) * (1 - nn - nu / x), rel=1e-3)
+
+
 def test_seating_follows_the_conditional():
     import numpy as np
 
