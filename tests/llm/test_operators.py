@@ -359,6 +359,86 @@ def test_pipeline(spark):
     assert good.join(kept, "doc_id", "left_anti").count() <= 0.05 * good.count()
 
 
+def linked(items, same):
+    """The first item of each item's component, by brute force."""
+    root = list(range(len(items)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(items)), 2):
+        if same(items[a], items[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return [find(i) for i in range(len(items))]
+
+
+def near(a, b):
+    n = len(a & b)
+    return bool(a) and bool(b) and 100 * n >= 80 * (len(a) + len(b) - n)
+
+
+def test_whole_pipeline_against_plain_python(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    say = lambda tag, n: [f"{tag}{i}{rng.choice('abcdef')}{rng.randint(0, 999)}" for i in range(n)]
+    fold = lambda w: "\n".join(" ".join(w[i : i + 3]) for i in range(0, len(w), 3))
+    passage, footer = say("bench", 20), "this line closes each page of the site, all rights reserved"
+    texts = []
+    for g in range(6):
+        base = say(f"g{g}x", 104)
+        for k in (0, 2, 3, 0):  # 2 changed words leave a similarity of 0.82, 3 one of 0.74
+            w = [*base]
+            for j in range(k):
+                w[10 + 30 * j] = f"g{g}new{k}{j}zz"
+            # The order of a line's words survives, its breaks do not, so that the line stage leaves some copies whole.
+            texts.append(fold(w) if k == 0 else " ".join(w))
+    texts += [" ".join(say(f"s{i}x", 30)) + "\n" + footer + ("!" if i % 2 else "") for i in range(8)]
+    texts += [" ".join(say("l", 15) + passage + say("r", 15)), " ".join(say("m", 15) + passage[:10] + say("n", 15)), "too short", "", None, "again and again " * 20, footer]
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)]
+    items = [(0, " ".join(passage)), (1, None)]
+    for name, data, ddl in (("documents", rows, "doc_id long, text string, lang string, source string, n_chars long"), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(data, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    # Without labels only the base rules reject: at least ten words, few of them in repeated runs of five.
+    left = {}
+    for i, t in enumerate(texts):
+        w = words(t, lower=False)
+        win = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        cover = {j for k, x in enumerate(win) if win.count(x) > 1 for j in range(k, k + 5)}
+        if len(w) >= quality.MIN_WORDS and 100 * len(cover) <= quality.REPEAT_PERCENT * len(w):
+            left[i] = t
+    lines = [(i, k, x, {x[j : j + 8] for j in range(max(1, len(x) - 7))}) for i, t in left.items() for k, x in enumerate(t.split("\n")) if WORDS.search(x)]
+    first = linked(lines, lambda a, b: a[2] == b[2] or near(a[3], b[3]))
+    drop = {lines[j][:2] for j, f in enumerate(first) if f != j}
+    left = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in drop) for i, t in left.items()}
+    left = {i: t for i, t in left.items() if words(t)}
+    lined = len(left)
+    ids = list(left)
+    first = linked([shingles(left[i]) for i in ids], near)
+    left = {i: left[i] for j, i in enumerate(ids) if first[j] == j}
+    unique = len(left)
+    leaks = [shingles(t) for _, t in items if t]
+    left = {i: t for i, t in left.items() if not any(100 * len(x & shingles(t)) >= 80 * len(x) for x in leaks)}
+    assert len(texts) > lined > unique > len(left) > 10  # every stage has something to do
+
+    lib, got = Tokenizer.from_file(queries._vocabulary("byte_bpe_50k.json")), {}
+    for r in sorted(p.run(spark, str(tmp_path)).collect(), key=lambda r: (r.doc_id, r.start)):
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    assert set(got) == set(left)
+    for i, t in left.items():
+        want, at = lib.encode(t, add_special_tokens=False).ids + [1], 0
+        for start, length, crc in got[i]:
+            assert start == at and crc == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in want[at : at + length]))
+            at += length
+        assert at == len(want)
+
+
 def test_pipeline_links_from_similarity_80(spark):
     import corpus_pipeline as p
 
