@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _words(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body reads it, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -30,13 +37,18 @@ def to_number(c: Column, digits: int) -> Column:
 
 def to_date(c: Column) -> Column:
     """YYYYMMDD as text. Eight digits pass unchecked; years before 1911 count from 1911."""
-    t = F.replace(F.replace(to_text(c), F.lit("."), F.lit("/")), F.lit(" "), F.lit(""))
-    pattern = r"^(\d{3,4})[/-](\d{1,2})[/-](\d{1,2})$"
-    part = lambda k: F.regexp_extract(t, pattern, k).try_cast("int")
-    year, month, day = part(1), part(2), part(3)
-    year = F.when(year < 1911, year + 1911).otherwise(year)
-    ok = month.between(1, 12) & day.between(1, 31)
-    return F.when(t.rlike(r"^\d{8}$"), t).when(ok, F.format_string("%04d%02d%02d", year, month, day)).otherwise("")
+    # Separators are removed and each part is held in a fixed place: one pass of one pattern a value.
+    t = F.translate(to_text(c), ". ", "/")
+    made = F.regexp_replace(t, r"^(\d{3,4})[/-](\d{1,2})[/-](\d{1,2})$", "$1/0$2/0$3/")
+
+    def parts(p: Column) -> Column:
+        piece = lambda k: F.get(p, F.lit(k)).try_cast("int")
+        two = lambda k: F.right(F.get(p, F.lit(k)), F.lit(2))
+        year = F.lpad(F.when(piece(0) < 1911, piece(0) + 1911).otherwise(piece(0)).cast("string"), 4, "0")
+        whole = F.get(p, F.lit(0))
+        return F.when((F.size(p) == 1) & whole.rlike(r"^\d{8}$"), whole).when((F.size(p) == 4) & piece(1).between(1, 12) & piece(2).between(1, 31), F.concat(year, two(1), two(2))).otherwise("")
+
+    return let(F.split(made, "/"), parts)
 
 
 def to_width(c: Column) -> Column:
@@ -65,17 +77,18 @@ def _aliases() -> Column:
     return F.array(*[F.struct(F.lit(len(k)).alias("len"), F.lit(-i).alias("ord"), F.lit(f).alias("field"), F.lit(k).alias("key")) for f, k, i in S.ALIAS_KEYS])
 
 
+def _has_ignored(key: Column) -> Column:
+    return F.exists(_words(S.IGNORED_KEYS), lambda w: F.contains(key, w))
+
+
 def header_field(c: Column) -> Column:
     """Longest alias in the header, the earlier of equals; null for ignored headers and no alias."""
-    key = header_key(c)
-    ignored = F.exists(_words(S.IGNORED_KEYS), lambda w: F.contains(key, w))
-    best = F.array_max(F.filter(_aliases(), lambda a: F.contains(key, a["key"])))
-    return F.when(~ignored, best["field"])
+    best = lambda key: F.array_max(F.filter(_aliases(), lambda a: F.contains(key, a["key"])))["field"]
+    return let(header_key(c), lambda key: F.when(~_has_ignored(key), best(key)))
 
 
 def header_ignored(c: Column) -> Column:
-    key = header_key(c)
-    return F.exists(_words(S.IGNORED_KEYS), lambda w: F.contains(key, w))
+    return let(header_key(c), _has_ignored)
 
 
 def resolve_field(c: Column) -> Column:
@@ -85,14 +98,16 @@ def resolve_field(c: Column) -> Column:
 
 def header_candidates(c: Column) -> Column:
     """All fields with an alias in a (merged) header: longest alias first, then name, both descending."""
-    key = header_key(c)
-    per_field = []
-    for field in S.ALIASES:
-        keys = [k for f, k, _ in S.ALIAS_KEYS if f == field]
-        length = F.array_max(F.transform(F.filter(_words(keys), lambda k: F.contains(key, k)), F.length))
-        per_field.append(F.when(length.isNotNull(), F.struct(length.alias("len"), F.lit(field).alias("field"))))
-    found = F.filter(F.array(*per_field), lambda x: x.isNotNull())
-    return F.transform(F.reverse(F.array_sort(found)), lambda x: x["field"])
+
+    def found(key: Column) -> Column:
+        per_field = []
+        for field in S.ALIASES:
+            keys = [k for f, k, _ in S.ALIAS_KEYS if f == field]
+            length = F.array_max(F.transform(F.filter(_words(keys), lambda k: F.contains(key, k)), F.length))
+            per_field.append(F.struct(length.alias("len"), F.lit(field).alias("field")))
+        return F.transform(F.reverse(F.array_sort(F.filter(F.array(*per_field), lambda x: x["len"].isNotNull()))), lambda x: x["field"])
+
+    return let(header_key(c), found)
 
 
 def code_changed(c: Column) -> Column:
@@ -106,16 +121,6 @@ def repair_code(c: Column) -> Column:
     return F.when(code_changed(c), F.concat(F.lit("0"), F.substring(c, 2, 2**31 - 1))).otherwise(c)
 
 
-def strip_fences(c: Column) -> Column:
-    t = stripped(c)
-    pattern = r"(?s)^```[a-zA-Z]*\s*\n(.*)\n?```$"
-    return F.when(t.rlike(pattern), stripped(F.regexp_extract(t, pattern, 1))).otherwise(t)
-
-
-def drop_trailing_commas(c: Column) -> Column:
-    return F.regexp_replace(c, r",(\s*[}\]])", "$1")
-
-
 def answer_null(c: Column) -> Column:
     """Words for "no field" become null."""
     t = stripped(c)

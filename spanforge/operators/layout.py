@@ -1,53 +1,80 @@
 """From positioned text to tables. A page is one row with its spans in an array, so one
-shuffle by (doc_id, page) serves every operator; a page's spans are bounded by its paper."""
+shuffle by (doc_id, page) serves every operator; a page's spans are bounded by its paper.
+
+What an array lambda reads besides its own element is bound by ``let`` first: the optimizer
+would otherwise copy a column's whole expression into the lambda and run it per element."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions.scalar import let
+
 KEY = ("doc_id", "page")
 
 
 def is_rule(c: Column) -> Column:
-    return F.trim(c).rlike("^-{4,}$")
+    """Four hyphens or more and nothing else, but for blanks at the ends."""
+    t = F.trim(c)
+    return (F.length(t) >= 4) & (F.translate(t, "-", "") == "")
 
 
 def pages(spans: DataFrame) -> DataFrame:
-    """doc_id, page, s: spans sorted by (y, x, text, span_seq)."""
-    return spans.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("y", "x", "text", "span_seq"))).alias("s"))
+    """doc_id, page, s: spans sorted by (y, x, text, span_seq) with their rule flag; first: the
+    least y of a text that begins with 6; low: the largest y."""
+    marked = spans.select(*KEY, "y", "x", "text", "span_seq", is_rule(F.col("text")).alias("rule"))
+    return marked.groupBy(*KEY).agg(
+        F.array_sort(F.collect_list(F.struct("y", "x", "text", "span_seq", "rule"))).alias("s"),
+        F.min(F.when(F.col("text").startswith("6"), F.col("y"))).alias("first"), F.max("y").alias("low"),
+    )
 
 
 def _field(a: Column, name: str) -> Column:
     return F.transform(a, lambda z: z[name])
 
 
+def repeated_top(s: Column) -> Column:
+    """The least y among x places that hold three texts or more: of texts sorted by (x, y), those
+    whose x is also that of the one two further on; one sort a page."""
+    places = F.array_sort(F.transform(F.filter(s, lambda z: ~z["rule"]), lambda z: F.struct(z["x"].alias("x"), z["y"].alias("y"))))
+    return let(places, lambda w: F.array_min(F.transform(F.filter(w, lambda z, i: F.get(w, i + 2)["x"] == z["x"]), lambda z: z["y"])))
+
+
 def with_bounds(df: DataFrame) -> DataFrame:
     """Adds top and bottom; null where the page holds no table."""
-    s = F.col("s")
-    primary = F.array_min(_field(F.filter(s, lambda z: z["text"].startswith("6")), "y"))
-    words = F.filter(s, lambda z: ~is_rule(z["text"]))
-    # x places that recur three times: sorted x that equal the one two before.
-    xs = F.array_sort(_field(words, "x"))
-    often = F.filter(xs, lambda x, i: (i >= 2) & (F.get(xs, i - 2) == x))
-    fallback = F.array_min(_field(F.filter(words, lambda z: F.array_contains(often, z["x"])), "y"))
-    df = df.withColumn("top", F.when(primary.isNotNull(), primary).otherwise(fallback))
-    feet = _field(F.filter(s, lambda z: is_rule(z["text"]) & (F.length(z["text"]) > 50) & (z["y"] > F.col("top"))), "y")
-    bottom = F.coalesce(F.array_min(feet) - 3, F.array_max(_field(s, "y")))
-    return df.withColumn("bottom", F.when(F.col("top").isNotNull(), bottom))
+    df = df.withColumn("top", F.when(F.col("first").isNotNull(), F.col("first")).otherwise(repeated_top(F.col("s"))))
+    feet = let(F.col("top"), lambda top: F.array_min(_field(F.filter("s", lambda z: z["rule"] & (F.length(z["text"]) > 50) & (z["y"] > top)), "y")))
+    return df.withColumn("bottom", F.when(F.col("top").isNotNull(), F.coalesce(feet - 3, F.col("low"))))
+
+
+def _distinct(a: Column) -> Column:
+    return F.array_sort(F.array_distinct(_field(a, "x")))
+
+
+def _body_edges(s: Column, top: Column, bottom: Column) -> Column:
+    """At most ten left edges of body texts, each over 20 right of the one before."""
+    body = _distinct(F.filter(s, lambda z: (z["y"] >= top) & (z["y"] < bottom) & ~z["rule"]))
+    spread = F.aggregate(body, F.array().cast("array<int>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > 20), F.concat(acc, F.array(x))).otherwise(acc))
+    return F.slice(spread, 1, 10)
 
 
 def with_lefts(df: DataFrame) -> DataFrame:
     """Adds lefts (ascending) and tier: 1 header rules, 2 header texts, 3 body positions."""
-    top, s = F.col("top"), F.col("s")
-    head = F.filter(s, lambda z: z["y"] < top)
-    distinct = lambda a: F.array_sort(F.array_distinct(_field(a, "x")))
-    one = distinct(F.filter(head, lambda z: is_rule(z["text"])))
-    two = distinct(F.filter(head, lambda z: (F.length(z["text"]) <= 12) & (z["y"] > top - 60)))
-    body = distinct(F.filter(s, lambda z: (z["y"] >= top) & (z["y"] < F.col("bottom")) & ~is_rule(z["text"])))
-    spread = F.aggregate(body, F.array().cast("array<int>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > 20), F.concat(acc, F.array(x))).otherwise(acc))
-    df = df.withColumn("tier", F.when(F.size(one) > 0, 1).when(F.size(two) > 0, 2).otherwise(3))
-    return df.withColumn("lefts", F.when(F.col("tier") == 1, one).when(F.col("tier") == 2, two).otherwise(F.slice(spread, 1, 10)))
+    s = F.col("s")
+
+    def edges(b: Column) -> Column:
+        top, bottom = b["top"], b["bottom"]
+        one = _distinct(F.filter(s, lambda z: z["rule"] & (z["y"] < top)))
+        two = _distinct(F.filter(s, lambda z: (z["y"] < top) & (z["y"] > top - 60) & (F.length(z["text"]) <= 12)))
+        made = lambda tier, lefts: F.struct(F.lit(tier).alias("tier"), lefts.alias("lefts"))
+        return let(one, lambda a: F.when(F.size(a) > 0, made(1, a)).otherwise(let(two, lambda t: F.when(F.size(t) > 0, made(2, t)).otherwise(made(3, _body_edges(s, top, bottom))))))
+
+    found = let(F.struct(F.col("top").alias("top"), F.col("bottom").alias("bottom")), edges)
+    df = df.withColumn("__edges", found)
+    return df.select("*", F.col("__edges.tier").alias("tier"), F.col("__edges.lefts").alias("lefts")).drop("__edges")
 
 
 def column_index(lefts: Column, x: Column) -> Column:
@@ -68,31 +95,76 @@ def tables(spans: DataFrame) -> DataFrame:
 
 def body_cells(df: DataFrame, tolerance: int = 2) -> DataFrame:
     """Long form of the body's spans: row_idx, col_idx, y, x, text, span_seq."""
-    body = F.filter("s", lambda z: (z["y"] >= F.col("top") - 5) & (z["y"] < F.col("bottom")) & ~is_rule(z["text"]))
-    df = df.withColumn("body", body)
-    df = df.withColumn("anchors", row_anchors(F.array_sort(F.array_distinct(_field(F.col("body"), "y"))), tolerance))
-    flat = df.select(*KEY, "lefts", "anchors", F.inline("body"))
-    return flat.select(*KEY, column_index(F.col("anchors"), F.col("y")).alias("row_idx"), column_index(F.col("lefts"), F.col("x")).alias("col_idx"), "y", "x", "text", "span_seq")
+    inside = lambda b: F.filter("s", lambda z: ~z["rule"] & (z["y"] >= b["top"] - 5) & (z["y"] < b["bottom"]))
+
+    def placed(b: Column) -> Column:
+        def rows(body: Column) -> Column:
+            anchors = row_anchors(F.array_distinct(_field(body, "y")), tolerance)  # spans are sorted by y
+            cell = lambda e: lambda z: F.struct(column_index(e["anchors"], z["y"]).alias("row_idx"), column_index(e["lefts"], z["x"]).alias("col_idx"), *[z[c].alias(c) for c in ("y", "x", "text", "span_seq")])
+            return let(F.struct(anchors.alias("anchors"), b["lefts"].alias("lefts")), lambda e: F.transform(body, cell(e)))
+
+        return let(inside(b), rows)
+
+    bound = F.struct(*[F.col(c).alias(c) for c in ("top", "bottom", "lefts")])
+    return df.select(*KEY, F.inline(let(bound, placed)))
+
+
+def grid_rows(spans: DataFrame, tolerance: int = 2) -> DataFrame:
+    """doc_id, page, row_idx, cells: array of (col_idx, value) by column, values joined in (y, x, text) order."""
+    cells = body_cells(tables(spans), tolerance)
+    rows = cells.groupBy(*KEY, "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "y", "x", "text"))).alias("c"))
+    # Spans are sorted by column: a cell begins where the column changes.
+    merged = F.aggregate(
+        "c", F.array().cast("array<struct<col_idx:int,value:string>>"),
+        lambda acc, z: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["col_idx"] == z["col_idx"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(z["col_idx"].alias("col_idx"), F.concat(F.element_at(acc, -1)["value"], z["text"]).alias("value")))))
+        .otherwise(F.concat(acc, F.array(F.struct(z["col_idx"].alias("col_idx"), z["text"].alias("value"))))),
+    )
+    return rows.select(*KEY, "row_idx", merged.alias("cells"))
 
 
 def grid(spans: DataFrame, tolerance: int = 2) -> DataFrame:
     """doc_id, page, row_idx, col_idx, value: cells joined in (y, x, text) order."""
-    cells = body_cells(tables(spans), tolerance)
-    parts = F.array_sort(F.collect_list(F.struct("y", "x", "text")))
-    return cells.groupBy(*KEY, "row_idx", "col_idx").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("value"))
+    return grid_rows(spans, tolerance).select(*KEY, "row_idx", F.inline("cells"))
 
 
 def nearest_headers(spans: DataFrame, reach: int = 40, above: int = 25) -> DataFrame:
     """doc_id, page, col_idx, header: the nearest header text of each column, null if none is near."""
-    df = tables(spans)
-    head = F.filter("s", lambda z: (z["y"] < F.col("top")) & (z["y"] >= F.col("top") - above) & ~is_rule(z["text"]))
-    df = df.withColumn("head", head).select(*KEY, "head", F.posexplode("lefts").alias("col_idx", "edge"))
-    near = F.filter("head", lambda z: F.abs(z["x"] - F.col("edge")) < reach)
-    best = F.array_min(F.transform(near, lambda z: F.struct(F.abs(z["x"] - F.col("edge")).alias("d"), z["span_seq"].alias("n"), z["text"].alias("t"))))
-    return df.select(*KEY, "col_idx", best["t"].alias("header"))
+
+    def near(head: Column, edge: Column) -> Column:
+        gap = lambda z: F.abs(z["x"] - edge)
+        return F.array_min(F.transform(F.filter(head, lambda z: gap(z) < reach), lambda z: F.struct(gap(z).alias("d"), z["span_seq"].alias("n"), z["text"].alias("t"))))["t"]
+
+    heads = lambda top: F.filter("s", lambda z: ~z["rule"] & (z["y"] < top) & (z["y"] >= top - above))
+    named = let(F.col("top"), lambda top: let(heads(top), lambda head: F.transform("lefts", lambda e: near(head, e))))
+    return tables(spans).select(*KEY, F.posexplode(named).alias("col_idx", "header"))
 
 
 def page_preview(spans: DataFrame, width: int = 70) -> DataFrame:
     """doc_id, page, y, line: the texts of equal y, left to right."""
     parts = F.array_sort(F.collect_list(F.struct("x", "text", "span_seq")))
     return spans.groupBy(*KEY, "y").agg(F.substring(F.array_join(F.transform(parts, lambda p: p["text"]), " "), 1, width).alias("line"))
+
+
+def page_runs(spans: DataFrame, width: int = 34) -> DataFrame:
+    """doc_id, page, run, x, line: texts of consecutive equal x in (y, x, text) order, joined and cut to width."""
+
+    def step(acc: Column, z: Column) -> Column:
+        last = F.element_at(acc, -1)
+        grown = F.struct(last["x"].alias("x"), F.concat_ws(" ", last["line"], z["text"]).alias("line"))
+        new = F.struct(z["x"].alias("x"), z["text"].alias("line"))
+        return F.when((F.size(acc) > 0) & (last["x"] == z["x"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
+
+    s = F.array_sort(F.collect_list(F.struct("y", "x", "text", "span_seq")))
+    runs = F.aggregate("s", F.array().cast("array<struct<x:int,line:string>>"), step)
+    flat = spans.groupBy(*KEY).agg(s.alias("s")).select(*KEY, F.posexplode(runs).alias("run", "r"))
+    return flat.select(*KEY, "run", F.col("r.x").alias("x"), F.substring("r.line", 1, width).alias("line"))
+
+
+def truth_tables(spans: DataFrame, tolerance: int = 2, width: int = 70) -> DataFrame:
+    """doc_id, page, top, bottom, tier, lefts, rows, previews: what the layout operators find on a
+    page, one row a page, with the number of rows and a line of text for each of them."""
+    t = tables(spans)
+    row = F.struct("row_idx", F.substring(F.array_join(_field(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), "text"), " "), 1, width).alias("line"))
+    lines = body_cells(t, tolerance).groupBy(*KEY, "row_idx").agg(row["line"].alias("line"))
+    per = lines.groupBy(*KEY).agg(F.count("*").alias("rows"), F.array_sort(F.collect_list(F.struct("row_idx", "line"))).alias("l"))
+    return t.select(*KEY, "top", "bottom", "tier", "lefts").join(per, list(KEY), "left").select(*KEY, "top", "bottom", "tier", "lefts", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce(_field(F.col("l"), "line"), F.array().cast("array<string>")).alias("previews"))

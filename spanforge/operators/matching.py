@@ -73,11 +73,9 @@ def infer(lefts: list[int], headers: list[tuple[int, list[str]]]) -> tuple[list,
 def infer_fields(spans: DataFrame) -> DataFrame:
     """doc_id, page, fields, safe: the field of every column of a page."""
     t = L.tables(spans)
-    head = F.filter("s", lambda z: (z["y"] < F.col("top")) & ~L.is_rule(z["text"]))
-    t = t.withColumn("head", head)
-    xs = F.transform("head", lambda z: z["x"])
-    fields = F.transform("head", lambda z: C.header_candidates(z["text"]))
-    t = t.select(*L.KEY, "lefts", xs.alias("xs"), fields.alias("found"))
+    head = C.let(F.col("top"), lambda top: F.filter("s", lambda z: ~z["rule"] & (z["y"] < top)))
+    found = C.let(head, lambda h: F.struct(F.transform(h, lambda z: z["x"]).alias("xs"), F.transform(h, lambda z: C.header_candidates(z["text"])).alias("found")))
+    t = t.select(*L.KEY, "lefts", found.alias("h")).select(*L.KEY, "lefts", "h.xs", "h.found")
     schema = T.StructType([t.schema[c] for c in L.KEY] + [T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("safe", T.BooleanType())])
 
     def run(frames):
@@ -141,11 +139,13 @@ def vote(proposals: DataFrame, key: str = "doc_id") -> DataFrame:
     return out.select(key, F.when(2 * F.col("votes") > F.col("runs"), F.col("m")).alias("mapping"), "votes", "runs")
 
 
-def apply_grid(grid: DataFrame, mappings: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Long cells (…, row_idx, field, value) of rows that have an order number."""
-    placed = grid.join(mappings.select(*key, F.posexplode("mapping").alias("col_idx", "field")), [*key, "col_idx"]).where("field IS NOT NULL")
-    rows = placed.where("field = 'ORD_NO'").select("doc_id", "page", "row_idx").distinct()
-    return placed.join(rows, ["doc_id", "page", "row_idx"], "left_semi").select("doc_id", "page", "row_idx", "field", "value")
+def apply_grid(rows: DataFrame, mappings: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Long cells (…, row_idx, field, value) of rows that have an order number.  rows: layout.grid_rows()."""
+    joined = rows.join(mappings.select(*key, "mapping"), list(key))
+    named = C.let(F.col("mapping"), lambda m: F.transform("cells", lambda c: F.struct(F.get(m, c["col_idx"]).alias("field"), c["value"].alias("value"))))
+    # Cells without a field go; so does a row without an order number.
+    wanted = C.let(named, lambda n: F.when(F.exists(n, lambda c: F.coalesce(c["field"] == "ORD_NO", F.lit(False))), F.filter(n, lambda c: c["field"].isNotNull())))
+    return joined.select("doc_id", "page", "row_idx", F.inline(wanted))
 
 
 def skipped_pages(pages: DataFrame, mappings: DataFrame) -> DataFrame:

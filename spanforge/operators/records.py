@@ -19,9 +19,10 @@ def from_raw(raw: DataFrame, keep: tuple[str, ...] = ("doc_id", "rec_seq")) -> D
 
 def apply_mapping(rows: DataFrame, keep: tuple[str, ...] = ("doc_id", "rec_seq")) -> DataFrame:
     """Records from long rows (keep..., ord, key, value): of equal fields the last ord wins."""
-    field = C.resolve_field(F.col("key"))
-    known = rows.withColumn("field", field).where("field IS NOT NULL")
-    last = known.groupBy(*keep).agg(*[F.max_by("value", F.when(F.col("field") == f, F.col("ord"))).alias(f) for f in S.IMPORTED])
+    # The field is resolved once a cell; rows of keys without any field fall out afterwards, as a
+    # filter before the aggregate would resolve every header again.
+    cells = rows.select(*keep, "ord", C.resolve_field(F.col("key")).alias("field"), "value")
+    last = cells.groupBy(*keep).agg(F.count("field").alias("known"), *[F.max_by("value", F.when(F.col("field") == f, F.col("ord"))).alias(f) for f in S.IMPORTED]).where("known > 0")
     return last.select(*keep, *[C.coerce(f, F.col(f)).alias(f) for f in S.IMPORTED], *[F.lit("").alias(f) for f in S.BLANK_FIELDS])
 
 

@@ -316,7 +316,7 @@ def _docs_mapping(spark, d):
 
 @query(SPANS + f", m AS (SELECT unnest({_list(_GOOD)}) AS field, generate_subscripts({_list(_GOOD)}, 1) - 1 AS col_idx) SELECT doc_id, page, row_idx, field, value FROM grid JOIN m USING (col_idx) WHERE field IS NOT NULL AND (doc_id, page, row_idx) IN (SELECT doc_id, page, row_idx FROM grid WHERE col_idx = 0)")
 def apply_grid_mapping(spark, d):
-    return M.apply_grid(L.grid(_spans(spark, d)), _docs_mapping(spark, d))
+    return M.apply_grid(L.grid_rows(_spans(spark, d)), _docs_mapping(spark, d))
 
 
 @query(SPANS + "SELECT doc_id, page, len(lefts)::INT AS n, 10 AS wanted FROM lefts WHERE len(lefts) <> 10")
