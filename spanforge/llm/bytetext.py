@@ -16,10 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
-BATCH_ROWS = 1000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15 | 1
@@ -30,14 +28,6 @@ _BLANK[[32, *range(9, 14)]] = True
 _power: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def lean(df: DataFrame) -> DataFrame:
-    """Keeps Arrow batches of long texts small, unless the session has a size of its own."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(name)) == 10_000:  # Spark's default, meant for short rows
-        conf.set(name, str(BATCH_ROWS))
-    return df
-
-
 def tidy(run: Callable) -> Callable:
     """A batch function that gives a task's memory back when it ends, as workers live on."""
 

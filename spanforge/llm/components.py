@@ -11,23 +11,23 @@ from spanforge.llm.storage import dropped, written
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of all nodes in an edge; component is the smallest node reachable.
 
-    Each round takes two shuffles by node with map-side minima; a node with very many edges
-    is a plain skewed join, which adaptive execution splits.  Rounds end when the edges stay
-    as they are.  Nulls and self-links are ignored; no edges give an empty table.
+    Each round takes minima by node, combined before the shuffle, and joins them back.  Minima
+    are written before they are joined, so both sides of a join are plain shuffles: adaptive
+    execution can then split a node with very many edges, or broadcast small minima.  Rounds
+    end when the edges stay as they are.  Nulls and self-links are ignored; no edges give an
+    empty table.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = written(e, "edges")
+    e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        large = written(both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         nxt = written(small, "edges")
         after = _state(nxt)
-        dropped(e.sparkSession, e)
+        dropped(e, low, large, least)
         e = nxt
         if after == state:
             break

@@ -26,8 +26,10 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanforge.llm.bytetext import lean, tidy
+from spanforge.llm.bytetext import tidy
+from spanforge.llm.columns import beside, unused
 
 SPACE = "▁"
 MAX_STATES = 400_000
@@ -251,9 +253,9 @@ _LOADED: dict[str, CountTransducer] = {}
 
 def count_tokens(df: DataFrame, model_file: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 4096) -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit to the kept columns; a narrow map without shuffle."""
-    from pyspark.sql import types as T
-
-    src = df.select(*keep, F.col(text_col).alias("__text"))
+    named = beside(keep, ("n_bytes", "n_tokens", "over_limit"))
+    src = df.select(*[F.col(f"`{c}`").alias(x) for c, x in named.items()], F.col(text_col).cast("string").alias(unused("text", named.values())))
+    keep = tuple(named.values())
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType())])
     names = list(keep)
 
@@ -267,5 +269,5 @@ def count_tokens(df: DataFrame, model_file: str, *, text_col: str = "text", keep
             sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts, pa.int64()), sizes], names=[*names, "n_tokens", "n_bytes"])
 
-    out = lean(src).mapInArrow(tidy(run), schema)
+    out = src.mapInArrow(tidy(run), schema)
     return out.select(*keep, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

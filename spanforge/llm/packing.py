@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.bytetext import lean, tidy
+from spanforge.llm.bytetext import tidy
 
 CAPACITY = 2048
 CLOSING_ID = 1
@@ -177,7 +177,7 @@ def pack(df: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_col
         if rows := close(last=True):
             yield emit(rows)
 
-    return lean(src).mapInArrow(tidy(run), schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_paths: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Without either, a temporary folder serves a local master alone; on a cluster that is an error,
+    as no machine would see what another has written.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = own.get() if own.isDefined() else None
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
@@ -22,7 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/spanforge-{name}-{uuid.uuid4().hex}"
+    """A new place; what is left of it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/spanforge-{name}-{uuid.uuid4().hex}"
+    if not _paths:
+        atexit.register(remove_all)
+    _paths.add(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,12 +52,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, *frames: DataFrame) -> None:
+def dropped(*frames: DataFrame) -> None:
     """Removes tables that written() made and nothing reads any longer."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for df in frames:
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            if "/spanforge-" in f:
-                p = jvm.org.apache.hadoop.fs.Path(f)
-                p.getFileSystem(conf).delete(p, True)
+        for path in {p for p in _paths if any(p.rsplit("/", 1)[-1] in f for f in df.inputFiles())}:
+            _remove(path)
+
+
+def remove_all() -> None:
+    """Removes every table and archive folder of this driver; results not yet written are lost."""
+    for path in list(_paths):
+        _remove(path)
+
+
+def _remove(path: str) -> None:
+    _paths.discard(path)
+    with contextlib.suppress(OSError, ValueError):  # gone already, or a store that Arrow can't reach: left to its owner
+        store, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store.delete_dir(place)
