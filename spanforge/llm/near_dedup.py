@@ -15,9 +15,10 @@ members that are already connected are not compared again, so a huge group of co
 in proportion to its size.
 
 Defined results: a null or blank text has an empty set, is linked with nothing and kept;
-repeated rows have equal sets and share a component; rows with the same id are one
-document; a null id is left out of linking (component null, kept); ties go to the smallest
-id; columns beside id and text are ignored; an empty table gives an empty result.
+repeated rows have equal sets and share a component; rows with the same id are one document,
+so all its sets are linked and its rows share a component; a null id is left out of linking
+(component null, kept); ties go to the smallest id; columns beside id and text are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.bytetext import Bytes, lean, shingles, slices, tidy
+from spanforge.llm.bytetext import Bytes, mix, shingles, slices, tidy
 from spanforge.llm.components import connected_components
 from spanforge.llm.minhash import bands, minima
-from spanforge.llm.storage import written
+from spanforge.llm.storage import dropped, written
 
 HASHES, ROWS = 128, 4
 PERCENT = 85
@@ -50,26 +51,32 @@ def least_agreeing(percent: int) -> int:
     return n
 
 
+def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle) sorted by both, shingles per text, and a 64-bit name of each text's set."""
+    b = Bytes(texts, lower=True)
+    doc, code = shingles(b.words(), b.n)
+    count = np.bincount(doc, minlength=b.n)
+    begin = np.cumsum(count) - count
+    one, two = np.zeros(b.n, np.uint64), np.zeros(b.n, np.uint64)
+    full = np.flatnonzero(count)
+    if len(full):
+        one[full] = np.add.reduceat(code, begin[full])
+        two[full] = np.add.reduceat(code * (code | np.uint64(1)), begin[full])
+    return doc, code, count, mix(one ^ mix(two ^ mix(count.astype(np.uint64)))).view(np.int64)
+
+
 def node_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit sums that stand for the set, and the signature."""
+    """doc_id, n_shingles, node (the name of the set) and the signature."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            b = Bytes(part.column(1), lower=True)
-            doc, code = shingles(b.words(), b.n)
-            count = np.bincount(doc, minlength=b.n)
-            begin = np.cumsum(count) - count
-            one, two = np.zeros(b.n, np.uint64), np.zeros(b.n, np.uint64)
-            full = np.flatnonzero(count)
-            if len(full):
-                one[full] = np.add.reduceat(code, begin[full])
-                two[full] = np.add.reduceat(code * (code | np.uint64(1)), begin[full])
-            sig = minima(doc, code, b.n, HASHES)
-            sig_col = pa.FixedSizeBinaryArray.from_buffers(pa.binary(HASHES * 4), b.n, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), sig_col], names=["doc_id", "n_shingles", "set_a", "set_b", "sig"])
-
-    return lean(src).mapInArrow(tidy(run), "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
+            doc, code, count, node = _features(part.column(1))
+            sig = minima(doc, code, len(node), HASHES)
+            sig_col = pa.FixedSizeBinaryArray.from_buffers(pa.binary(HASHES * 4), len(node), [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count.astype(np.int64)), pa.array(node), sig_col], names=["doc_id", "n_shingles", "node", "sig"])
+
+    return src.mapInArrow(tidy(run), "doc_id long, n_shingles long, node long, sig binary")
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
@@ -83,7 +90,7 @@ def band_keys(nodes: DataFrame) -> DataFrame:
                 node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], names=["key", "node"])
 
-    return lean(nodes.select("node", "sig")).mapInArrow(tidy(run), "key long, node long")
+    return nodes.select("node", "sig").mapInArrow(tidy(run), "key long, node long")
 
 
 def _matrix(sigs: pa.Array) -> np.ndarray:
@@ -91,19 +98,18 @@ def _matrix(sigs: pa.Array) -> np.ndarray:
 
 
 def node_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, codes) of the wanted nodes, read from their texts again."""
-    src = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    """(node, codes) of all sets of the wanted documents (one column of ids), read from their texts again."""
+    src = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     few = ids.count() <= BROADCAST_IDS
-    src = src.join(F.broadcast(ids) if few else ids, "node", "left_semi")
+    src = src.join(F.broadcast(ids) if few else ids, "rep", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            b = Bytes(part.column(1), lower=True)
-            doc, code = shingles(b.words(), b.n)
-            at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.n))])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([code[at[i] : at[i + 1]].tobytes() for i in range(b.n)], pa.binary())], names=["node", "codes"])
+            _, code, count, node = _features(part.column(1))
+            at = np.concatenate([[0], np.cumsum(count)])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([code[at[i] : at[i + 1]].tobytes() for i in range(len(node))], pa.binary())], names=["node", "codes"])
 
-    return lean(src).mapInArrow(tidy(run), "node long, codes binary")
+    return src.mapInArrow(tidy(run), "node long, codes binary")
 
 
 def small_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -126,7 +132,7 @@ def small_pairs(members: DataFrame, percent: int) -> DataFrame:
             yield _pairs(rest, least)
 
     dealt = members.repartition("key").sortWithinPartitions("key").select("key", "node", "sig")
-    return lean(dealt).mapInArrow(tidy(run), "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _pairs(t: pa.Table, least: int) -> pa.RecordBatch:
@@ -169,7 +175,7 @@ def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     withs = pairs.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("ca")), "a").join(sets.select(F.col("node").alias("b"), F.col("codes").alias("cb")), "b")
-    return lean(withs.select("a", "b", "ca", "cb")).mapInArrow(tidy(run), "a long, b long")
+    return withs.select("a", "b", "ca", "cb").mapInArrow(tidy(run), "a long, b long")
 
 
 def forest(node: np.ndarray, group: np.ndarray, codes: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -260,35 +266,59 @@ def large_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent:
     sides = pairs.select("key", "b1", "b2", F.col("b1").alias("block")).unionByName(pairs.where("b1 <> b2").select("key", "b1", "b2", F.col("b2").alias("block")))
     rows = placed.withColumn("block", F.xxhash64(F.coalesce("class", F.lit(-1)), F.col("class").isNull(), "part")).join(sides, ["key", "block"])
     rows = rows.select("node", "grp", F.col("key").alias("g1"), F.col("b1").alias("g2"), F.col("b2").alias("g3")).join(sets, "node")
-    return links.unionByName(block_links(rows, percent, sets_of))
+    links = written(links.unionByName(block_links(rows, percent, sets_of)), "links")
+    dropped(sizes, placed, blocks)
+    return links
+
+
+def same_ids(rows: DataFrame) -> DataFrame | None:
+    """Links between the sets of each id with several rows, as stars; null where every id has one.
+
+    rows: (doc_id, node), node null for an empty set.
+    """
+    several = written(rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    if several.isEmpty():
+        dropped(several)
+        return None
+    stars = rows.join(several.where("a <> z").select("doc_id", "a"), "doc_id").where("node <> a")
+    return stars.select("a", F.col("node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     feats = written(node_features(docs, id_col, text_col), "features")
     usable = feats.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    reps = written(reps, "sets")
-    # The signature of a node is the one of its smallest document.
-    nodes = usable.select("doc_id", "set_a", "sig").join(reps.select(F.col("node").alias("doc_id"), "set_a"), ["doc_id", "set_a"]).select(F.col("doc_id").alias("node"), "sig")
-    nodes = written(nodes.dropDuplicates(["node"]), "nodes")
+    # rep: the smallest document with a set stands for it.
+    reps = written(usable.groupBy("node").agg(F.min("doc_id").alias("rep")), "sets")
+    stars = same_ids(feats.where("doc_id IS NOT NULL").select("doc_id", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")))
+    nodes = usable.select(F.col("doc_id").alias("rep"), "node", "sig").join(reps, ["rep", "node"])
+    nodes = written((nodes if stars is None else nodes.dropDuplicates(["node"])).select("rep", "node", "sig"), "nodes")
     keys = band_keys(nodes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(keys.join(shared, "key"), "members")
-    wanted = written(members.select("node").distinct(), "wanted")
-    sets = written(node_sets(docs, wanted, id_col, text_col), "shingles")
+    wanted = written(members.select("node").distinct().join(reps, "node").select("rep").distinct(), "wanted")
+    sets = node_sets(docs, wanted, id_col, text_col)
+    # A repeated id may give a set several times.
+    sets = written(sets if stars is None else sets.dropDuplicates(["node"]), "shingles")
     few = members.where(F.col("n") <= SMALL).join(nodes, "node").select("key", "node", "sig")
     pairs = written(small_pairs(few, percent), "pairs")
     links = exact_links(pairs, sets, percent)
+    links = links if stars is None else links.unionByName(stars)
     large = members.where(F.col("n") > SMALL)
     links = written(links, "links") if large.isEmpty() else large_links(large, sets, links, percent)
-    comp = connected_components(links)
-    classes = reps.join(comp, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    light = feats.select("doc_id", "set_a", "set_b", "n_shingles")
-    out = light.join(classes, ["set_a", "set_b", "n_shingles"], "left")
-    # An empty set is linked with nothing, and rows with the same id are one document.
-    comp_id = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    dropped(nodes, members, wanted, sets, pairs)
+    # Components by set, named by their smallest document; sets without a link by their own.
+    linked = connected_components(links).join(reps, "node")
+    least = written(linked.groupBy("component").agg(F.min("rep").alias("low")), "least")
+    named = written(reps.join(linked.join(least, "component").select("node", "low"), "node", "left").select("node", F.coalesce("low", "rep").alias("component_id")), "named")
+    light = feats.select("doc_id", "n_shingles", "node")
+    alone = "n_shingles = 0 OR doc_id IS NULL"  # an empty set is linked with nothing, nor is a row without id
+    out = light.where(f"NOT ({alone})").join(named, "node").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(light.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    if stars is not None:  # an empty row of an id that has texts too
+        ids = out.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("own"))
+        out = out.join(ids, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def clean(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
