@@ -25,17 +25,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.bytetext import Bytes, Spans, char_shingles, lean, slices, tidy
+from spanforge.llm.bytetext import Bytes, Spans, char_shingles, slices, tidy
+from spanforge.llm.columns import unused
 from spanforge.llm.components import connected_components
 from spanforge.llm.minhash import bands, minima
 from spanforge.llm.near_dedup import large_links
-from spanforge.llm.storage import written
+from spanforge.llm.storage import dropped, written
 
 WIDTH = 8
 HASHES, ROWS = 64, 4
 PERCENT = 80
 SMALL_RUN = 10
 BROADCAST_ROWS = 1_000_000
+BUCKET_LINES = 60_000
 _SLICE = 1 << 17
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -96,7 +98,7 @@ def line_bands(docs: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield flush()
 
-    return lean(docs.select("text")).mapInArrow(tidy(run), "bucket long, keys binary, lines binary")
+    return docs.select("text").mapInArrow(tidy(run), "bucket long, keys binary, lines binary")
 
 
 def candidates(dealt: DataFrame) -> DataFrame:
@@ -158,7 +160,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 yield _verify(b.slice(at, 128), percent)
 
     two = pairs.join(texts.select(F.col("line").alias("a"), F.col("content").alias("ta")), "a").join(texts.select(F.col("line").alias("b"), F.col("content").alias("tb")), "b")
-    return lean(two.select("a", "b", "ta", "tb")).mapInArrow(tidy(run), "a long, b long")
+    return two.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _verify(b: pa.RecordBatch, percent: int) -> pa.RecordBatch:
@@ -180,8 +182,9 @@ def _verify(b: pa.RecordBatch, percent: int) -> pa.RecordBatch:
 
 def fuzzy_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """doc_id, line_no, first_doc_id, first_line_no, kept: one row per line with a word."""
-    src = docs.select(F.col("doc_id").cast("long"), "text")
-    buckets = max(8, 2 * src.rdd.getNumPartitions())
+    src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    lines = src.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    buckets = max(8, -(-int(lines) // BUCKET_LINES))
     found = written(candidates(line_bands(src, buckets)), "candidates")
     pairs = found.where("NOT large").select("a", "b").distinct()
     ends = F.when(F.col("large"), F.array("b")).otherwise(F.array("a", "b"))
@@ -202,6 +205,7 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("line_no").alias("l"))
     first = grouped.groupBy("grp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("grp", "first")
     first = written(first, "firsts")
+    dropped(found, wanted, texts, links)
     few = first.count() <= BROADCAST_ROWS
     out = grouped.join(F.broadcast(first) if few else first, "grp", "left").withColumn("first", F.coalesce("first", place))
     kept = (F.col("first.d") == place["d"]) & (F.col("first.l") == F.col("line_no"))
@@ -211,17 +215,18 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
 def clean(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """The documents without their dropped lines; one that loses its last word goes.
 
-    text is rebuilt and, where it exists, n_chars counted anew; other columns stay.
+    text is rebuilt and, where it exists, n_chars counted anew; other columns stay as they are, whatever their names.
     """
     lines = written(fuzzy_lines(docs, percent=percent).where("NOT kept AND doc_id IS NOT NULL").select("doc_id", "line_no").distinct(), "dropped")
-    per_doc = lines.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__drop"))
+    own, gone, new = (unused(x, docs.columns) for x in ("own_id", "gone_lines", "new_text"))
+    per_doc = lines.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line_no").alias(gone))
     few = lines.count() <= BROADCAST_ROWS
-    both = docs.join(F.broadcast(per_doc) if few else per_doc, docs["doc_id"] == F.col("__id"), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__drop", i))
-    out = both.withColumn("__text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept)))
-    out = out.where(F.col("__drop").isNull() | (F.btrim("__text", F.lit(BLANKS)) != ""))
+    both = docs.join(F.broadcast(per_doc) if few else per_doc, docs["doc_id"] == F.col(own), "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    out = both.withColumn(new, F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept)))
+    out = out.where(F.col(gone).isNull() | (F.btrim(new, F.lit(BLANKS)) != ""))
     cols = []
     for c in docs.columns:
-        changed = F.col("__text") if c == "text" else F.when(F.col("__drop").isNull(), F.col(c)).otherwise(F.length("__text")) if c == "n_chars" else F.col(c)
+        changed = F.col(new) if c == "text" else F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.length(new)) if c == "n_chars" else F.col(f"`{c}`")
         cols.append(changed.cast(docs.schema[c].dataType).alias(c))
     return out.select(*cols)
