@@ -1,6 +1,6 @@
 """Document quality: base rules and a calibrated n-gram classifier (operator 4).
 
-The classifier is a logistic regression over hashed n-grams (words: 1 and 2; UTF-8 bytes: 3
+The classifier is a logistic regression over hashed n-grams (words: 1 and 2; characters: 3
 and 5), each kind averaged over the text, fitted on at most ``TRAIN_ROWS`` labelled rows of
 at most ``TRAIN_BYTES`` each, chosen by a hash of their id.  Decision values are turned into
 probabilities by Platt's method on every fifth row, which the weights have not seen.  All
@@ -8,8 +8,8 @@ texts are then scored whole, in Arrow batches, with fixed weights and a fixed th
 
 Defined results: a null or blank text has 0 words and fails the base rules; without
 labelled rows of both classes the classifier accepts everything; repeated rows are judged
-each on their own; columns beside id and text are ignored; an empty table gives an empty
-result.
+each on their own; columns beside id and text are ignored unless kept, and a kept one with the
+name of a result column gets an underscore; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.bytetext import Bytes, Spans, give_back, lean, slices, tidy, windows
+from spanforge.llm.bytetext import Bytes, Spans, give_back, slices, tidy, windows
+from spanforge.llm.columns import beside, unused
 
 TRAIN_ROWS = 3000
 TRAIN_BYTES = 20_000
 THRESHOLD = 0.25
 BITS = 17
+CHARS = (3, 5)
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
@@ -77,15 +79,24 @@ def features(b: Bytes, words: Spans) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield words.doc, (words.code >> shift).astype(np.int64)
     first, code = windows(words, 2)
     yield words.doc[first], (code >> shift).astype(np.int64)
-    raw = b.raw.astype(np.uint32)
-    owner = np.repeat(np.arange(b.n), np.diff(b.bounds))
-    for k in (3, 5):
-        if len(raw) < k:
+    # Characters: the bytes of UTF-8 from one first byte to the next, folded into one number each.
+    raw = b.raw
+    head = np.flatnonzero((raw & 0xC0) != 0x80)
+    char = raw[head].astype(np.uint32)
+    length = np.diff(np.append(head, len(raw)))
+    for k in (1, 2, 3):
+        more = np.flatnonzero(length > k)
+        if not len(more):
+            break
+        char[more] = char[more] * np.uint32(0x101) + raw[head[more] + k]
+    owner = b.doc_of(head) if len(head) < len(raw) else np.repeat(np.arange(b.n), np.diff(b.bounds))
+    for k in CHARS:
+        if len(char) < k:
             yield np.zeros(0, np.int64), np.zeros(0, np.int64)
             continue
-        h = np.zeros(len(raw) - k + 1, np.uint32)
+        h = np.zeros(len(char) - k + 1, np.uint32)
         for j in range(k):
-            h = h * np.uint32(0x01000193) + raw[j : len(raw) - k + 1 + j]
+            h = h * np.uint32(0x01000193) + char[j : len(char) - k + 1 + j]
         h = (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
         whole = owner[k - 1 :] == owner[: len(h)]
         yield owner[: len(h)][whole], h[whole].astype(np.int64)
@@ -207,23 +218,34 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
 
 
 def score(docs: DataFrame, model: tuple, *, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Base counts, base_failed, probability and kept beside the kept columns; no shuffle."""
+    """Base counts, base_failed, probability and kept beside the kept columns; no shuffle.
+
+    A kept column that has the name of a result column goes by that name and an underscore.
+    """
     spark = docs.sparkSession
-    src = docs.select(*keep, F.col("text").alias("__text"))
     longs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in longs] + [T.StructField("probability", T.DoubleType())])
+    names = beside(keep, (*longs, "probability", "base_failed", "kept"))
+    text = unused("text", names.values())
+    src = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("text").cast("string").alias(text))
+    schema = T.StructType([src.schema[n] for n in names.values()] + [T.StructField(c, T.LongType()) for c in longs] + [T.StructField("probability", T.DoubleType())])
     sent = spark.sparkContext.broadcast(model)  # four tables of 2**BITS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, slope, offset = sent.value
-        for part in slices(batches, len(keep)):
-            b = Bytes(part.column(len(keep)))
+        for part in slices(batches, len(names)):
+            b = Bytes(part.column(len(names)))
             words = b.words()
             counts = base_counts(b, words)
             p = 1 / (1 + np.exp(-np.clip(slope * decision(b, words, weights, bias) + offset, -30, 30)))
             cols = [*part.columns[:-1], *(pa.array(counts[c].astype(np.int64)) for c in longs), pa.array(p)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *longs, "probability"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*names.values(), *longs, "probability"])
 
-    out = lean(src).mapInArrow(tidy(run), schema)
+    out = src.mapInArrow(tidy(run), schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("probability") >= threshold))
+
+
+def clean(docs: DataFrame, model: tuple, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that pass, with all their columns."""
+    names = beside(docs.columns, ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "probability", "base_failed", "kept"))
+    return score(docs, model, threshold=threshold, keep=tuple(docs.columns)).where("kept").select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
