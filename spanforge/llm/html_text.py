@@ -1,17 +1,18 @@
 """Main text of web pages by a tree-structured graphical model (operator 8).
 
 Each element is a variable: content or not.  A child depends on its parent by a learned
-table for their relation; what is seen of a block (tag, words of class, id and role, text length, share of
-link text) depends on its own state.  Messages pass once upward and once downward
+table for their relation; what is seen of a block (tag, words of class, id and role, length of all its
+text and of the text outside inner blocks, share of link text) depends on its own state.  Messages pass once upward and once downward
 (sum-product in logarithms, level by level for a whole batch of pages), which gives exact
 marginals; text is kept where its element's marginal is at least one half.
 
 The tables are counted from labelled pages.  Elements of those carry ``data-y`` (1 content,
 0 not), which holds for their descendants up to the next mark; ``labelled_pages`` makes such
-pages in many layouts.
+pages in many layouts, half of them without any telling name around the content: in the body
+itself, in nameless blocks, in cells of a layout table.
 
 Defined results: null, empty or text-free html gives an empty text; text outside any
-element counts as the body's; unclosed and crossing tags are closed as browsers do for
+element counts as the body's, so a page without elements is its text; unclosed and crossing tags are closed as browsers do for
 paragraphs and list items; repeated rows give equal rows; an empty table gives an empty
 result; further columns are ignored.
 """
@@ -27,8 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanforge.llm.bytetext import lean, tidy
+from spanforge.llm.bytetext import tidy
+from spanforge.llm.columns import beside, unused
 
 # Element names of the HTML standard by their role in layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,17 +45,21 @@ _TAG_ID = {t: i for i, t in enumerate(TAGS)}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)/?>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _LABEL = re.compile(r"\bdata-y\s*=\s*\"?([01])")
-_BAD = re.compile(r"(?:^|[^a-z])(?:ad|ads|adv|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumb\w*|side-?bar|foot\w*|head|header|masthead|comment\w*|repl(?:y|ies)|discuss\w*|disqus|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search\w*|share\w*|social\w*|related|recommend\w*|widget\w*|pagination|pager|tags|copyright|legal|form|complementary|contentinfo|navigation|toolbar|skip)(?![a-z])", re.I)
+_BAD = re.compile(r"(?:^|[^a-z])(?:ad|ads|adv|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumb\w*|side-?bar|foot\w*|head|header|masthead|comment\w*|repl(?:y|ies)|discuss\w*|disqus|cookie\w*|consent|gdpr|notice|alert|warning|disclaimer|popup|modal|overlay|newsletter|subscribe|signup|login|search\w*|share\w*|social\w*|related|recommend\w*|widget\w*|pagination|pager|tags|copyright|legal|form|complementary|contentinfo|navigation|toolbar|skip)(?![a-z])", re.I)
 _GOOD = re.compile(r"(?:^|[^a-z])(?:article\w*|content\w*|main\w*|post\w*|entry\w*|story\w*|body|text|prose|page)(?![a-z])", re.I)
 FURNITURE = frozenset("nav aside footer header form".split())
-FEATURES = (len(TAGS) + 1, 4, 5, 4)
+PAGE = frozenset("#root html body".split())
+#: Parts of a list or table, which say no more than the whole: they hang on it as inline elements do.
+PARTS = frozenset("li dt dd tr thead tbody tfoot".split())
+LISTS = frozenset("ul ol".split())
+FEATURES = (len(TAGS) + 1, 4, 5, 8, 5)
 THRESHOLD = 0.5
 
 
 class Page:
     """Elements in document order (parents first) and text runs with their element."""
 
-    __slots__ = ("depth", "label", "link", "parent", "runs", "size", "tag", "words")
+    __slots__ = ("depth", "direct", "label", "link", "parent", "runs", "size", "tag", "words")
 
     def __init__(self, source: str, labelled: bool = False):
         self.tag: list[str] = ["#root"]
@@ -61,10 +68,15 @@ class Page:
         self.runs: list[tuple[int, str | None]] = []
         self._build(source, labelled)
         n = len(self.tag)
-        self.size, self.link = [0] * n, [0] * n
+        self.size, self.link, self.direct = [0] * n, [0] * n, [0] * n
+        block = list(range(n))  # the block that an inline element belongs to
+        for e in range(1, n):
+            if self.tag[e] in INLINE:
+                block[e] = block[self.parent[e]]
         for e, text in self.runs:
             if text:
                 self.size[e] += len(text)
+                self.direct[block[e]] += len(text.strip())
         for e in range(n - 1, 0, -1):
             if self.tag[e] == "a":
                 self.link[e] = self.size[e]
@@ -130,18 +142,18 @@ class Page:
             elif name not in INLINE:
                 runs.append((stack[-1], None))
 
-    def features(self) -> list[tuple[int, int, int, int]]:
+    def features(self) -> list[tuple[int, int, int, int, int]]:
         out = []
-        for tag, words, size, link in zip(self.tag, self.words, self.size, self.link, strict=True):
-            length = 0 if not size else 1 if size <= 25 else 2 if size <= 100 else 3 if size <= 400 else 4
+        long = lambda n: 0 if not n else 1 if n <= 25 else 2 if n <= 100 else 3 if n <= 400 else 4
+        for tag, words, size, link, direct in zip(self.tag, self.words, self.size, self.link, self.direct, strict=True):
             share = 0 if not link else 1 if 3 * link < size else 2 if 3 * link < 2 * size else 3
-            out.append((_TAG_ID.get(tag, len(TAGS)), words, length, share))
+            out.append((_TAG_ID.get("body" if tag == "#root" else tag, len(TAGS)), words, long(size), share + 4 * (tag in LISTS), long(direct)))
         return out
 
     def relations(self) -> list[int]:
-        """How each element hangs on its parent: 0 inline, 1 in a furnished part, 2 otherwise."""
+        """How each element hangs on its parent: 0 inline or part of a list, 1 in a furnished part, 2 in another, 3 on the page itself."""
         tag, words = self.tag, self.words
-        return [0 if t in INLINE else 1 if words[p] == 1 or tag[p] in FURNITURE else 2 for t, p in zip(tag, self.parent, strict=True)]
+        return [0 if t in INLINE or t in PARTS else 3 if tag[p] in PAGE else 1 if words[p] == 1 or tag[p] in FURNITURE else 2 for t, p in zip(tag, self.parent, strict=True)]
 
     def text(self, keep: np.ndarray) -> str:
         """Blocks of the kept elements' runs, white space folded, joined by newlines."""
@@ -161,8 +173,8 @@ class Page:
 
 def train(pages: list[str]) -> dict[str, np.ndarray]:
     """Logarithms of the counted tables, smoothed by one half."""
-    edge = np.full((3, 2, 2), 0.5)
-    seen = [np.full((2, n), 0.5) for n in FEATURES]
+    edge = np.full((4, 2, 2), 0.5)
+    seen = [np.full((4, 2, n), 0.5) for n in FEATURES]
     for source in pages:
         p = Page(source, labelled=True)
         y = np.array(p.label)
@@ -171,7 +183,7 @@ def train(pages: list[str]) -> dict[str, np.ndarray]:
         block = np.flatnonzero(how)
         f = np.array(p.features())
         for k, table in enumerate(seen):
-            np.add.at(table, (y[block[1:]], f[block[1:], k]), 1)
+            np.add.at(table, (how[block[1:]], y[block[1:]], f[block[1:], k]), 1)
     norm = lambda t: np.log(t / t.sum(-1, keepdims=True))
     return {"edge": norm(edge)} | {f"seen{k}": norm(t) for k, t in enumerate(seen)}
 
@@ -183,11 +195,14 @@ def marginals(pages: list[Page], model: dict[str, np.ndarray]) -> list[np.ndarra
     parent = np.concatenate([np.array(p.parent) + b for p, b in zip(pages, base, strict=False)])
     depth = np.concatenate([p.depth for p in pages])
     f = np.array([x for p in pages for x in p.features()])
-    own = sum(model[f"seen{k}"][:, f[:, k]].T for k in range(len(FEATURES)))
-    root = depth == 0
     how = np.array([x for p in pages for x in p.relations()])
-    own[how == 0] = 0.0  # an inline element shows nothing of its own
-    own[root] = (0.0, -50.0)  # the document itself is no content
+    own = sum(model[f"seen{k}"][how, :, f[:, k]] for k in range(len(FEATURES)))
+    root = depth == 0
+    own[how == 0] = 0.0  # an inline element or a part shows nothing of its own
+    whole = np.concatenate([p.direct for p in pages]) == 0
+    own[root & whole] = (0.0, -50.0)  # a document without text of its own is no content; else it is seen as a body
+    bare = np.array([all(t in INLINE for t in p.tag[1:]) for p in pages])
+    own[np.flatnonzero(root)[bare]] = (-50.0, 0.0)  # and one without any block is nothing but its text
     order = np.argsort(depth, kind="stable")
     cut = np.searchsorted(depth[order], np.arange(depth.max() + 2))
     level = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -206,7 +221,7 @@ def marginals(pages: list[Page], model: dict[str, np.ndarray]) -> list[np.ndarra
     return [p[a:b] for a, b in zip(base[:-1], base[1:], strict=True)]
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 800, seed: int = 11) -> list[str]:
     """Invented pages in many layouts, with marks for content."""
     rng = random.Random(seed)
     pick = rng.choice
@@ -225,7 +240,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
             body = f"<b>{body}<br>"
         return f"<p>{body}" + ("</p>" if rng.random() < 0.8 else "")
 
-    def inner() -> str:
+    def inner() -> list[str]:
         out = [f"<h1>{say(1, 10)}</h1>"] if rng.random() < 0.9 else []
         for _ in range(rng.randint(0, 9)):
             r = rng.random()
@@ -233,8 +248,10 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
                 out.append(paragraph())
             elif r < 0.8:
                 out.append(f"<h2>{say(1, 6)}</h2>")
-            elif r < 0.85:
+            elif r < 0.83:
                 out.append("<ul>" + "".join(f"<li>{say(1, 12)}</li>" for _ in range(rng.randint(1, 5))) + "</ul>")
+            elif r < 0.85:
+                out.append(f"<{(t := pick(['ul', 'ol']))}>{links(2, 6)}</{t}>")
             elif r < 0.88:
                 out.append(f"<blockquote><p>{say(4, 30)}</p></blockquote>")
             elif r < 0.91:
@@ -242,10 +259,10 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
             elif r < 0.94:
                 out.append(f"<table><tr><th>{word()}</th><td>{say(1, 4)}</td></tr></table>")
             elif r < 0.97:
-                out.append(f'<div class="{pick(["ad", "promo", "share-buttons", "related", "newsletter"])}" data-y="0">{say(3, 14)}</div>')
+                out.append(f'<div class="{pick(["ad", "promo", "share-buttons", "related", "newsletter", "notice", "disclaimer", "cookie-banner"])}" data-y="0">{say(3, 14)}</div>')
             else:
                 out.append(f'<aside data-y="0"><h3>{say(1, 3)}</h3><ul>{links(2, 5)}</ul></aside>')
-        return "".join(out)
+        return out
 
     def extra(place: str) -> str:
         r = rng.random()
@@ -271,31 +288,50 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
             return f'<div class="{pick(["footer", "related", "social", "legal-notice", "ad"])}"><p>{say(3, 20)}</p><ul>{links(2, 5)}</ul></div>'
         return f'<div class="{pick(["ad", "sponsor"])}">{say(3, 14)}</div>'
 
+    def marked(html: str, y: int) -> str:
+        """The first element with a mark, unless it has one."""
+        return html if "data-y" in html.split(">", 1)[0] else re.sub(r"^<([a-z0-9]+)", rf'<\1 data-y="{y}"', html)
+
+    def named() -> str:
+        return f' class="{word()}"' if rng.random() < 0.5 else ""
+
     out = []
     for _ in range(n):
         r = rng.random()
-        mark, text = 'data-y="1"', inner()
-        if r < 0.6:
+        mark, top, low, on_body = 'data-y="1"', [extra("top") for _ in range(rng.randint(0, 3))], [extra("low") for _ in range(rng.randint(0, 4))], ""
+        text = "".join(blocks := inner())
+        if r < 0.25:
             core = f"<article {mark}>{text}</article>"
-        elif r < 0.75:
+        elif r < 0.33:
             core = f"<main><article class=\"{pick(['post', 'entry', 'story'])}\" {mark}>{text}</article></main>"
-        elif r < 0.87:
+        elif r < 0.42:
             core = f'<main {mark}>{text}</main>'
-        else:
+        elif r < 0.5:
             core = f"<div id=\"{pick(['content', 'main-content', 'article-body', 'post'])}\" {mark}>{text}</div>"
-        top = "".join(extra("top") for _ in range(rng.randint(0, 3)))
-        low = "".join(extra("low") for _ in range(rng.randint(0, 4)))
-        if rng.random() < 0.2:
+        elif r < 0.62:
+            core = f"<{(t := pick(['div', 'section']))}{named()} {mark}>{text}</{t}>"
+        elif r < 0.72:
+            core = f"<div{named()}><div{named()} {mark}>{text}</div></div>"
+        elif r < 0.82:
+            menu = "<br>".join(f'<a href="/{word()}">{say(1, 2)}</a>' for _ in range(rng.randint(3, 8)))
+            core = f"<table><tr><td{named()}>{menu if rng.random() < 0.5 else f'<ul>{links(3, 8)}</ul>'}</td><td {mark}>{text}</td></tr></table>"
+        elif r < 0.93:
+            core = "".join(marked(x, 1) for x in blocks)
+        else:  # text of the body itself
+            core, on_body = "<br>".join(say(5, 120) for _ in range(rng.randint(1, 4))), " " + mark
+            top, low = [marked(x, 0) for x in top], [marked(x, 0) for x in low]
+        if r < 0.5 and rng.random() < 0.2:
             core = f'<div class="{pick(["wrapper", "container", "row"])}">{core}{extra("low")}</div>'
-        out.append(f"<!DOCTYPE html><html><head><title>{say(1, 8)}</title></head><body>{top}{core}{low}</body></html>")
+        out.append(f"<!DOCTYPE html><html><head><title>{say(1, 8)}</title></head><body{on_body}>{''.join(top)}{core}{''.join(low)}</body></html>")
     return out
 
 
 def extract(pages: DataFrame, *, keep: tuple[str, ...] = ("page_id", "url"), labelled: list[str] | None = None) -> DataFrame:
     """Adds text and n_chars to the kept columns; a narrow map without shuffle."""
     model = train(labelled if labelled is not None else labelled_pages())
-    src = pages.select(*keep, F.col("html").cast("string").alias("__html"))
-    from pyspark.sql import types as T
+    names = beside(keep, ("text", "n_chars"))
+    src = pages.select(*[F.col(f"`{c}`").alias(x) for c, x in names.items()], F.col("html").cast("string").alias(unused("html", names.values())))
+    keep = tuple(names.values())
 
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
@@ -307,4 +343,4 @@ def extract(pages: DataFrame, *, keep: tuple[str, ...] = ("page_id", "url"), lab
                 texts = [t.text(p >= THRESHOLD) for t, p in zip(trees, marginals(trees, model), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return lean(src).mapInArrow(tidy(run), schema)
+    return src.mapInArrow(tidy(run), schema)
