@@ -11,8 +11,11 @@ inside one task is solved there.  One that is long or cut by a range is solved i
 at most ``BLOCK`` turns: each block's costs between states form a min-plus matrix, matrices
 are chained per conversation, and then the blocks are solved between known states.
 
-Output: one row per turn piece in the order (block, pos); the rendered pieces of a
-conversation, in order, make up its text.  Defined results: turns are ordered by turn, role
+``repair`` gives one row per turn piece in the order (block, pos), ``render`` the sequence that
+the pieces of a conversation make up, one row each (a longer one, or one cut by a range, in
+blocks of at most ``BLOCK`` turns to be read in order).  A control marker inside a text is
+written with a backslash behind its first character, and one more where there are some, so
+rendered text holds no markers but its own and can be turned back.  Defined results: turns are ordered by turn, role
 and text, null first; a null or unknown role is relabelled; a null text is empty; a null
 conv_id is a conversation like any other; repeated rows are turns of their own; an empty
 table gives an empty result; further columns are ignored.
@@ -20,6 +23,7 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.bytetext import lean, tidy
+from spanforge.llm.bytetext import tidy
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -37,6 +41,7 @@ UNIT = 1_000_000_000
 MERGE, RELABEL, INSERT = UNIT + 1, 3 * UNIT + 1_000, 2 * UNIT + 1_000_000
 FAR = np.int64(2**61)
 BLOCK = 1024
+_MARKER = re.compile(r"<(\\*)\|(im_start|im_end)\|>")
 
 
 def _moves() -> dict[str, list[tuple[int, int, int, bool, int, tuple[int, ...]]]]:
@@ -118,6 +123,15 @@ def chain(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def escaped(text: str) -> str:
+    """A text without control markers of its own; unescaped() gives it back."""
+    return _MARKER.sub(r"<\\\1|\2|>", text) if "|im_" in text else text
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<\\(\\*)\|(im_start|im_end)\|>", r"<\1|\2|>", text)
+
+
 def pieces(turns: list[tuple], entry: int, leave: int | None, last: bool) -> Iterator[dict]:
     """Output rows of (turn, role, text) turns between two states."""
     path = solve([t[1] for t in turns], entry, leave)
@@ -131,7 +145,7 @@ def pieces(turns: list[tuple], entry: int, leave: int | None, last: bool) -> Ite
             first, pos = False, pos + 1
         kept = role == ROLES[label - 1]
         action = ("merge" if kept else "relabel+merge") if merged else ("keep" if kept else "relabel")
-        yield {"pos": pos, "turn": turn, "role": role, "new_role": ROLES[label - 1], "action": action, "text": text or "", "rendered": ("\n" if merged else ("" if first else close) + head(label)) + (text or "")}
+        yield {"pos": pos, "turn": turn, "role": role, "new_role": ROLES[label - 1], "action": action, "text": text or "", "rendered": ("\n" if merged else ("" if first else close) + head(label)) + escaped(text or "")}
         first, pos = False, pos + 1
     if last:
         state = path[-1][0]
@@ -194,8 +208,9 @@ def repair(conversations: DataFrame) -> DataFrame:
     from spanforge.llm.storage import written
 
     src = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    dealt = src.repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
-    rows = written(lean(dealt).mapInArrow(tidy(_solved_here), _DDL), "turns")
+    # Equal rows are told apart by a number, or any count of them would be one range.
+    dealt = src.withColumn("row", F.monotonically_increasing_id()).repartitionByRange("conv_id", "turn", "role", "text", "row").sortWithinPartitions("conv_id", "turn", "role", "text").drop("row")
+    rows = written(dealt.mapInArrow(tidy(_solved_here), _DDL), "turns")
     done = rows.where("action IS NOT NULL")
     loose = rows.where("action IS NULL").select("conv_id", "block", "pos", "turn", "role", "text")
 
@@ -218,3 +233,13 @@ def repair(conversations: DataFrame) -> DataFrame:
     ways = written(blocks.groupBy("conv_id").applyInArrow(chained, "block long, entry int, leave int, last boolean"), "ways")
     rest = loose.join(ways, "block").groupBy("block").applyInArrow(solved, _DDL)
     return done.unionByName(rest)
+
+
+def render(repaired: DataFrame) -> DataFrame:
+    """conv_id, block, n_turns, n_inserted, n_relabelled, n_merged, rendered: one sequence a conversation, long ones by block."""
+    said = F.col("action")
+    part = F.array_sort(F.collect_list(F.struct("pos", "rendered")))
+    return repaired.groupBy("conv_id", "block").agg(
+        F.count_if(~said.isin("insert", "end")).alias("n_turns"), F.count_if(said == "insert").alias("n_inserted"), F.count_if(said.startswith("relabel")).alias("n_relabelled"),
+        F.count_if(said.endswith("merge")).alias("n_merged"), F.array_join(F.transform(part, lambda p: p["rendered"]), "").alias("rendered"),
+    )

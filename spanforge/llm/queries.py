@@ -64,9 +64,9 @@ def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spanforge.llm.chat import repair
+    from spanforge.llm.chat import render, repair
 
-    return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return render(repair(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
