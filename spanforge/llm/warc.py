@@ -30,8 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.bytetext import lean, tidy
-from spanforge.llm.storage import new_path, written
+from spanforge.llm.bytetext import tidy
+from spanforge.llm.storage import dropped, new_path, written
 
 DICT_MAGIC = 0x184D2A5D
 DICT_BYTES = 32 << 10
@@ -105,7 +105,7 @@ def write_archives(pages: DataFrame, out_dir: str, *, min_payload: int = 0, arch
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "size", "digest", "frame"])
 
-    frames = written(lean(src).mapInArrow(tidy(compress), "page_id long, url string, size long, digest string, frame binary"), "frames")
+    frames = written(src.mapInArrow(tidy(compress), "page_id long, url string, size long, digest string, frame binary"), "frames")
     again = frames.where(F.col("size") >= min_payload).groupBy("digest", "size").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
     few = again.count() <= BROADCAST_ROWS
     rows = frames.join(F.broadcast(again) if few else again, ["digest", "size"], "left").select("page_id", "url", "size", "digest", "top", F.when(F.col("top").isNull() | F.col("page_id").eqNullSafe(F.col("top")), F.col("frame")).alias("frame"))
@@ -113,12 +113,13 @@ def write_archives(pages: DataFrame, out_dir: str, *, min_payload: int = 0, arch
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        zip_, part, number = _compressor(dictionary), TaskContext.get().partitionId(), 0
+        zip_, number = _compressor(dictionary), 0
+        part = f"{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"  # a rerun never touches an older file
         head = struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary if dictionary else b""
         held, size = [head], len(head)
 
         def close() -> pa.RecordBatch:
-            path = f"{out_dir}/part-{part:06d}-{number:05d}.warc.zst"
+            path = f"{out_dir}/part-{part}-{number:05d}.warc.zst"
             _put(path, b"".join(held))
             return pa.RecordBatch.from_pydict({"path": [path], "records": [len(held) - 1], "bytes": [size]})
 
@@ -134,7 +135,9 @@ def write_archives(pages: DataFrame, out_dir: str, *, min_payload: int = 0, arch
         if len(held) > 1:
             yield close()
 
-    return written(lean(rows).mapInArrow(tidy(archive), "path string, records long, bytes long"), "archives")
+    listed = written(rows.mapInArrow(tidy(archive), "path string, records long, bytes long"), "archives")
+    dropped(frames)
+    return listed
 
 
 def parse(raw: bytes) -> dict:
@@ -200,9 +203,16 @@ def frames_of(data: bytes) -> Iterator[bytes]:
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, problem string"
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of all archives in a folder of any store that Spark reads."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
+def read_archives(spark: SparkSession, path: str, listed: DataFrame | None = None) -> DataFrame:
+    """One row per record of all archives in a folder of any store that Spark reads; of those alone
+    that are listed (path) if a list is given, as a task that ran again may have left others."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
+    if listed is not None:
+        name = F.element_at(F.split("path", "/"), -1)
+        few = listed.count() <= BROADCAST_ROWS
+        names = listed.select(name.alias("file")).distinct()
+        files = files.withColumn("file", name).join(F.broadcast(names) if few else names, "file", "left_semi")
+    files = files.select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("problem", pa.string())])
@@ -218,13 +228,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return lean(files).mapInArrow(tidy(run), _READ)
+    return files.mapInArrow(tidy(run), _READ)
 
 
 def round_trip(pages: DataFrame, *, min_payload: int = 0) -> DataFrame:
     """Writes all pages and reads the archives back."""
     spark = pages.sparkSession
     out_dir = new_path(spark, "warc")
-    if write_archives(pages, out_dir, min_payload=min_payload).isEmpty():
+    listed = write_archives(pages, out_dir, min_payload=min_payload)
+    if listed.isEmpty():
         return spark.createDataFrame([], _READ)
-    return read_archives(spark, out_dir)
+    return read_archives(spark, out_dir, listed)
