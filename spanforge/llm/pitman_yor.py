@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.bytetext import Bytes, lean, slices, tidy
+from spanforge.llm.bytetext import Bytes, slices, tidy
 from spanforge.llm.storage import written
 
 SLICE_TOKENS = 2_000_000
@@ -108,7 +108,7 @@ def cut(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, keys, counts, ids, total
-            key, per = np.concatenate(keys), np.concatenate(counts)
+            key, per, keys = np.concatenate(keys), np.concatenate(counts), []
             vocab, word = np.unique(key, return_inverse=True)
             n = np.bincount(word, minlength=len(vocab))
             # Frequent words get small numbers; place tells each its position by hash.
@@ -117,7 +117,8 @@ def cut(docs: DataFrame) -> DataFrame:
             rank[place] = np.arange(len(vocab), dtype=np.uint32)
             test = np.array([held_out(i) for i in ids])
             text = _zip(rank[word], place, per.astype(np.uint32), np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]), test)
-            pair = np.unique(word * len(vocab) + _before(vocab, word))
+            often = n[word] >= HOT_LEAST  # no other word can have as many pairs
+            pair = np.unique(word[often] * len(vocab) + _before(vocab, word)[often])
             wide = np.bincount(pair // len(vocab), minlength=len(vocab))
             hot = np.flatnonzero(wide >= HOT_LEAST)
             out = pa.RecordBatch.from_arrays(
@@ -141,7 +142,7 @@ def cut(docs: DataFrame) -> DataFrame:
         if ids:
             yield flush()
 
-    return lean(docs).mapInArrow(tidy(run), "slice long, words binary, texts binary, train_tokens long, hot array<struct<word:long,pairs:long>>")
+    return docs.mapInArrow(tidy(run), "slice long, words binary, texts binary, train_tokens long, hot array<struct<word:long,pairs:long>>")
 
 
 def _before(vocab: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -231,11 +232,14 @@ class Merged:
         self.contexts, of_context = np.unique(np.concatenate([g[2] for g in got]), return_inverse=True)
         self.many = np.concatenate([g[1] for g in got])
         pair = np.repeat(self.of_word, self.many) * len(self.contexts) + of_context
-        self.pair, self.of_pair = np.unique(pair, return_inverse=True)
+        del of_context
+        self.pair, of_pair = np.unique(pair, return_inverse=True)
+        del pair
+        self.of_pair = of_pair.astype(np.int32)  # a bucket holds far less than 2**31 pairs
         self.count = np.bincount(self.of_pair, np.concatenate([g[3] for g in got]), minlength=len(self.pair)).astype(np.int64)
         self.words_in = [len(g[0]) for g in got]
         self.pairs_in = [len(g[2]) for g in got]
-        self.word, self.context = self.pair // len(self.contexts), self.pair % len(self.contexts)
+        self.word, self.context = (self.pair // len(self.contexts)).astype(np.int32), (self.pair % len(self.contexts)).astype(np.int32)
 
 
 def followers(parts: DataFrame, deal: Deal) -> DataFrame:
@@ -360,6 +364,7 @@ def answers(parts: DataFrame, starts: DataFrame, deal: Deal) -> DataFrame:
             per_word += [guests.astype(np.uint32), (upper * share).astype(np.float32) if share < 1 else upper.astype(np.float32)]
             totals += [float(guests.sum()), float((upper * share).sum())]
             sent.append(np.bincount(m.context, tables, minlength=len(m.contexts)).astype(np.uint32))
+        totals.append(float(n_of.sum()))
         rows, a, b = [], 0, 0
         pairs_n, pairs_t = m.count.astype(np.uint32), summed.astype(np.uint32)
         for k, (words_in, pairs_in) in enumerate(zip(m.words_in, m.pairs_in, strict=True)):
@@ -411,8 +416,11 @@ def context_tables(parts: DataFrame, back: DataFrame, buckets: int) -> DataFrame
     return asked.groupBy("home").cogroup(sent.groupBy("home")).applyInArrow(run, "slice long, place long, hot long, blob binary")
 
 
-def _scores(t: pa.Table, types: float, train_tokens: int, samples: np.ndarray, first: np.ndarray) -> pa.Table:
-    """The result rows of one slice, from its texts (place null) and all answers to it."""
+def _scores(t: pa.Table, types: float, train_tokens: int, samples: np.ndarray, first: np.ndarray, wide: np.ndarray) -> pa.Table:
+    """The result rows of one slice, from its texts (place null) and all answers to it.
+
+    first: the first bucket of each hot word; wide: its customers, tables and count over all its buckets.
+    """
     place = t.column("place").to_numpy(zero_copy_only=False).astype(float)
     blob, hot = t.column("blob").to_pylist(), t.column("hot").to_pylist()
     order = np.argsort(np.nan_to_num(place, nan=-np.inf), kind="stable")
@@ -420,15 +428,24 @@ def _scores(t: pa.Table, types: float, train_tokens: int, samples: np.ndarray, f
     rooms = [_unzip(blob[i], *[np.uint32] * SAMPLES) for i in order if place[i] < 0]
     got = [(_unzip(blob[i], np.uint32, np.uint64, np.uint32, np.uint32, *[np.uint32, np.float32] * SAMPLES), hot[i]) for i in order if place[i] >= 0]
     # Runs stand in the order of the words; those of one hot word follow each other and share it.
-    of_word, last, n = [], -1, 0
+    of_word, last, n, hot_at, hot_is = [], -1, 0, [], []
     for g, h in got:
-        group = int(np.searchsorted(first, h, "right")) if h >= 0 else -1
+        group = int(np.searchsorted(first, h, "right")) - 1 if h >= 0 else -1
         same = group >= 0 and group == last
+        if group >= 0 and not same:
+            hot_at.append(n)
+            hot_is.append(group)
         of_word.append(np.arange(len(g[0])) + n - same)
         n, last = n + len(g[0]) - same, group
     every = np.concatenate(of_word)
-    add = lambda k: np.bincount(every, np.concatenate([g[k] for g, _ in got]), minlength=n)
-    total = add(1)
+
+    def add(k: int, column: int) -> np.ndarray:
+        out = np.bincount(every, np.concatenate([g[k] for g, _ in got]), minlength=n)
+        if hot_at:  # a slice may not ask all buckets of a hot word
+            out[hot_at] = wide[hot_is, column]
+        return out
+
+    total = add(1, -1)
     of = np.repeat(every, np.concatenate([g[0] for g, _ in got]))
     count, tables = (np.concatenate([g[k] for g, _ in got]).astype(float) for k in (2, 3))
     # Every word but the end is followed once wherever it occurs, and an end opens a text: a word is its context's customers.
@@ -437,7 +454,7 @@ def _scores(t: pa.Table, types: float, train_tokens: int, samples: np.ndarray, f
     prev = keys % n
     chance = np.zeros(len(keys))
     for k, (guests, upper) in enumerate(samples):
-        parent = (add(4 + 2 * k) - BASE_DISCOUNT * add(5 + 2 * k) + (BASE_STRENGTH + BASE_DISCOUNT * upper) / (types + 1)) / (BASE_STRENGTH + guests)
+        parent = (add(4 + 2 * k, 2 * k) - BASE_DISCOUNT * add(5 + 2 * k, 2 * k + 1) + (BASE_STRENGTH + BASE_DISCOUNT * upper) / (types + 1)) / (BASE_STRENGTH + guests)
         room = np.concatenate([r[k] for r in rooms]).astype(float)
         chance += ((STRENGTH + DISCOUNT * room) / (STRENGTH + total))[prev] * parent[of]
     chance = (chance + (count * SAMPLES - DISCOUNT * tables) / (STRENGTH + total)[prev]) / SAMPLES
@@ -466,14 +483,16 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bu
     back = written(answers(sent, followers(sent, deal), deal), "answers")
     sums = {r["pos"]: r["x"] for r in back.where("slice = -1").select(F.posexplode("totals").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).collect()}
     flat = np.array([sums[k] for k in range(len(sums))])
-    # A hot word counts once, if any of its buckets has seen it in training.
-    seen = back.where("slice = -1 AND hot >= 0 AND totals[1] > 0").select("hot").collect() if len(deal.hot) else []
-    types = round(float(flat[0])) + len({int(np.searchsorted(deal.first, r["hot"], "right")) for r in seen})
-    samples, first = flat[1:].reshape(SAMPLES, 2), deal.first
+    samples, first = flat[1:-1].reshape(SAMPLES, 2), deal.first
+    # The buckets of each hot word together; it counts as one word, if any of them has seen it in training.
+    wide = np.zeros((len(deal.hot), 2 * SAMPLES + 1))
+    for r in back.where("slice = -1 AND hot >= 0").select("hot", "totals").collect() if len(deal.hot) else []:
+        wide[np.searchsorted(first, r["hot"], "right") - 1] += np.array(r["totals"][1:])
+    types = round(float(flat[0])) + int((wide[:, -1] > 0).sum())
     texts = parts.select("slice", F.lit(None).cast("long").alias("place"), F.lit(-1).cast("long").alias("hot"), F.col("texts").alias("blob"))
     both = texts.unionByName(back.where("slice >= 0").drop("totals")).unionByName(context_tables(parts, back, deal.buckets))
 
     def run(t: pa.Table) -> pa.Table:
-        return _scores(t, types, train_tokens, samples, first)
+        return _scores(t, types, train_tokens, samples, first, wide)
 
     return both.groupBy("slice").applyInArrow(run, schema)
