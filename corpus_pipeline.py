@@ -1,4 +1,12 @@
-"""Corpus cleaning: every stage is one operator and its decisions take effect on the documents."""
+"""Corpus cleaning: every stage is one operator and its decisions take effect on the documents.
+
+Defined results of all stages: a null or empty text fails the quality rules and goes there; of
+equal rows, lines and documents the first by id stays, and rows that share an id are one
+document; a null id is never linked or dropped as a copy; further columns are carried along
+whatever their names; empty tables give an empty result, and without labels of both kinds only
+the base rules judge.  A near copy mostly goes in the line stage already, which takes the lines
+that it shares with an earlier document; the near-duplicate stage sees what is left of it.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +17,9 @@ from spanforge.llm.storage import written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the classifier reject go."""
-    from spanforge.llm.quality import score, train
+    from spanforge.llm.quality import clean, train
 
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score(docs, train(docs, labels), keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return clean(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
