@@ -8,11 +8,13 @@ vocabulary piece, the last token before it and the tokens emitted since; a trans
 carries the (possibly negative) change of the emitted-token count.  States are
 determinised on demand and kept in a bounded table.
 
-A long text is cut into chunks of characters.  A unit boundary (a character that no piece
-can span) resets the transducer, so the map of a chunk from entry state to exit state is
-``(head, inner, tail)``: characters before its first boundary, tokens between the first
-and the last one, characters after the last one.  These maps form a monoid and are
-composed by a prefix scan of logarithmic depth.
+A long text is cut into chunks of characters.  A unit boundary (a mark that follows another
+character) resets the transducer, so the map of a chunk from any entry state to its exit
+state and count is told by the characters before its first boundary, the tokens between its
+first and last one, and the state and tokens behind the last: only what comes first depends
+on the entry state, and is run from it when maps are composed.  The maps form a monoid and
+are composed by a prefix scan of logarithmic depth.  Whole units between boundaries always
+start in the first state, so their counts are remembered.
 
 Defined results: a null or empty text has 0 tokens; ties and repeated rows are counted
 each on their own; extra columns are ignored; an empty table gives an empty result.
@@ -21,6 +23,7 @@ each on their own; extra columns are ignored; an empty table gives an empty resu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -37,6 +40,25 @@ MAX_UNITS = 1_500_000
 CHUNK_CHARS = 1 << 16
 
 
+#: The first state: nothing read, nothing emitted.
+START = ("", (("", 0),))
+
+
+class ChunkMap(NamedTuple):
+    """From any entry state to the exit state and the tokens between, over one chunk.
+
+    head: the characters that depend on the entry state; inner: tokens up to the last boundary, null
+    if the chunk has none (it is all head then); exit, count: state and tokens behind the last
+    boundary; marked: does the chunk end with a mark?
+    """
+
+    head: str
+    inner: int | None
+    exit: tuple
+    count: int
+    marked: bool
+
+
 class CountTransducer:
     """Lazily determinised token counter of a sentence-piece BPE model with byte fallback.
 
@@ -69,7 +91,7 @@ class CountTransducer:
         return cls(pieces)
 
     def _reset(self) -> None:
-        self.live: list[tuple[str, tuple[tuple[str, int], ...]]] = [("", (("", 0),))]
+        self.live: list[tuple[str, tuple[tuple[str, int], ...]]] = [START]
         self.ids = {self.live[0]: 0}
         self.arcs: list[dict[str, tuple[int, int]]] = [{}]
 
@@ -123,15 +145,32 @@ class CountTransducer:
         entries = [(last, count - change) if last is not None and text[k:] in self.starts else (None, 0) for k, (last, count) in enumerate(live)]
         entries.append((newest, 0))
         first = next(k for k, e in enumerate(entries) if e[0] is not None)
-        target = (text[first:], tuple(entries[first:]))
-        to = self.ids.get(target)
-        if to is None:
-            to = self.ids[target] = len(self.live)
-            self.live.append(target)
-            self.arcs.append({})
+        to = self._number((text[first:], tuple(entries[first:])))
         self.arcs[state][char] = arc = (to, change)
         return arc
 
+    def advance(self, live: tuple, text: str) -> tuple[tuple, int]:
+        """The state reached from a state (given by what it holds) over some text, and the change of the count."""
+        if len(self.live) > self.max_states:
+            self._reset()
+        state, total, spanned = self._number(live), 0, self.spanned
+        for c in text:
+            if c not in spanned:
+                total += 1 if c in self.score else len(c.encode("utf-8", "surrogatepass"))
+                state = 0
+            else:
+                state, change = self.arcs[state].get(c) or self.step(state, c)
+                total += change
+        return self.live[state], total
+
+    def _number(self, live: tuple) -> int:
+        at = self.ids.get(live)
+        if at is None:
+            at = self.ids[live] = len(self.live)
+            self.live.append(live)
+            self.arcs.append({})
+        return at
+
     def run(self, unit: str) -> int:
         """Tokens of one unit: the sum of the changes along its path, and byte fallback."""
         total, state = 0, 0
@@ -174,9 +213,8 @@ class CountTransducer:
                 self.units[unit] = got
         return got
 
-    # Chunk maps: (head, inner, tail); inner is None when the chunk holds no boundary.
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """The map of a chunk; boundaries stand before each mark that follows another character."""
+    def cut(self, chunk: str) -> tuple[str, int | None, str]:
+        """Characters before the first boundary, tokens up to the last one (null if there is none), characters behind it."""
         words = chunk.split(" ")
         # A space right after a space continues a run of marks and is no boundary.
         units: list[str] = []
@@ -203,29 +241,29 @@ class CountTransducer:
             inner += self.tokens(u) if n is None else n
         return lead, inner, units[-1]
 
-    def joined(self, text: str) -> tuple[int, str, str]:
-        """Splits a joint of tail and head at the boundary inside it, if there is one."""
-        for i in range(1, len(text)):
-            if text[i] == SPACE and text[i - 1] != SPACE:
-                return i, text[:i], text[i:]
-        return 0, text, ""
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of a followed by b."""
-        (ha, na, ta), (hb, nb, tb) = a, b
-        # A chunk without boundary is one open string; a joint holds one boundary at most.
-        if na is None and nb is None:
-            at, left, right = self.joined(ha + hb)
-            return (left, 0, right) if at else (left, None, "")
-        if na is None:
-            at, left, right = self.joined(ha + hb)
-            return (left, nb + self.tokens(right), tb) if at else (left, nb, tb)
-        at, left, right = self.joined(ta + hb)
-        if nb is None:
-            return (ha, na + self.tokens(left), right) if at else (ha, na, left)
-        return ha, na + nb + (self.tokens(left) + self.tokens(right) if at else self.tokens(left)), tb
-
-    def scan(self, maps: list[tuple]) -> list[tuple]:
+    def chunk_map(self, chunk: str) -> ChunkMap:
+        head, inner, tail = self.cut(chunk)
+        if inner is None:
+            return ChunkMap(head, None, START, 0, head[-1:] == SPACE)
+        return ChunkMap(head, inner, *self.advance(START, tail), tail[-1:] == SPACE)
+
+    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
+        """The map of a followed by b; a boundary stands between them where b begins with a mark behind another character."""
+        fresh = b.head[:1] == SPACE and not a.marked
+        if a.inner is None:
+            if not fresh:
+                return b._replace(head=a.head + b.head)
+            if b.inner is None:
+                return ChunkMap(a.head, 0, *self.advance(START, b.head), b.marked)
+            return b._replace(head=a.head, inner=self.tokens(b.head) + b.inner)
+        done = a.inner + (a.count if fresh else 0)
+        live, count = self.advance(START if fresh else a.exit, b.head)
+        count += 0 if fresh else a.count
+        if b.inner is None:
+            return ChunkMap(a.head, done, live, count, b.marked)
+        return ChunkMap(a.head, done + count + b.inner, b.exit, b.count, b.marked)
+
+    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
         """All prefix compositions in ceil(log2 n) rounds (every round's steps are independent)."""
         done, step = list(maps), 1
         while step < len(done):
@@ -237,15 +275,11 @@ class CountTransducer:
         if not text:
             return 0
         text = " " + text.replace(SPACE, " ")
-        maps = [self.chunk_map(text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)]
-        head, inner, tail = self.reduce(maps) if len(maps) > 1 else maps[0]
-        return self.tokens(head) + (inner or 0) + (self.tokens(tail) if tail else 0)
-
-    def reduce(self, maps: list[tuple]) -> tuple:
-        """The last element of scan(), by a balanced tree."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
+        if len(text) <= chunk_chars:
+            head, inner, tail = self.cut(text)
+            return self.tokens(head) + (inner or 0) + (self.tokens(tail) if tail else 0)
+        whole = self.scan([self.chunk_map(text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)])[-1]
+        return self.tokens(whole.head) + (whole.inner or 0) + whole.count
 
 
 _LOADED: dict[str, CountTransducer] = {}
