@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.bytetext import tidy
+from spanforge.llm.storage import dropped, written
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -105,16 +107,24 @@ def matrix(roles: list[str | None]) -> np.ndarray:
         step = np.full((4, 4), FAR)
         for a, b, c, *_ in MOVES[_known(role)]:
             step[a, b] = min(step[a, b], c)
-        m = np.minimum((m[:, :, None] + step[None, :, :]).min(1), FAR)
+        m = times(m, step)
     return m
 
 
-def chain(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(state before, state after) of each block on the cheapest path through all blocks."""
-    cost = [np.where(np.arange(4) == START, 0, FAR)]
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The min-plus product: cheapest costs over one stretch of turns and the next."""
+    return np.minimum((a[:, :, None] + b[None, :, :]).min(1), FAR)
+
+
+def chain(matrices: list[np.ndarray], entry: int = START, leave: int | None = None) -> list[tuple[int, int]]:
+    """(state before, state after) of each stretch on the cheapest path through all of them.
+
+    Without leave, the path may end anywhere and pays for the empty turns that complete it.
+    """
+    cost = [np.where(np.arange(4) == entry, 0, FAR)]
     for m in matrices:
         cost.append(np.minimum((cost[-1][:, None] + m).min(0), FAR))
-    state = min((s for s in ENDING), key=lambda s: (int(cost[-1][s]) + INSERT * len(ENDING[s]), s))
+    state = min((s for s in ENDING), key=lambda s: (int(cost[-1][s]) + INSERT * len(ENDING[s]), s)) if leave is None else leave
     out = []
     for k in range(len(matrices) - 1, -1, -1):
         before = int((cost[k] + matrices[k][:, state]).argmin())
@@ -205,8 +215,6 @@ def _solved_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repair(conversations: DataFrame) -> DataFrame:
     """conv_id, block, pos, turn, role, new_role, action, text, rendered."""
-    from spanforge.llm.storage import written
-
     src = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     # Equal rows are told apart by a number, or any count of them would be one range.
     dealt = src.withColumn("row", F.monotonically_increasing_id()).repartitionByRange("conv_id", "turn", "role", "text", "row").sortWithinPartitions("conv_id", "turn", "role", "text").drop("row")
@@ -218,10 +226,21 @@ def repair(conversations: DataFrame) -> DataFrame:
         t = t.sort_by("pos")
         return pa.table({"conv_id": t.column("conv_id").slice(0, 1), "block": t.column("block").slice(0, 1), "m": pa.array([matrix(t.column("role").to_pylist()).ravel().tolist()], pa.list_(pa.int64()))})
 
+    square = lambda t: [np.array(m).reshape(4, 4) for m in t.column("m").to_pylist()]
+    flags = lambda states, last: {"entry": pa.array([a for a, _ in states], pa.int32()), "leave": pa.array([b for _, b in states], pa.int32()), "last": pa.array([False] * (len(states) - 1) + [last])}
+
+    def product(t: pa.Table) -> pa.Table:
+        whole = reduce(times, square(t.sort_by("block")))
+        return pa.table({"conv": t.column("conv").slice(0, 1), "part": t.column("part").slice(0, 1), "m": pa.array([whole.ravel().tolist()], pa.list_(pa.int64()))})
+
     def chained(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        return pa.table({"conv": t.column("conv"), "part": t.column("part")} | flags(chain(square(t)), True))
+
+    def inside(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
-        states = chain([np.array(m).reshape(4, 4) for m in t.column("m").to_pylist()])
-        return pa.table({"block": t.column("block"), "entry": pa.array([s for s, _ in states], pa.int32()), "leave": pa.array([s for _, s in states], pa.int32()), "last": pa.array([False] * (len(states) - 1) + [True])})
+        one = lambda c: t.column(c)[0].as_py()
+        return pa.table({"block": t.column("block")} | flags(chain(square(t), one("entry"), one("leave")), one("last")))
 
     def solved(t: pa.Table) -> pa.Table:
         t = t.sort_by("pos")
@@ -229,8 +248,14 @@ def repair(conversations: DataFrame) -> DataFrame:
         got = [{"conv_id": one("conv_id"), "block": one("block")} | p for p in pieces(list(zip(*(t.column(c).to_pylist() for c in ("turn", "role", "text")), strict=True)), one("entry"), one("leave"), one("last"))]
         return pa.Table.from_pylist(got, _SCHEMA)
 
+    # The upper half of a block's number is its range; a conversation without id is one as well.
     blocks = loose.select("conv_id", "block", "pos", "role").groupBy("block").applyInArrow(costs, "conv_id long, block long, m array<long>")
-    ways = written(blocks.groupBy("conv_id").applyInArrow(chained, "block long, entry int, leave int, last boolean"), "ways")
+    blocks = written(blocks.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("conv"), F.shiftright("block", 32).alias("part"), "block", "m"), "blocks")
+    ranges = blocks.groupBy("conv", "part").applyInArrow(product, "conv string, part long, m array<long>")
+    ends = ranges.groupBy("conv").applyInArrow(chained, "conv string, part long, entry int, leave int, last boolean")
+    ways = blocks.join(ends, ["conv", "part"]).groupBy("conv", "part").applyInArrow(inside, "block long, entry int, leave int, last boolean")
+    ways = written(ways, "ways")
+    dropped(blocks)
     rest = loose.join(ways, "block").groupBy("block").applyInArrow(solved, _DDL)
     return done.unionByName(rest)
 
