@@ -6,10 +6,12 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 1000
 _own: dict[str, str] = {}
 _paths: set[str] = set()
 
@@ -44,11 +46,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS rows while a table is written, where the session has no size of its own.
+
+    Texts are long: the default of 10,000 rows is meant for short ones. The setting is taken back.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if name in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
