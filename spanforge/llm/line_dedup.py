@@ -193,7 +193,9 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     links = written(verified(pairs, texts, percent), "links")
     members = found.where("large").select(F.col("a").alias("key"), F.col("b").alias("node"))
     if not members.isEmpty():
-        members = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
+        # Sizes are written first: small ones are broadcast, and a shuffled join could be split at a crowded key.
+        sizes = written(members.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+        members = members.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "key")
         crowd = members.select(F.col("node").alias("line")).distinct()
         sets = texts.join(crowd, "line", "left_semi").select(F.col("line").alias("node"), F.col("content").alias("codes"))
         links = large_links(members, sets, links, percent, _sets_of)
