@@ -253,6 +253,8 @@ def large_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent:
         "key", "grp", F.when(alone, F.col("grp")).otherwise(F.lit(None)).alias("class"),
         F.when(alone, own).otherwise(F.greatest(F.lit(1), F.ceil(F.col("rest") / BLOCK))).alias("parts"), alone.alias("alone"),
     )
+    slots = written(slots, "slots")
+    slots = F.broadcast(slots) if slots.count() <= BROADCAST_IDS else slots
     placed = written(
         grouped.join(slots, ["key", "grp"]).select("key", "node", "grp", "class", F.when(F.col("alone"), F.pmod(F.xxhash64("node"), "parts")).otherwise(F.pmod(F.xxhash64("grp"), "parts")).alias("part")),
         "placed",
@@ -267,7 +269,7 @@ def large_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent:
     rows = placed.withColumn("block", F.xxhash64(F.coalesce("class", F.lit(-1)), F.col("class").isNull(), "part")).join(sides, ["key", "block"])
     rows = rows.select("node", "grp", F.col("key").alias("g1"), F.col("b1").alias("g2"), F.col("b2").alias("g3")).join(sets, "node")
     links = written(links.unionByName(block_links(rows, percent, sets_of)), "links")
-    dropped(sizes, placed, blocks)
+    dropped(sizes, slots, placed, blocks)
     return links
 
 
@@ -294,8 +296,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = usable.select(F.col("doc_id").alias("rep"), "node", "sig").join(reps, ["rep", "node"])
     nodes = written((nodes if stars is None else nodes.dropDuplicates(["node"])).select("rep", "node", "sig"), "nodes")
     keys = band_keys(nodes)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(keys.join(shared, "key"), "members")
+    # Written first: small ones are broadcast, and a shuffled join could be split at a crowded key.
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = written(keys.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "key"), "members")
     wanted = written(members.select("node").distinct().join(reps, "node").select("rep").distinct(), "wanted")
     sets = node_sets(docs, wanted, id_col, text_col)
     # A repeated id may give a set several times.
@@ -306,7 +309,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = links if stars is None else links.unionByName(stars)
     large = members.where(F.col("n") > SMALL)
     links = written(links, "links") if large.isEmpty() else large_links(large, sets, links, percent)
-    dropped(nodes, members, wanted, sets, pairs)
+    dropped(nodes, shared, members, wanted, sets, pairs)
     # Components by set, named by their smallest document; sets without a link by their own.
     linked = connected_components(links).join(reps, "node")
     least = written(linked.groupBy("component").agg(F.min("rep").alias("low")), "least")
