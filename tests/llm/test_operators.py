@@ -136,7 +136,8 @@ def test_quality(docs, none, spark):
         win = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
         cover = {j for i, x in enumerate(win) if win.count(x) > 1 for j in range(i, i + 5)} if len(win) < 500 else None
         lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
-        assert (r.n_words, r.word_chars, r.n_dup_lines) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)))
+        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_symbols) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(re.findall(r"[#*$%&|<>]", text or "")))
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and r.kept == (not r.base_failed)
         assert cover is None or r.n_repeat_words == len(cover)
     assert quality.score(none, model).count() == 0
     sf = "/root/testdata/sf0.1"  # some 2,000 labelled rows on either side
@@ -653,3 +654,92 @@ def test_a_rerun_archive_is_not_read_twice(spark, tmp_path):
     first = listed.first().path.removeprefix("file://")
     shutil.copy(first, first.replace("part-", "part-9"))
     assert warc.read_archives(spark, out, listed).count() == 20 and warc.read_archives(spark, out).count() > 20
+
+
+def test_piece_checksums(docs):
+    from tokenizers import Tokenizer
+
+    path = queries._vocabulary("byte_bpe_50k.json")
+    lib, got = Tokenizer.from_file(path), {}
+    for r in packing.digest(packing.pack(docs, path)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for d in docs.collect():
+        if d.doc_id in (None, 3):
+            continue
+        ids = [*lib.encode(d.text or "", add_special_tokens=False).ids, 1]
+        assert sum(r.length for r in got[d.doc_id]) == len(ids)
+        for r in got[d.doc_id]:
+            part = b"".join(i.to_bytes(4, "little") for i in ids[r.start : r.start + r.length])
+            assert r.ids_crc32 == zlib.crc32(part) and r.doc_tokens == len(ids)
+
+
+def test_long_texts(spark):
+    """Texts beyond a mebibyte, and repeated rows, through the operators that cut texts."""
+    from tokenizers import Tokenizer
+
+    path = queries._vocabulary("byte_bpe_50k.json")
+    rng = random.Random(4)
+    long = " ".join(rng.choice(["alpha", "beta,", "gamma\n", "ölig"]) + str(rng.randint(0, 9999)) for _ in range(130_000))
+    assert len(long.encode()) > 1 << 20
+    rows = spark.createDataFrame([(1, long), (2, "short text"), (2, "short text")], "doc_id long, text string")
+    lib = Tokenizer.from_file(path)
+    parts = sorted((r.start, r.length) for r in packing.pack(rows, path).where("doc_id = 1").collect())
+    assert sum(n for _, n in parts) == len(lib.encode(long, add_special_tokens=False).ids) + 1 and all(a + n == b for (a, n), (b, _) in itertools.pairwise(parts))
+    html = f"<article><p>{long}</p></article>"
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", html), (2, "u", html)], "page_id long, url string, html string")
+    assert extract(pages).first().n_chars == len(" ".join(long.split()))
+    trips = warc.round_trip(pages).collect()
+    assert sorted((r.page_id, r.record_type) for r in trips)[0] == (1, "revisit") and all(r.payload_bytes == len(html.encode()) for r in trips) and len(trips) == 3
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    got = chat.render(chat.repair(turns)).collect()
+    assert len(got) == 1 and got[0].n_turns == 3 and got[0].n_merged == 1 and len(got[0].rendered) > 3 * len(long)
+    lines = line_dedup.fuzzy_lines(rows).collect()
+    assert sum(r.kept for r in lines if r.doc_id == 2) == 1 or len({(r.doc_id, r.line_no) for r in lines if r.doc_id == 2 and r.kept}) == 1
+
+
+def test_role_repair_against_legal_sequences():
+    """Costs beside an enumeration of whole legal conversations, which knows nothing of the automaton."""
+    legal = [[*head, *["user", "assistant"] * k] for head in ((), ("system",)) for k in range(1, 6)]
+
+    def inside(said, whole):
+        at = iter(whole)
+        return all(any(r == x for x in at) for r in said)
+
+    def brute(roles):
+        best = None
+        for labels in itertools.product(chat.ROLES, repeat=len(roles)):
+            for merged in itertools.product((0, 1), repeat=len(roles)):
+                if merged[0] or any(m and labels[i] != labels[i - 1] for i, m in enumerate(merged)):
+                    continue
+                said = [x for x, m in zip(labels, merged, strict=True) if not m]
+                fit = [len(w) - len(said) for w in legal if ("system" in w) == ("system" in said) and inside(said, w)]
+                if fit:
+                    cost = sum(merged) + 3 * sum(a != b for a, b in zip(labels, roles, strict=True)) + 2 * min(fit)
+                    best = cost if best is None else min(best, cost)
+        return best
+
+    rng = random.Random(9)
+    cases = [list(c) for n in (1, 2) for c in itertools.product([*chat.ROLES, "tool"], repeat=n)] + [[rng.choice([*chat.ROLES, None]) for _ in range(rng.randint(3, 5))] for _ in range(60)]
+    for roles in cases:
+        path, state, cost = chat.solve(roles), None, 0
+        for role, (label, merged, gaps) in zip(roles, path, strict=True):
+            cost += merged + 3 * (role != chat.ROLES[label - 1]) + 2 * len(gaps)
+            state = label
+        assert cost + 2 * len(chat.ENDING[state]) == brute(roles), roles
+
+
+def test_a_conversation_over_many_ranges(spark):
+    rng = random.Random(12)
+    rows = [(1, i, rng.choice([*chat.ROLES, "tool"]), f"t{i}") for i in range(5000)] + [(None, i, rng.choice(chat.ROLES), f"n{i}") for i in range(3000)] + [(2, 0, "user", "a")] * 3
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = chat.repair(df).collect()
+    unit = {"insert": 2, "merge": 1, "relabel": 3, "relabel+merge": 4}
+    for conv, n in ((1, 5000), (None, 3000), (2, 3)):
+        mine = sorted((r for r in got if r.conv_id == conv), key=lambda r: (r.block, r.pos))
+        turns = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
+        path = chat.solve([t[2] for t in turns])
+        want = sum(m + 3 * (t[2] != chat.ROLES[x - 1]) + 2 * len(g) for t, (x, m, g) in zip(turns, path, strict=True)) + 2 * len(chat.ENDING[path[-1][0]])
+        assert sum(unit.get(r.action, 0) for r in mine) == want and sum(r.turn is not None for r in mine) == n and sum(r.action == "end" for r in mine) == 1
+        text = "".join(r.rendered for r in mine)
+        roles = re.findall(r"<\|im_start\|>(\w+)", text)
+        assert re.fullmatch("(system )?(user assistant )+", " ".join(roles) + " ")
