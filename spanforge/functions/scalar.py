@@ -162,3 +162,7 @@ def local_time(c: Column, pattern: str = "yyyy-MM-dd'T'HH:mm:ss'+08:00'") -> Col
     """A UTC timestamp as text at UTC+8."""
     return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit("+08:00"), c.cast("timestamp_ntz")), pattern)
 
+
+def time_slug(c: Column) -> Column:
+    """A UTC timestamp as a part of file names, at UTC+8."""
+    return local_time(c, "yyyyMMdd-HHmmss")

@@ -12,12 +12,14 @@ from spanforge import schema as S
 SENSITIVE = r"(?i)保\d|正\d|興業|股份|有限|公司|供應商|致\s|地址|彰化|社頭|鄉|巷|路|電話|TEL|FAX|統編|統一編號|列印編號|幣別|新台幣|需\s*求|EPM\d"
 
 
-def _cycled(letters: str, k: Column) -> Column:
+def _one_of(letters: str, k: Column) -> Column:
+    """A character of a ring of letters."""
     return F.substring(F.lit(letters), (F.pmod(k, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
 
 
 def _by_class(text: Column, seq: Column, digit) -> Column:
-    one = lambda ch, i: F.when(ch.rlike(r"^\d$"), digit(i)).when(ch.rlike("^[A-Z]$"), _cycled(S.UPPER_CODE, seq + i)).when(ch.rlike("^[a-z]$"), _cycled(S.LOWER_CODE, seq + i)).otherwise(ch)
+    """Digits by rule, letters around a ring by their place; everything else stays."""
+    one = lambda ch, i: F.when(ch.rlike(r"^\d$"), digit(i)).when(ch.rlike("^[A-Z]$"), _one_of(S.MASK_LETTERS, seq + i)).when(ch.rlike("^[a-z]$"), _one_of(S.MASK_LETTERS.lower(), seq + i)).otherwise(ch)
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
@@ -31,44 +33,52 @@ def code_like(text: Column, seq: Column) -> Column:
 
 
 def desc_like(text: Column, seq: Column) -> Column:
-    """An invented description of the same length: tag, code, word, tag in brackets."""
-    n = F.length(F.trim(text))
-    tag = F.concat(F.lpad((10 + F.pmod(seq, F.lit(89))).cast("string"), 2, "0"), _cycled(S.UPPER_CODE, seq))
-    digits = F.concat(*[F.pmod(seq + k, F.lit(10)).cast("string") for k in range(4)])
-    out = F.concat(tag, F.lit(" Z"), digits, F.lit("-"), _cycled(S.UPPER_CODE, seq + 1), _cycled(S.UPPER_CODE, seq + 3), F.lit("合成料網布/("), tag, F.lit(")"))
-    filler = F.concat(*[_cycled(S.UPPER_CODE, seq + k) for k in range(16)])
-    grown = F.concat(F.substring(out, F.lit(1), F.length(out) - 1), F.substring(filler, F.lit(1), n - F.length(out)), F.lit(")"))
-    cut = F.length(out) - n
-    shorter = F.when(cut <= 2, F.replace(out, F.lit("合成料"), F.substring(F.lit("合成料"), F.lit(1), F.lit(3) - cut))).otherwise(F.concat(F.substring(out, F.lit(1), F.length(out) - cut - 1), F.lit(")")))
-    return F.when(F.length(out) < n, grown).otherwise(shorter)
+    """Each character replaced inside its class by a rule of its own value and seq, so what is equal
+    in a text stays equal (a colour code and its repetition); 0 and O stay, as code repair hangs on
+    them; spaces and punctuation stay."""
+
+    def one(ch: Column) -> Column:
+        code = F.ascii(ch)
+        return (
+            F.when(ch.isin("0", "O"), ch).when(ch.rlike("^[1-9]$"), (F.pmod((code - 49) * 2 + seq, F.lit(9)) + 1).cast("string"))
+            .when(ch.rlike("^[A-Z]$"), _one_of(S.MASK_LETTERS, (code - 65) * 7 + seq * 3)).when(ch.rlike("^[a-z]$"), _one_of(S.MASK_LETTERS.lower(), (code - 97) * 7 + seq * 3))
+            .when(ch.rlike("^[\\x{3400}-\\x{9fff}]$"), _one_of(S.MASK_SIGNS, code + seq)).otherwise(ch)
+        )
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
+def _moved(text: Column, n: Column, shift: int) -> Column:
+    """The first n digits as a number moved by shift, in as many digits; the rest stays."""
+    number = F.pmod(F.left(text, n).try_cast("long") + shift, F.pow(F.lit(10.0), n).cast("long"))
+    return F.when(n > 0, F.concat(F.lpad(number.cast("string"), n, F.lit("0")), F.substring(text, n + 1, F.length(text)))).otherwise(text)
+
+
+def _leading_digits(text: Column) -> Column:
+    return F.length(F.regexp_extract(text, "^[0-9]{0,15}", 0))
 
 
 def width_like(text: Column, shift: int = 1) -> Column:
-    """The number moved by shift, 1 at least; its suffix stays."""
-    pattern = r"^(\d+(?:\.\d+)?)(.*)$"
-    num, rest = F.regexp_extract(F.trim(text), pattern, 1), F.regexp_extract(F.trim(text), pattern, 2)
-    new = F.greatest(F.lit(1.0), num.try_cast("double") + shift)
-    return F.when(num == "", text).when(F.contains(num, F.lit(".")), F.concat(F.format_string("%.1f", new), rest)).otherwise(F.concat(F.floor(new).cast("string"), rest))
+    """The whole number in front moved by shift within its digits; fraction and unit stay."""
+    return _moved(text, _leading_digits(text), shift)
 
 
 def date_like(text: Column, shift: int = 1) -> Column:
-    """The year moved; separators and padding stay, and three-digit years keep three digits."""
-    pattern = r"^(\d{2,4})(\D*\d{1,2}\D*\d{1,2}.*)$"
-    year, rest = F.regexp_extract(F.trim(text), pattern, 1), F.regexp_extract(F.trim(text), pattern, 2)
-    n = F.length(year)
-    moved = year.try_cast("int") + shift
-    return F.when(year == "", text).when(n == 2, F.concat(F.lpad((moved % 100).cast("string"), 2, "0"), rest)).otherwise(F.concat(F.lpad(moved.cast("string"), n, "0"), rest))
+    """The year moved within its digits: four of an eight-digit date, else two to four in front; what is no date stays."""
+    n = _leading_digits(text)
+    return _moved(text, F.when(n == 8, 4).when(n.between(2, 4), n).otherwise(0), shift)
 
 
 def unit_like(text: Column, seq: Column) -> Column:
-    """A known swap of equal length, else a made-up unit word of equal length."""
-    swaps = {k: v for k, v in S.UNIT_SWAPS.items() if len(k) == len(v)}
-    table = F.create_map(*[F.lit(x) for kv in swaps.items() for x in kv])
-    pool = ("M", "PC", "KG", "EA", "LB", "PK")
-    base = F.element_at(F.array(*[F.lit(w) for w in pool]), (F.pmod(seq, F.lit(len(pool))) + 1).cast("int"))
-    n = F.length(F.trim(text))
-    filler = F.concat(*[_cycled(S.UPPER_CODE, seq + k) for k in range(16)])
-    return F.when(n == 0, text).otherwise(F.coalesce(F.try_element_at(table, F.trim(text)), F.substring(F.concat(base, filler), F.lit(1), n)))
+    """Another known unit word of the same length, as far along the sorted words as seq tells; an unknown word is masked as a description."""
+    rings = {}
+    for word in sorted(S.UNITS):
+        rings.setdefault(len(word), []).append(word)
+    out = desc_like(text, seq)
+    for words in rings.values():
+        ring = F.array(*[F.lit(w) for w in words])
+        out = F.when(F.array_contains(ring, text), F.element_at(ring, (F.pmod(F.array_position(ring, text) + seq, F.lit(len(words))) + 1).cast("int"))).otherwise(out)
+    return out
 
 
 def first_seen(df: DataFrame, column: str, order: str, by: str) -> DataFrame:
@@ -91,14 +101,14 @@ def anonymize(raw: DataFrame) -> DataFrame:
     )
 
 
-def audit(before: DataFrame, after: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """column, leaks, same_lengths, same_commas, distinct_ratio, passed."""
+def audit(before: DataFrame, after: DataFrame, columns: tuple[str, ...], sensitive: str = SENSITIVE) -> DataFrame:
+    """column, leaks, same_lengths, same_commas, distinct_ratio, passed; sensitive: a pattern that nothing may match."""
 
     def shape(df: DataFrame, side: str) -> DataFrame:
         cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in columns])))
         return cells.groupBy("column").agg(
             F.array_sort(F.collect_set(F.length("v"))).alias(f"len_{side}"), F.count_if(F.contains("v", F.lit(","))).alias(f"commas_{side}"),
-            F.countDistinct("v").alias(f"kinds_{side}"), F.count_if(F.col("v").rlike(SENSITIVE)).alias(f"leaks_{side}"),
+            F.countDistinct("v").alias(f"kinds_{side}"), F.count_if(F.col("v").rlike(sensitive)).alias(f"leaks_{side}"),
         )
 
     both = shape(before, "b").join(shape(after, "a"), "column")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge import schema as S
@@ -63,9 +63,14 @@ def field_accuracy(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return out.select("field", wrong.alias("errors"), F.when(n == 0, 100.0).otherwise(F.round(100.0 * (n - wrong) / n, 4)).alias("rate"), ((n > 0) & (wrong == n)).alias("all_wrong"))
 
 
+def diff_shape_of() -> Column:
+    """The kind of the difference between expected and actual."""
+    return C.diff_shape(F.col("expected"), F.col("actual"))
+
+
 def diff_shapes(diffs: DataFrame) -> DataFrame:
     """field, shape, n of the differing cells."""
-    return diffs.groupBy("field", C.diff_shape(F.col("expected"), F.col("actual")).alias("shape")).agg(F.count("*").alias("n"))
+    return diffs.groupBy("field", diff_shape_of().alias("shape")).agg(F.count("*").alias("n"))
 
 
 def result_summary(expected: DataFrame, results: DataFrame) -> DataFrame:

@@ -154,11 +154,20 @@ def skipped_pages(pages: DataFrame, mappings: DataFrame) -> DataFrame:
 
 
 def agreement(a: Column, b: Column) -> Column:
-    """Positions at which two mappings differ."""
+    """Positions at which two mappings differ; beyond its end a mapping names no field."""
     both = F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y))
     return F.filter(F.transform(both, lambda d, i: F.when(d, i)), lambda i: i.isNotNull())
 
 
+def agreement_with_inferred(mappings: DataFrame, inferred: DataFrame) -> DataFrame:
+    """mappings with differ: where each departs from what headers tell on the first page that holds a table.
+
+    An empty list means that both sources agree, not that they are right.
+    """
+    first = inferred.groupBy("doc_id").agg(F.min_by("fields", "page").alias("inferred"))
+    return mappings.join(first, "doc_id").withColumn("differ", agreement(F.col("mapping"), F.col("inferred")))
+
+
 def column_profile(grid: DataFrame) -> DataFrame:
     """What the values of each column look like."""
     v = F.col("value")
@@ -219,3 +228,8 @@ def predict(prompts: DataFrame, predictor) -> DataFrame:
             yield pd.DataFrame({"doc_id": f["doc_id"], "raw": predictor(f["prompt"].tolist())})
 
     return prompts.select("doc_id", "prompt").mapInPandas(run, prompts.select("doc_id", F.lit("").alias("raw")).schema)
+
+
+def replay(prompts: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Answers (doc_id, run, raw) recorded earlier for these prompts; a prompt without one has a null answer, run 0."""
+    return prompts.select("doc_id").join(recorded.select("doc_id", "run", "raw"), "doc_id", "left").select("doc_id", F.coalesce("run", F.lit(0)).alias("run"), "raw")

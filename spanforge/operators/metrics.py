@@ -17,6 +17,12 @@ def mapping_score(answer: Column, truth: Column) -> Column:
     return F.when(answer.isNull() | (F.size(answer) != F.size(truth)) | (F.size(truth) == 0), 0.0).otherwise(_hits(answer, truth) / F.size(truth))
 
 
+def wrong_columns(answer: Column, truth: Column) -> Column:
+    """Positions that are not right; empty where lengths differ, as no position can be told then."""
+    found = F.filter(F.transform(F.zip_with(answer, truth, lambda x, y: ~x.eqNullSafe(y)), lambda d, i: F.when(d, i)), lambda i: i.isNotNull())
+    return F.when(answer.isNull() | (F.size(answer) != F.size(truth)), F.array().cast("array<int>")).otherwise(found)
+
+
 def mapping_scores(answer: Column, truth: Column) -> Column:
     """struct(strict, normal): as said, and with null words and headers resolved."""
     plain = F.transform(answer, lambda x: C.answer_field(x))

@@ -12,9 +12,14 @@ from spanforge.functions import scalar as C
 CELL_OF = {"ORD_NO": "ord_no", "MATM_NAME": "part_no", "MATM_DESC": "descr", "WIDE": "width", "QTY": "qty", "UNIT": "unit", "PRICE": "price", "NEED_DATE": "need_date", "NEED_CUST": "cust"}
 
 
+def empty_record() -> dict[str, Column]:
+    """A record of a document that told nothing: no numbers, empty texts."""
+    return {f: F.lit(None).cast("double") if f in S.DIGITS else F.lit("") for f in S.FIELDS}
+
+
 def from_raw(raw: DataFrame, keep: tuple[str, ...] = ("doc_id", "rec_seq")) -> DataFrame:
     """Twelve typed fields from one cell each; a narrow projection."""
-    return raw.select(*keep, *[C.coerce(f, F.col(c)).alias(f) for f, c in CELL_OF.items()], *[F.lit("").alias(f) for f in S.BLANK_FIELDS])
+    return raw.select(*keep, *[C.coerce(f, F.col(c)).alias(f) for f, c in CELL_OF.items()], *[empty_record()[f].alias(f) for f in S.BLANK_FIELDS])
 
 
 def apply_mapping(rows: DataFrame, keep: tuple[str, ...] = ("doc_id", "rec_seq")) -> DataFrame:
@@ -23,7 +28,7 @@ def apply_mapping(rows: DataFrame, keep: tuple[str, ...] = ("doc_id", "rec_seq")
     # filter before the aggregate would resolve every header again.
     cells = rows.select(*keep, "ord", C.resolve_field(F.col("key")).alias("field"), "value")
     last = cells.groupBy(*keep).agg(F.count("field").alias("known"), *[F.max_by("value", F.when(F.col("field") == f, F.col("ord"))).alias(f) for f in S.IMPORTED]).where("known > 0")
-    return last.select(*keep, *[C.coerce(f, F.col(f)).alias(f) for f in S.IMPORTED], *[F.lit("").alias(f) for f in S.BLANK_FIELDS])
+    return last.select(*keep, *[C.coerce(f, F.col(f)).alias(f) for f in S.IMPORTED], *[empty_record()[f].alias(f) for f in S.BLANK_FIELDS])
 
 
 def ignored_headers(rows: DataFrame) -> DataFrame:
@@ -36,6 +41,11 @@ def repair(records: DataFrame) -> DataFrame:
     return records.withColumn("changed", C.code_changed(F.col("MATM_DESC"))).withColumn("MATM_DESC", C.repair_code(F.col("MATM_DESC")))
 
 
+def repair_count(records: DataFrame) -> DataFrame:
+    """repaired: how many records repair() changes."""
+    return records.agg(F.count_if(C.code_changed(F.col("MATM_DESC"))).alias("repaired"))
+
+
 def validate(records: DataFrame, keep: tuple[str, ...] = ("doc_id", "rec_seq")) -> DataFrame:
     """keep..., problem: one row per fault."""
     faults = F.array_compact(F.array(F.when(F.col("ORD_NO") == "", "no order number"), F.when(F.col("QTY").isNull(), "no quantity")))
@@ -43,9 +53,22 @@ def validate(records: DataFrame, keep: tuple[str, ...] = ("doc_id", "rec_seq"))
 
 
 def validate_envelopes(envelopes: DataFrame) -> DataFrame:
-    """file, problem of result envelopes (file, success, recordCount, data)."""
-    faults = F.array_compact(F.array(F.when(F.col("data").isNull(), "no data"), F.when(~F.col("recordCount").eqNullSafe(F.size("data")), "record count"), F.when(F.size("data") == 0, "empty")))
-    return envelopes.select("file", F.explode(faults).alias("problem"))
+    """file, row (from 1, null for the whole), problem of result envelopes (file, raw: JSON text)."""
+    kind = "success boolean, recordCount int, data array<map<string,string>>"
+    e = envelopes.select("file", F.from_json("raw", kind).alias("e"), F.try_parse_json("raw").isNotNull().alias("is_json"))
+    data = F.col("e.data")
+    whole = F.array_compact(F.array(
+        F.when(~F.col("is_json"), "no JSON").when(data.isNull(), "no data"), F.when(data.isNotNull() & ~F.col("e.recordCount").eqNullSafe(F.size(data)), "record count"), F.when(F.size(data) == 0, "empty"),
+    ))
+    blank = lambda r, f: F.coalesce(C.to_text(F.try_element_at(r, F.lit(f))), F.lit("")) == ""
+    lacking = lambda r: F.filter(F.array(*[F.lit(f) for f in S.FIELDS]), lambda f: ~F.map_contains_key(r, f))
+    faults = lambda r: F.when(r.isNull(), F.array(F.lit("no object"))).otherwise(F.array_compact(F.array(
+        F.when(blank(r, "ORD_NO"), "no order number"), F.when(F.try_element_at(r, F.lit("QTY")).isNull(), "no quantity"),
+        F.when(F.size(lacking(r)) > 0, F.concat(F.lit("lacks "), F.array_join(lacking(r), ","))),
+    )))
+    rows = F.flatten(F.transform(data, lambda r, i: F.transform(faults(r), lambda p: F.struct((i + 1).alias("row"), p.alias("problem")))))
+    every = F.concat(F.transform(whole, lambda p: F.struct(F.lit(None).cast("int").alias("row"), p.alias("problem"))), F.coalesce(rows, F.array().cast("array<struct<row:int,problem:string>>")))
+    return e.select("file", F.inline(every))
 
 
 def product(qty: Column, price: Column) -> Column:

@@ -15,7 +15,9 @@ from spanforge.operators import compare as A
 from spanforge.operators import layout as L
 from spanforge.operators import matching as M
 from spanforge.operators import metrics as E
+from spanforge.operators import prompts as Q
 from spanforge.operators import records as R
+from spanforge.operators import report as T
 from spanforge.sources import builders as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +45,7 @@ WITH RECURSIVE line AS (
     l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity::BIGINT * (1 + 37 * l_linenumber) AS q, round(l_extendedprice * 10 / l_quantity)::BIGINT AS milli,
     substr('ABCDEFGHJK', (l_partkey % 10 + 1)::INT, 1) || 'V' AS letters FROM lineitem),
 raw AS (
-  SELECT doc_id, rec_seq, '6' || letters || doc_id || '-' || l_linenumber AS ord_no, 'P' || l_partkey AS part_no,
+  SELECT doc_id, rec_seq, CASE WHEN doc_id % 17 = 0 THEN 'X' ELSE '6' END || letters || doc_id || '-' || l_linenumber AS ord_no, 'P' || l_partkey AS part_no,
     CASE WHEN l_partkey % 3 = 1 THEN 'O' ELSE '0' END || letters || ' ' || coalesce(p_name, '') || '/(' || CASE WHEN l_partkey % 4 = 1 THEN 'O' ELSE '0' END || letters || ')' AS descr,
     coalesce(p_size, 0) || '"' AS width, format('{:,.1f}', q::DOUBLE) AS qty, ['碼', 'Y-2', '公尺', 'kg', '個', 'BOX'][(l_suppkey % 6 + 1)::INT] AS unit,
     (milli // 1000) || '.' || lpad((milli % 1000)::VARCHAR, 3, '0') AS price,
@@ -199,9 +201,10 @@ def apply_mapping(spark, d):
     return R.apply_mapping(_raw(spark, d).select("doc_id", "rec_seq", F.inline(cells)))
 
 
-@query(RAW + "SELECT doc_id, ['Total Amount', '金額'] AS ignored FROM raw GROUP BY doc_id")
+@query(RAW + "SELECT doc_id, list_sort(['金額'] || CASE WHEN doc_id % 3 = 0 THEN ['Total Amount'] WHEN doc_id % 3 = 1 THEN ['小 計'] ELSE [] END) AS ignored FROM raw GROUP BY doc_id")
 def ignored_headers(spark, d):
-    cells = F.array(*[F.struct(F.lit(h).alias("key"), F.col("amount").alias("value")) for h in ("金額", "Total Amount", "數量")])
+    third = F.when(F.col("doc_id") % 3 == 0, "Total Amount").when(F.col("doc_id") % 3 == 1, "小 計").otherwise("Unit Price")
+    cells = F.array(*[F.struct(h.alias("key"), F.col("amount").alias("value")) for h in (F.lit("金額"), third, F.lit("數量"))])
     return R.ignored_headers(_raw(spark, d).select("doc_id", "rec_seq", F.inline(cells)))
 
 
@@ -261,7 +264,21 @@ def page_preview(spark, d):
     return L.page_preview(_spans(spark, d))
 
 
-@query()
+_CANON = _list(S.COLUMN_ORDER)
+#: Column inference in SQL, for headers whose candidate fields do not compete for a column.
+INFER = SPANS + f""", alias(field, akey, ord) AS (VALUES {', '.join(str((f, k, i)) for f, k, i in S.ALIAS_KEYS)}),
+edge_at AS (SELECT doc_id, page, unnest(lefts) AS l, generate_subscripts(lefts, 1) - 1 AS i FROM lefts),
+named AS (SELECT DISTINCT r.doc_id, r.page, r.span_seq, r.x, field FROM (SELECT ruled.doc_id, ruled.page, span_seq, x, {_KEY_SQL.replace('translate(h,', 'translate(text,')} AS key FROM ruled JOIN bounds USING (doc_id, page) WHERE NOT rule AND y < top) r JOIN alias ON contains(key, akey)),
+near AS (SELECT n.doc_id, n.page, field, min(abs(l - x)) AS gap, arg_min(i, abs(l - x) * 1000 + i) AS spot FROM named n JOIN edge_at e ON e.doc_id = n.doc_id AND e.page = n.page GROUP BY n.doc_id, n.page, span_seq, field HAVING gap < {M.HEADER_REACH}),
+picked AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, page, spot ORDER BY gap) = 1 AND row_number() OVER (PARTITION BY doc_id, page, field ORDER BY gap, spot) = 1),
+placed AS (SELECT e.doc_id, e.page, list(field ORDER BY i) AS cols FROM edge_at e LEFT JOIN picked p ON p.doc_id = e.doc_id AND p.page = e.page AND p.spot = e.i GROUP BY e.doc_id, e.page),
+judged AS (SELECT *, [list_position({_CANON}, f) FOR f IN cols IF f IS NOT NULL] AS places, list_filter({_CANON}, lambda f: f IS NULL OR NOT list_contains(cols, f)) AS rest FROM placed),
+inferred AS (SELECT doc_id, page, places = list_sort(places) AND len(list_distinct(places)) = len(places) AS safe,
+  CASE WHEN places = list_sort(places) AND len(list_distinct(places)) = len(places) THEN [CASE WHEN cols[i] IS NULL THEN rest[len([1 FOR f IN cols[:i] IF f IS NULL])] ELSE cols[i] END FOR i IN range(1, len(cols) + 1)] ELSE cols END AS fields FROM judged)
+"""
+
+
+@query(INFER + "SELECT doc_id, page, fields, safe FROM inferred")
 def infer_fields(spark, d):
     return M.infer_fields(_spans(spark, d))
 
@@ -276,36 +293,49 @@ def sample_round_robin(spark, d):
     return M.sample_rows(L.grid(_spans(spark, d)).select("doc_id", "page", "row_idx").distinct(), 3)
 
 
-#: Recorded answers: a right mapping, and faults by kind.
+#: Recorded answers: the usual order turned by doc_id % 10, said in several ways and with faults of each kind.
 _GOOD = [*S.COLUMN_ORDER]
-_KINDS = [
-    _GOOD, ["訂購單號", "料號", "品名", "規格", "數量", "單位", "單價", "n/a", "交貨日期", "子公司"], _GOOD[:9], ["ORD_NO", "ORD_NO", *_GOOD[2:]], ["nonsense", *_GOOD[1:]], None, ["null", *_GOOD[1:]],
-]
-_PARSED = [(_GOOD, None), (_GOOD, None), (None, "length"), (None, "duplicate"), (None, "unknown field"), (None, "no JSON"), ([None, *_GOOD[1:]], None)]
-
-
-def _answers() -> list[str]:
-    import json
-
-    return ["no answer" if k is None else "```json\n" + json.dumps({"mapping": k}, ensure_ascii=False)[:-1] + ",}\n```" for k in _KINDS]
+_SAID = ["訂購單號", "料號", "品名", "規格", "數量", "單位", "單價", "n/a", "交貨日期", "子公司"]
+_KINDS = 7  # as it is, in header words, cut short, a field twice, an unknown one, no JSON, null as a word
+_TURN = f"SELECT doc_id, run, kind, doc_id % 10 AS r, CASE WHEN kind = 1 THEN {_list(_SAID)} ELSE {_list(_GOOD)} END AS words, {_list(_GOOD)} AS truth"
+_TURNED = (
+    "turned AS (SELECT * EXCLUDE (words), words[r + 1:] || words[:r] AS whole, (truth[r + 1:] || truth[:r]) AS plain FROM kinds), "
+    "said AS (SELECT *, CASE kind WHEN 2 THEN whole[:9] WHEN 3 THEN list_transform(whole, lambda f: CASE WHEN f = 'MATM_NAME' THEN 'ORD_NO' ELSE f END) WHEN 4 THEN list_transform(whole, lambda f: CASE WHEN f = 'ORD_NO' THEN 'nonsense' ELSE f END)"
+    " WHEN 5 THEN NULL WHEN 6 THEN list_transform(whole, lambda f: CASE WHEN f = 'ORD_NO' THEN 'null' ELSE f END) ELSE whole END AS words FROM turned), "
+    "parsed AS (SELECT *, CASE kind WHEN 0 THEN plain WHEN 1 THEN plain WHEN 6 THEN list_transform(plain, lambda f: CASE WHEN f = 'ORD_NO' THEN NULL ELSE f END) END AS mapping,"
+    " CASE kind WHEN 2 THEN 'length' WHEN 3 THEN 'duplicate' WHEN 4 THEN 'unknown field' WHEN 5 THEN 'no JSON' END AS error FROM said)"
+)
+
+
+def _answer(kind, doc):
+    """The JSON text of an answer of a kind for a document."""
+    of = lambda words: F.array(*[F.lit(w).cast("string") for w in words])
+    turned = lambda a: F.concat(F.slice(a, (doc % 10 + 1).cast("int"), F.lit(10)), F.slice(a, F.lit(1), (doc % 10).cast("int")))
+    swap = lambda a, old, new: F.transform(a, lambda f: F.when(f == old, F.lit(new)).otherwise(f))
+    whole = turned(F.when(kind == 1, of(_SAID)).otherwise(of(_GOOD)))
+    words = F.when(kind == 2, F.slice(whole, 1, 9)).when(kind == 3, swap(whole, "MATM_NAME", "ORD_NO")).when(kind == 4, swap(whole, "ORD_NO", "nonsense")).when(kind == 6, swap(whole, "ORD_NO", "null")).otherwise(whole)
+    return F.to_json(F.struct(words.alias("mapping")))
 
 
 def _proposals(spark, d):
     cust = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("run"))
-    kind = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % len(_KINDS)).otherwise((F.col("doc_id") + F.col("run")) % len(_KINDS))
-    return cust.withColumn("raw", F.element_at(F.array(*[F.lit(a) for a in _answers()]), (kind + 1).cast("int")))
+    kind = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % _KINDS).otherwise((F.col("doc_id") + F.col("run")) % _KINDS)
+    json = _answer(F.col("kind"), F.col("doc_id"))
+    fenced = F.concat(F.lit("```json\n"), F.regexp_replace(json, r"\}$", ",}"), F.lit("\n```"))
+    return cust.withColumn("kind", kind).select("doc_id", "run", F.when(F.col("kind") == 5, "no answer").otherwise(fenced).alias("raw"))
 
 
-_RUNS = "WITH runs AS (SELECT c_custkey AS doc_id, run, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 7 ELSE (c_custkey + run) % 7 END AS kind FROM customer, (VALUES (0), (1), (2)) t(run)), parsed(kind, mapping, error) AS (VALUES " + ", ".join(f"({k}, {'NULL' if m is None else _list(m)}, {'NULL' if e is None else repr(e)})" for k, (m, e) in enumerate(_PARSED)) + ") "
+_RUN_CTES = f"kinds AS ({_TURN} FROM (SELECT c_custkey AS doc_id, run, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % {_KINDS} ELSE (c_custkey + run) % {_KINDS} END AS kind FROM customer, (VALUES (0), (1), (2)) t(run))), " + _TURNED
+_RUNS = f"WITH {_RUN_CTES} "
 
 
-@query(_RUNS + "SELECT doc_id, run, mapping, error FROM runs JOIN parsed USING (kind)")
+@query(_RUNS + "SELECT doc_id, run, mapping, error FROM parsed")
 def parse_mapping(spark, d):
     p = _proposals(spark, d)
     return p.select("doc_id", "run", M.parse_mapping(F.col("raw"), F.lit(10)).alias("p")).select("doc_id", "run", "p.mapping", "p.error")
 
 
-@query(_RUNS + ", c AS (SELECT doc_id, mapping, count(*) AS c FROM runs JOIN parsed USING (kind) WHERE error IS NULL GROUP BY ALL) SELECT doc_id, CASE WHEN 2 * max(c) > sum(c) THEN arg_max(mapping, c) END AS mapping, max(c) AS votes, sum(c)::BIGINT AS runs FROM c GROUP BY doc_id")
+@query(_RUNS + ", c AS (SELECT doc_id, mapping, count(*) AS c FROM parsed WHERE error IS NULL GROUP BY ALL) SELECT doc_id, CASE WHEN 2 * max(c) > sum(c) THEN arg_max(mapping, c) END AS mapping, max(c) AS votes, sum(c)::BIGINT AS runs FROM c GROUP BY doc_id")
 def vote_mapping(spark, d):
     return M.vote(parse_mapping(spark, d).where("error IS NULL"))
 
@@ -324,9 +354,9 @@ def skipped_pages(spark, d):
     return M.skipped_pages(L.tables(_spans(spark, d)).select("doc_id", "page", F.size("lefts").alias("n")), _docs_mapping(spark, d))
 
 
-@query(_RUNS + f"SELECT doc_id, run, [i - 1 FOR i IN range(1, 11) IF mapping[i] IS DISTINCT FROM ({_list(_GOOD)})[i]] AS differ FROM runs JOIN parsed USING (kind) WHERE error IS NULL")
+@query(INFER + f", {_RUN_CTES}, firsts AS (SELECT doc_id, arg_min(fields, page) AS fields FROM inferred GROUP BY doc_id) SELECT doc_id, run, [i - 1 FOR i IN range(1, greatest(len(mapping), len(fields)) + 1) IF mapping[i] IS DISTINCT FROM fields[i]] AS differ FROM parsed JOIN firsts USING (doc_id) WHERE error IS NULL")
 def mapping_agreement(spark, d):
-    return parse_mapping(spark, d).where("error IS NULL").select("doc_id", "run", M.agreement(F.col("mapping"), F.array(*[F.lit(f) for f in _GOOD])).alias("differ"))
+    return M.agreement_with_inferred(parse_mapping(spark, d).where("error IS NULL"), M.infer_fields(_spans(spark, d))).select("doc_id", "run", "differ")
 
 
 @query(DIFFS + "SELECT * FROM diffs")
@@ -377,27 +407,66 @@ def repair_codes(spark, d):
     return R.repair(_rec(spark, d)).select("doc_id", "rec_seq", "changed", "MATM_DESC")
 
 
+_LETTERS, _SIGNS = S.MASK_LETTERS, S.MASK_SIGNS
+
+
 def _like(text: str, digit: str, seq: str) -> str:
-    return f"array_to_string(list_transform(string_split({text}, ''), lambda ch, i: CASE WHEN regexp_full_match(ch, '[0-9]') THEN {digit} WHEN regexp_full_match(ch, '[A-Z]') THEN substr('{S.UPPER_CODE}', (({seq} + i - 1) % 24 + 1)::INT, 1) WHEN regexp_full_match(ch, '[a-z]') THEN substr('{S.LOWER_CODE}', (({seq} + i - 1) % 24 + 1)::INT, 1) ELSE ch END), '')"
+    ring = lambda letters: f"substr('{letters}', (({seq} + i - 1) % {len(letters)} + 1)::INT, 1)"
+    return f"array_to_string(list_transform(string_split({text}, ''), lambda ch, i: CASE WHEN regexp_full_match(ch, '[0-9]') THEN {digit} WHEN regexp_full_match(ch, '[A-Z]') THEN {ring(_LETTERS)} WHEN regexp_full_match(ch, '[a-z]') THEN {ring(_LETTERS.lower())} ELSE ch END), '')"
+
+
+def _desc_like(text: str, seq: str) -> str:
+    ring = lambda letters, first: f"substr('{letters}', (((unicode(ch) - {first}) * 7 + {seq} * 3) % {len(letters)} + 1)::INT, 1)"
+    return (
+        f"array_to_string(list_transform(string_split({text}, ''), lambda ch: CASE WHEN ch IN ('0', 'O') THEN ch WHEN regexp_full_match(ch, '[1-9]') THEN (((unicode(ch) - 49) * 2 + {seq}) % 9 + 1)::VARCHAR"
+        f" WHEN regexp_full_match(ch, '[A-Z]') THEN {ring(_LETTERS, 65)} WHEN regexp_full_match(ch, '[a-z]') THEN {ring(_LETTERS.lower(), 97)}"
+        f" WHEN unicode(ch) BETWEEN 13312 AND 40959 THEN substr('{_SIGNS}', ((unicode(ch) + {seq}) % {len(_SIGNS)} + 1)::INT, 1) ELSE ch END), '')"
+    )
+
 
+def _moved(text: str, n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN lpad(((substr({text}, 1, {n})::BIGINT + 1) % (10 ** {n})::BIGINT)::VARCHAR, {n}::INT, '0') || substr({text}, {n} + 1) ELSE {text} END"
 
-@query(RAW + f", f AS (SELECT doc_id, part_no, row_number() OVER (PARTITION BY doc_id ORDER BY min(rec_seq), part_no) - 1 AS s FROM raw GROUP BY doc_id, part_no) SELECT raw.doc_id, rec_seq, {_like('ord_no', 'CASE WHEN i = 1 THEN chr(54) ELSE ((rec_seq - 1 + i - 1) % 10)::VARCHAR END', '(rec_seq - 1)')} AS ord_no, {_like('raw.part_no', '((s * 3 + i - 1) % 10)::VARCHAR', 's')} AS part_no, ((regexp_extract(width, '[0-9]+')::INT + 1)::VARCHAR || '\"') AS width FROM raw JOIN f ON f.doc_id = raw.doc_id AND f.part_no = raw.part_no")
+
+def _unit_like(text: str, seq: str) -> str:
+    rings = {}
+    for w in sorted(S.UNITS):
+        rings.setdefault(len(w), []).append(w)
+    cases = " ".join(f"WHEN list_contains({_list(r)}, {text}) THEN {_list(r)}[((list_position({_list(r)}, {text}) + {seq}) % {len(r)} + 1)::INT]" for r in rings.values())
+    return f"CASE {cases} ELSE {_desc_like(text, seq)} END"
+
+
+_RANKED = ("part_no", "descr", "unit", "cust")
+MASKED = RAW + "".join(f", seq_{c} AS (SELECT doc_id, {c}, row_number() OVER (PARTITION BY doc_id ORDER BY min(rec_seq), {c}) - 1 AS s_{c} FROM raw GROUP BY doc_id, {c})" for c in _RANKED) + f""",
+numbered AS (SELECT raw.*, {', '.join(f's_{c}' for c in _RANKED)}, length(regexp_extract(width, '^[0-9]*')) AS w, length(regexp_extract(need_date, '^[0-9]*')) AS y FROM raw {' '.join(f'JOIN seq_{c} ON raw.doc_id = seq_{c}.doc_id AND raw.{c} = seq_{c}.{c}' for c in _RANKED)}),
+dated AS (SELECT * EXCLUDE (y), CASE WHEN y = 8 THEN 4 WHEN y BETWEEN 2 AND 4 THEN y ELSE 0 END AS y FROM numbered),
+masked AS (SELECT doc_id, rec_seq, {_like('ord_no', 'CASE WHEN i = 1 THEN chr(54) ELSE ((rec_seq - 1 + i - 1) % 10)::VARCHAR END', '(rec_seq - 1)')} AS ord_no, {_like('part_no', '((s_part_no * 3 + i - 1) % 10)::VARCHAR', 's_part_no')} AS part_no,
+  {_desc_like('descr', 's_descr')} AS descr, {_moved('width', 'w')} AS width, qty, {_unit_like('unit', 's_unit')} AS unit, price, amount, {_moved('need_date', 'y')} AS need_date, {_like('cust', '((s_cust * 3 + i - 1) % 10)::VARCHAR', 's_cust')} AS cust FROM dated)
+"""
+
+
+@query(MASKED + "SELECT doc_id, rec_seq, ord_no, part_no, width FROM masked")
 def anonymize_codes(spark, d):
     return N.anonymize(_raw(spark, d)).select("doc_id", "rec_seq", "ord_no", "part_no", "width")
 
 
-_UNIT_MASK = "coalesce(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in S.UNIT_SWAPS.items() if len(k) == len(v)) + f"}}[raw.unit], substr(['M', 'PC', 'KG', 'EA', 'LB', 'PK'][(s % 6 + 1)::INT] || array_to_string([substr('{S.UPPER_CODE}', ((s + k) % 24 + 1)::INT, 1) FOR k IN range(0, 16)], ''), 1, length(raw.unit)))"
+@query(MASKED + "SELECT doc_id, rec_seq, descr, unit, need_date, cust FROM masked")
+def anonymize_words(spark, d):
+    return N.anonymize(_raw(spark, d)).select("doc_id", "rec_seq", "descr", "unit", "need_date", "cust")
+
 
+_AUDITED = ("ord_no", "part_no", "descr", "width", "qty", "unit", "price", "amount", "need_date", "cust")
 
-@query(RAW + f", f AS (SELECT doc_id, unit, row_number() OVER (PARTITION BY doc_id ORDER BY min(rec_seq), unit) - 1 AS s FROM raw GROUP BY doc_id, unit), y AS (SELECT *, regexp_extract(need_date, '^[0-9]{{2,4}}') AS year FROM raw) SELECT raw.doc_id, raw.rec_seq, {_UNIT_MASK} AS unit, CASE WHEN year = '' THEN need_date ELSE lpad((year::INT + 1)::VARCHAR, length(year)::INT, '0') || substr(need_date, length(year) + 1) END AS need_date FROM y AS raw JOIN f ON f.doc_id = raw.doc_id AND f.unit = raw.unit")
-def anonymize_words(spark, d):
-    return N.anonymize(_raw(spark, d)).select("doc_id", "rec_seq", "unit", "need_date")
 
+def _shape(table: str) -> str:
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS c, {c} AS v FROM {table}" for c in _AUDITED)
+    return f"(SELECT c, list_sort(list(DISTINCT length(v))) AS lens, count(*) FILTER (contains(v, ',')) AS commas, count(DISTINCT v) AS kinds, count(*) FILTER (regexp_matches(v, '{N.SENSITIVE}')) AS leaks FROM ({cells}) GROUP BY c)"
 
-@query()
+
+@query(MASKED + f"SELECT c AS \"column\", a.leaks, b.lens = a.lens AS same_lengths, b.commas = a.commas AS same_commas, round(a.kinds / b.kinds, 6) AS distinct_ratio, a.leaks = 0 AND b.lens = a.lens AND b.commas = a.commas AND round(a.kinds / b.kinds, 6) BETWEEN 0.5 AND 1.6 AS passed FROM {_shape('raw')} b JOIN {_shape('masked')} a USING (c)")
 def anonymize_audit(spark, d):
     raw = _raw(spark, d)
-    return N.audit(raw, N.anonymize(raw), ("ord_no", "part_no", "descr", "width", "qty", "unit", "price", "amount", "need_date", "cust"))
+    return N.audit(raw, N.anonymize(raw), _AUDITED)
 
 
 @query("SELECT event_id, (props->>'$.k')::INT AS k, 'ok' AS state FROM events")
@@ -417,38 +486,40 @@ def coerce_shape(spark, d):
     return r.select("event_id", "r.record_count", F.get("r.data", F.lit(0)).alias("first"))
 
 
-@query(_RUNS + f", s AS (SELECT doc_id, run, mapping, {_list(_GOOD)} AS truth FROM runs JOIN parsed USING (kind)) SELECT doc_id, run, CASE WHEN mapping IS NULL THEN 0.0 ELSE len([1 FOR i IN range(1, 11) IF mapping[i] IS NOT DISTINCT FROM truth[i]]) / 10 END AS score FROM s")
+@query(_RUNS + "SELECT doc_id, run, CASE WHEN mapping IS NULL THEN 0.0 ELSE len([1 FOR i IN range(1, 11) IF mapping[i] IS NOT DISTINCT FROM truth[i]]) / 10 END AS score, CASE WHEN mapping IS NULL THEN []::INT[] ELSE [(i - 1)::INT FOR i IN range(1, 11) IF mapping[i] IS DISTINCT FROM truth[i]] END AS wrong FROM parsed")
 def score_mapping(spark, d):
-    return parse_mapping(spark, d).select("doc_id", "run", E.mapping_score(F.col("mapping"), F.array(*[F.lit(f) for f in _GOOD])).alias("score"))
+    truth = F.array(*[F.lit(f) for f in _GOOD])
+    return parse_mapping(spark, d).select("doc_id", "run", E.mapping_score(F.col("mapping"), truth).alias("score"), E.wrong_columns(F.col("mapping"), truth).alias("wrong"))
 
 
-#: The same kinds as strict JSON, with what is found in each: answer, faults, scores as said and resolved.
-_STRICT = [
-    (_KINDS[0], [], 1.0, 1.0), (_KINDS[1], [], 0.0, 1.0), (_KINDS[2], ["length"], 0.0, 0.0), (_KINDS[3], ["duplicate"], 0.9, 0.9), (_KINDS[4], [], 0.9, 0.9), (None, ["no JSON"], 0.0, 0.0),
-    (_KINDS[6], ["null as text"], 0.9, 0.9),
-]
-_FOUND = "WITH found(kind, mapping, faults, strict, normal) AS (VALUES " + ", ".join(f"({k}, {'NULL' if m is None else _list(m)}, {_list(f)}::VARCHAR[], {a}::DOUBLE, {b}::DOUBLE)" for k, (m, f, a, b) in enumerate(_STRICT)) + ") "
+_ONE_RUN = f"WITH kinds AS ({_TURN} FROM (SELECT c_custkey AS doc_id, 0 AS run, c_custkey % {_KINDS} AS kind FROM customer)), " + _TURNED + " "
 
 
 def _strict(spark, d):
-    import json
+    """The same answers as strict JSON, one a document."""
+    kind = F.col("doc_id") % _KINDS
+    cust = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("doc_id"))
+    raw = F.when(kind == 5, "no answer").otherwise(_answer(kind, F.col("doc_id")))
+    return cust.select("doc_id", M.mapping_faults(raw, F.lit(10)).alias("p")).select("doc_id", "p.mapping", "p.faults")
 
-    raw = F.array(*[F.lit("no answer" if k is None else json.dumps({"mapping": k}, ensure_ascii=False)) for k in _KINDS])
-    cust = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.element_at(raw, (F.col("c_custkey") % len(_KINDS) + 1).cast("int")).alias("raw"))
-    return cust.select("doc_id", M.mapping_faults(F.col("raw"), F.lit(10)).alias("p")).select("doc_id", "p.mapping", "p.faults")
 
-
-@query(_FOUND + f"SELECT c_custkey AS doc_id, mapping, faults FROM customer JOIN found ON kind = c_custkey % {len(_KINDS)}")
+@query(_ONE_RUN + "SELECT doc_id, words AS mapping, CASE kind WHEN 2 THEN ['length'] WHEN 3 THEN ['duplicate'] WHEN 5 THEN ['no JSON'] WHEN 6 THEN ['null as text'] ELSE []::VARCHAR[] END AS faults FROM said")
 def mapping_faults(spark, d):
     return _strict(spark, d)
 
 
-@query(_FOUND + f"SELECT c_custkey AS doc_id, strict, normal FROM customer JOIN found ON kind = c_custkey % {len(_KINDS)}")
+_HITS = "CASE WHEN {0} IS NULL OR len({0}) <> 10 THEN 0.0 ELSE len([1 FOR i IN range(1, 11) IF {0}[i] IS NOT DISTINCT FROM truth[i]]) / 10 END::DOUBLE"
+
+
+@query(_ONE_RUN + ", resolved AS (SELECT *, CASE kind WHEN 1 THEN plain WHEN 6 THEN list_transform(words, lambda f: CASE WHEN f = 'null' THEN NULL ELSE f END) ELSE words END AS meant FROM said) SELECT doc_id, " + _HITS.format("words") + " AS strict, " + _HITS.format("meant") + " AS normal FROM resolved")
 def score_mapping_dual(spark, d):
     return _strict(spark, d).select("doc_id", E.mapping_scores(F.col("mapping"), F.array(*[F.lit(f) for f in _GOOD])).alias("s")).select("doc_id", "s.strict", "s.normal")
 
 
-@query(_RUNS + "SELECT doc_id, run, true AS forward, false AS backward FROM runs JOIN parsed USING (kind) WHERE error IS NULL")
+_PLACES = f"[list_position({_list(_GOOD)}, f) FOR f IN {{0}} IF f IS NOT NULL]"
+
+
+@query(_RUNS + f"SELECT doc_id, run, {_PLACES.format('mapping')} = list_sort({_PLACES.format('mapping')}) AS forward, {_PLACES.format('list_reverse(mapping)')} = list_sort({_PLACES.format('mapping')}) AS backward FROM parsed WHERE error IS NULL")
 def order_check(spark, d):
     return parse_mapping(spark, d).where("error IS NULL").select("doc_id", "run", M.order_ok(F.col("mapping")).alias("forward"), M.order_ok(F.reverse("mapping")).alias("backward"))
 
@@ -548,21 +619,111 @@ def column_profile(spark, d):
     return M.column_profile(L.grid(_spans(spark, d)))
 
 
-@query()
+_PROFILE = ORACLES["column_profile"].removeprefix(SPANS)
+
+
+@query(SPANS + f""", p AS ({_PROFILE}),
+num AS (SELECT g.doc_id, g.page, g.row_idx, g.col_idx, replace(value, ',', '')::DOUBLE AS v FROM grid g JOIN p ON p.doc_id = g.doc_id AND p.col_idx = g.col_idx WHERE numeric = 1.0),
+hits AS (SELECT doc_id, i, j, k, count(*) AS hits FROM (SELECT DISTINCT a.doc_id, a.page, a.row_idx, a.col_idx AS i, b.col_idx AS j, z.col_idx AS k FROM num a JOIN num b ON a.doc_id = b.doc_id AND a.page = b.page AND a.row_idx = b.row_idx AND b.col_idx > a.col_idx
+  JOIN num z ON z.doc_id = a.doc_id AND z.page = a.page AND z.row_idx = a.row_idx AND z.col_idx <> a.col_idx AND z.col_idx <> b.col_idx WHERE abs(z.v - a.v * b.v) <= 0.5) GROUP BY ALL),
+whole AS (SELECT doc_id, count(DISTINCT (page, row_idx)) AS n_rows FROM num GROUP BY doc_id),
+best AS (SELECT doc_id, min([i, j, k]) AS t FROM hits JOIN whole USING (doc_id) WHERE hits = n_rows GROUP BY doc_id),
+q AS (SELECT p.*, t, numeric < 1.0 AND dated < 0.5 AND inches < 0.5 AS is_text, max(CASE WHEN col_idx = t[1] THEN decimals END) OVER w > max(CASE WHEN col_idx = t[2] THEN decimals END) OVER w AS swap FROM p LEFT JOIN best ON best.doc_id = p.doc_id WINDOW w AS (PARTITION BY p.doc_id)),
+y AS (SELECT *, CASE WHEN swap THEN t[2] ELSE t[1] END AS qc, CASE WHEN swap THEN t[1] ELSE t[2] END AS rc, t[3] AS kc, arg_max(CASE WHEN is_text THEN col_idx END, CASE WHEN is_text THEN mean_length * 1000 - col_idx END) OVER w AS longest, min(CASE WHEN is_text AND kinds = n THEN col_idx END) OVER w AS first_key FROM q WINDOW w AS (PARTITION BY doc_id))
+SELECT doc_id, col_idx, CASE WHEN col_idx = kc THEN NULL WHEN col_idx = qc THEN 'QTY' WHEN col_idx = rc THEN 'PRICE' WHEN dated >= 0.5 THEN 'NEED_DATE' WHEN inches >= 0.5 THEN 'WIDE' WHEN col_idx = longest THEN 'MATM_DESC' WHEN col_idx = first_key THEN 'ORD_NO' WHEN max_length <= 3 AND kinds * 2 <= n THEN 'UNIT' END AS field FROM y""")
 def classify_columns(spark, d):
     return M.classify_columns(L.grid(_spans(spark, d)))
 
 
-@query()
+def _extracted(cells: str) -> str:
+    """Typed, repaired records of cells (doc_id, page, row_idx, field, value), as rows with an order number."""
+    pivot = ", ".join(f"coalesce(trim(max(value) FILTER (field = '{f}')), '') AS {f}" for f in S.IMPORTED)
+    typed = {f: f for f in S.FIELDS} | {"WIDE": "regexp_replace(WIDE, '[^0-9]', '', 'g')", "QTY": _num("QTY", 2), "PRICE": _num("PRICE", 3), "UNIT": _unit("UNIT"), "NEED_DATE": _date("replace(NEED_DATE, ' ', '')"), "MATM_DESC": "CASE WHEN changed THEN '0' || substr(MATM_DESC, 2) ELSE MATM_DESC END"} | {f: "''" for f in S.BLANK_FIELDS}
+    return (
+        f", wide AS (SELECT doc_id, page, row_idx, {pivot} FROM ({cells}) GROUP BY ALL HAVING count(*) FILTER (field = 'ORD_NO') > 0), coded AS (SELECT *, {_P1} AS pp, {_B1} AS bb FROM wide), marked AS (SELECT *, pp.a <> '' AND bb.a <> '' AND pp.b = bb.b AND pp.a <> bb.a AS changed FROM coded) "
+        f"SELECT doc_id, page, row_idx, {', '.join(f'{e} AS {f}' for f, e in typed.items())}, changed FROM marked"
+    )
+
+
+@query(INFER + _extracted("SELECT g.doc_id, g.page, g.row_idx, fields[g.col_idx + 1] AS field, value FROM grid g JOIN inferred f ON f.doc_id = g.doc_id AND f.page = g.page WHERE fields[g.col_idx + 1] IS NOT NULL"))
 def extract_records(spark, d):
     from spanforge.plans.extract import deterministic
 
     return deterministic(_spans(spark, d))["records"]
 
 
-@query()
+@query(SPANS + f", widths AS (SELECT doc_id, page, len(lefts) AS n FROM lefts), modal AS (SELECT doc_id, arg_max(n, c * 100000 - p) AS n FROM (SELECT doc_id, n, count(*) AS c, min(page) AS p FROM widths GROUP BY ALL) GROUP BY doc_id)" + _extracted(f"SELECT g.doc_id, g.page, g.row_idx, ({_list(_GOOD)})[g.col_idx + 1] AS field, value FROM grid g JOIN widths w ON w.doc_id = g.doc_id AND w.page = g.page AND w.n = 10 JOIN modal ON modal.doc_id = g.doc_id AND modal.n = 10 WHERE ({_list(_GOOD)})[g.col_idx + 1] IS NOT NULL"))
 def extract_by_proposal(spark, d):
+    import json
+
     from spanforge.plans.extract import by_proposal
 
-    answers = _raw(spark, d).select("doc_id").distinct().select("doc_id", F.lit(0).alias("run"), F.lit(_answers()[0]).alias("raw"))
+    answer = json.dumps({"mapping": _GOOD})
+    answers = _raw(spark, d).select("doc_id").distinct().select("doc_id", F.lit(0).alias("run"), F.lit(answer).alias("raw"))
     return by_proposal(_spans(spark, d), answers)["records"]
+
+
+@query(SPANS + ", marked AS (SELECT *, row_number() OVER w AS k, x IS DISTINCT FROM lag(x) OVER w AS begins FROM spans WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, x, text, span_seq)), numbered AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id, page ORDER BY k) - 1 AS run FROM marked) SELECT doc_id, page, run::INT AS run, any_value(x)::INT AS x, substr(string_agg(text, ' ' ORDER BY k), 1, 34) AS line FROM numbered GROUP BY doc_id, page, run")
+def page_runs(spark, d):
+    return L.page_runs(_spans(spark, d))
+
+
+@query(SPANS + ", lines AS (SELECT doc_id, page, row_idx, substr(string_agg(text, ' ' ORDER BY y, x, text), 1, 70) AS line FROM cells GROUP BY ALL), per AS (SELECT doc_id, page, count(*) AS n, list(line ORDER BY row_idx) AS previews FROM lines GROUP BY ALL) SELECT b.doc_id, b.page, top, bottom, tier, lefts, coalesce(n, 0) AS rows, coalesce(previews, []) AS previews FROM bounds b JOIN lefts USING (doc_id, page) LEFT JOIN per USING (doc_id, page)")
+def truth_tables(spark, d):
+    return L.truth_tables(_spans(spark, d))
+
+
+_PLACE = "list_position(" + _list(S.FIELDS) + ", field)"
+_SHAPE = ORACLES["diff_shapes"].removeprefix(DIFFS)
+_ONE = lambda x: f"round({x}, 1)::DECIMAL(5,1)::VARCHAR || '%'"
+_SHOWN = "doc_id || ' ' || ORD_NO || ' ' || field || ': expected ' || coalesce(nullif(expected, ''), '(none)') || ', actual ' || coalesce(nullif(actual, ''), '(none)')"
+_REPORT = DIFFS + _COMMON.rstrip() + f""", t AS (SELECT common, (SELECT count(*) FROM expected) AS wanted, (SELECT count(*) FROM actual) AS got, (SELECT count(*) FROM diffs) AS n FROM c),
+heads AS (SELECT unnest(['records: expected ' || wanted || ', actual ' || got, 'keys found: ' || common || ' of ' || wanted, 'missing keys: ' || (wanted - common), 'extra keys: ' || (got - common),
+  'accuracy over ' || common || ' records of 12 fields, ' || (common * 12) || ' cells: ' || {_ONE('100 * round((common * 12 - n) / (common * 12), 6)')}, 'differences: ' || n]) AS line, generate_subscripts([1, 2, 3, 4, 5, 6], 1) - 1 AS a FROM t),
+shapes AS ({_SHAPE}), errors AS (SELECT field, count(doc_id) AS errors FROM (SELECT unnest({_list(S.FIELDS)}) AS field) LEFT JOIN diffs USING (field) GROUP BY field),
+fixed_lines AS (SELECT 1 AS section, a::BIGINT AS a, 0::BIGINT AS b, '' AS c, line FROM heads
+UNION ALL SELECT 2, doc_id, 0, ORD_NO, 'missing ' || doc_id || ' ' || ORD_NO FROM (SELECT doc_id, ORD_NO FROM expected EXCEPT SELECT doc_id, ORD_NO FROM actual)
+UNION ALL SELECT 3, doc_id, 0, ORD_NO, 'extra ' || doc_id || ' ' || ORD_NO FROM (SELECT doc_id, ORD_NO FROM actual EXCEPT SELECT doc_id, ORD_NO FROM expected)
+UNION ALL SELECT 4, {_PLACE}, 0, '', rpad(field, 12, ' ') || lpad(errors::VARCHAR, 8, ' ') || lpad({_ONE('round(100.0 * (common - errors) / common, 4)')}, 8, ' ') || CASE WHEN errors = common THEN ' all wrong' ELSE '' END FROM errors, t
+UNION ALL SELECT 5, -sum(n) OVER (PARTITION BY field), -n, field || ' ' || shape, rpad(field, 12, ' ') || '[' || n || '] ' || shape FROM shapes)
+SELECT * FROM fixed_lines UNION ALL """
+
+
+@query(_REPORT + f"SELECT 6, doc_id, 0, ORD_NO || ' ' || field, {_SHOWN} FROM (SELECT * FROM diffs ORDER BY doc_id, ORD_NO, field LIMIT 10)")
+def compare_report(spark, d):
+    return T.compare_report(*_sides(spark, d))
+
+
+@query(_REPORT.replace("shapes AS (", "of_shape AS (SELECT *, " + _SHAPE.split("SELECT field, ", 1)[1].split(" AS shape", 1)[0] + " AS shape FROM diffs), shapes AS (", 1) + f"SELECT 6, {_PLACE}, -count(*) OVER (PARTITION BY field, shape), shape || ' ' || doc_id || ' ' || ORD_NO, {_SHOWN} FROM of_shape")
+def compare_report_full(spark, d):
+    return T.compare_report(*_sides(spark, d), full=True)
+
+
+@query(_FILES + ", t AS (SELECT count(*) AS n, sum(records) AS r, sum(verified) AS v, sum(mismatches) AS m, count(*) FILTER (agreed) AS g, count(DISTINCT mapping) AS k FROM files) SELECT 1 AS section, doc_id AS a, 0::BIGINT AS b, '' AS c, doc_id || ': ' || records || ' records, ' || verified || ' verified, ' || mismatches || ' mismatches, headers agree: ' || CASE WHEN agreed THEN 'yes' ELSE 'no' END AS line FROM files UNION ALL SELECT 2, unnest([0, 1, 2, 3, 4, 5]), 0, '', unnest(['files: ' || n, 'records: ' || r, 'verified: ' || v || ' of ' || r, 'mismatches: ' || m, 'headers agree: ' || g || ' of ' || n, 'different mappings: ' || k]) FROM t")
+def batch_report(spark, d):
+    return T.batch_report(_files(spark, d))
+
+
+@query(SPANS + """, lines AS (SELECT doc_id, page, y, 'y=' || y || ' ' || substr(string_agg(text, ' ' ORDER BY x, text, span_seq), 1, 70) AS line FROM spans GROUP BY doc_id, page, y) SELECT doc_id, page, 'Texts of a page by height in points.' || chr(10) || string_agg(line, chr(10) ORDER BY y) || chr(10) || 'At which heights does the order table begin and end? Answer as JSON: {"top": 0, "bottom": 0}' AS prompt FROM lines GROUP BY doc_id, page""")
+def prompt_bounds(spark, d):
+    return Q.bounds_prompt(_spans(spark, d))
+
+
+def _broken(spark, d):
+    """Envelopes of the records, one JSON text a document, with faults by document number."""
+    i = F.col("doc_id")
+    rec = _rec(spark, d).withColumn("ORD_NO", F.when(i % 23 == 0, "").otherwise(F.col("ORD_NO")))
+    fields = [f for f in S.FIELDS if f != "PRICE"]
+    whole, short = (F.to_json(F.struct(*c), {"ignoreNullFields": "false"}) for c in (S.FIELDS, fields))
+    per = rec.select("doc_id", "rec_seq", F.when(i % 7 == 0, short).otherwise(whole).alias("row")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rec_seq", "row"))).alias("rows"))
+    n = F.size("rows")
+    data = F.when(i % 31 == 0, "").otherwise(F.array_join(F.transform("rows", lambda r: r["row"]), ","))
+    raw = F.concat(F.lit('{"success": true, "recordCount": '), (F.when(i % 31 == 0, 0).otherwise(n) + F.when(i % 29 == 0, 1).otherwise(0)).cast("string"), F.lit(', "data": ['), data, F.lit("]}"))
+    return per.select(i.cast("string").alias("file"), F.when(i % 37 == 0, "nothing").otherwise(raw).alias("raw"))
+
+
+@query(REC + """, r AS (SELECT * FROM rec WHERE doc_id % 31 <> 0 AND doc_id % 37 <> 0), d AS (SELECT DISTINCT doc_id FROM rec)
+SELECT doc_id::VARCHAR AS file, rec_seq AS row, 'no order number' AS problem FROM r WHERE doc_id % 23 = 0 UNION ALL SELECT doc_id::VARCHAR, rec_seq, 'no quantity' FROM r WHERE QTY IS NULL UNION ALL SELECT doc_id::VARCHAR, rec_seq, 'lacks PRICE' FROM r WHERE doc_id % 7 = 0
+UNION ALL SELECT doc_id::VARCHAR, NULL, 'no JSON' FROM d WHERE doc_id % 37 = 0 UNION ALL SELECT doc_id::VARCHAR, NULL, 'record count' FROM d WHERE doc_id % 29 = 0 AND doc_id % 37 <> 0 UNION ALL SELECT doc_id::VARCHAR, NULL, 'empty' FROM d WHERE doc_id % 31 = 0 AND doc_id % 37 <> 0""")
+def validate_envelopes(spark, d):
+    return R.validate_envelopes(_broken(spark, d))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanforge.functions.scalar import local_time
+
 #: Geometry of a page: columns' left edges, header words, places of data.
 LEFTS = (21, 66, 96, 232, 288, 349, 373, 429, 503, 556)
 DATA_X = (21, 66, 96, 232, 340, 350, 420, 497, 503, 565)
@@ -16,7 +18,7 @@ HEADER_Y, RULE_Y, FIRST_Y, PITCH, FOOTER_Y, PAGE_ROWS = 88, 94, 107, 25, 802, 20
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten text cells per order line: doc_id, rec_seq and CELLS."""
+    """Ten text cells per order line: doc_id, rec_seq and CELLS; order numbers of documents divisible by 17 have no leading 6."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size")
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
@@ -32,7 +34,7 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.when(kind == 0, day("yyyy/MM/dd")).when(kind == 1, day("yyyy-MM-dd")).when(kind == 2, day("yyyyMMdd")).when(kind == 3, roc).otherwise("soon")
     return rows.select(
         F.col("l_orderkey").alias("doc_id"), F.col("rec_seq").cast("int").alias("rec_seq"),
-        F.concat(F.lit("6"), letters, text(F.col("l_orderkey")), F.lit("-"), text(F.col("l_linenumber"))).alias("ord_no"),
+        F.concat(F.when(F.col("l_orderkey") % 17 == 0, "X").otherwise("6"), letters, text(F.col("l_orderkey")), F.lit("-"), text(F.col("l_linenumber"))).alias("ord_no"),
         F.concat(F.lit("P"), text(F.col("l_partkey"))).alias("part_no"),
         F.concat(F.when(F.col("l_partkey") % 3 == 1, "O").otherwise("0"), letters, F.lit(" "), F.coalesce("p_name", F.lit("")), F.lit("/("), F.when(F.col("l_partkey") % 4 == 1, "O").otherwise("0"), letters, F.lit(")")).alias("descr"),
         F.concat(text(F.coalesce("p_size", F.lit(0))), F.lit('"')).alias("width"),
@@ -76,17 +78,38 @@ def decode_documents(spark: SparkSession, path: str, decoder) -> DataFrame:
     return files.mapInPandas(run, "doc_id string, page int, span_seq int, y int, x int, text string")
 
 
-def page_bands(spark: SparkSession, path: str, renderer, bands: int) -> DataFrame:
-    """Base64 images of equal bands per page: renderer(bytes, bands) yields (page, band, image bytes)."""
+def list_documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
+    """path of each document of a folder, in order; a folder without any is an error."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    if files.isEmpty():
+        raise FileNotFoundError(f"no {pattern} in {folder}")
+    return files.orderBy("path")
+
+
+def band_edges(crop_top: float, crop_bottom: float, bands: int) -> list[tuple[float, float]]:
+    """Shares of a page's height at which equal bands between two crops begin and end."""
+    n = max(1, bands)
+    step = (crop_bottom - crop_top) / n
+    return [(crop_top + k * step, crop_top + (k + 1) * step) for k in range(n)]
+
+
+def page_bands(spark: SparkSession, path: str, renderer, bands: int, *, dpi: int = 150, crop_top: float = 0.0, crop_bottom: float = 1.0, max_pages: int = 0) -> DataFrame:
+    """Base64 images of equal bands per page, pages and bands from 1: renderer(bytes, dpi, edges)
+    yields for each page the list of its band images."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    edges = band_edges(crop_top, crop_bottom, bands)
 
     def run(frames):
         import base64
+        import itertools
 
         import pandas as pd
 
         for f in frames:
-            rows = [(p, page, band, base64.b64encode(img).decode()) for p, c in zip(f["path"], f["content"], strict=True) for page, band, img in renderer(c, bands)]
+            rows = []
+            for p, c in zip(f["path"], f["content"], strict=True):
+                for page, images in enumerate(itertools.islice(renderer(c, dpi, edges), max_pages or None), 1):
+                    rows += [(p, page, band, base64.b64encode(img).decode()) for band, img in enumerate(images, 1)]
             yield pd.DataFrame(rows, columns=["doc_id", "page", "band", "image"])
 
     return files.mapInPandas(run, "doc_id string, page int, band int, image string")
@@ -113,11 +136,22 @@ def spec_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
 
 
-def write_envelopes(records: DataFrame, path: str, key: str = "doc_id") -> None:
-    """One JSON envelope a document, with its record count and time; success only with records."""
+def envelope_texts(spark: SparkSession, path: str) -> DataFrame:
+    """file, raw: result envelopes as text, for records.validate_envelopes()."""
+    df = spark.read.option("pathGlobFilter", "result.*.json").text(path, wholetext=True)
+    return df.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("raw"))
+
+
+def envelopes(records: DataFrame, source: str, started: str, elapsed: float, key: str = "doc_id") -> DataFrame:
+    """key, success, recordCount, data, _meta: one envelope a document; success only with records.
+
+    started: a UTC timestamp; elapsed: seconds, kept to three places.
+    """
     data = records.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c for c in records.columns if c != key]))).alias("data"))
-    data.select(key, (F.size("data") > 0).alias("success"), F.size("data").alias("recordCount"), "data", F.struct(F.current_timestamp().alias("written")).alias("_meta")).write.mode("overwrite").json(path)
+    meta = F.struct(F.lit(source).alias("source"), local_time(F.lit(started)).alias("startedAt"), local_time(F.current_timestamp()).alias("generatedAt"), F.lit(round(elapsed, 3)).alias("elapsedSec"))
+    return data.select(key, (F.size("data") > 0).alias("success"), F.size("data").alias("recordCount"), "data", meta.alias("_meta"))
 
 
-def write_report(lines: DataFrame, path: str) -> None:
-    lines.select(F.col(lines.columns[0]).cast("string")).write.mode("errorifexists").text(path)
+def write_envelopes(records: DataFrame, path: str, source: str, started: str, elapsed: float, key: str = "doc_id") -> None:
+    """Envelopes as JSON, replaced by each run."""
+    envelopes(records, source, started, elapsed, key).write.mode("overwrite").json(path)
