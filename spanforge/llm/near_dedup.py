@@ -9,10 +9,14 @@ alternating stars.
 No group is expanded into its pairs.  Bands of up to ``SMALL`` nodes give only the pairs
 whose signatures agree enough, each at the first band the two share.  Larger bands are cut
 into blocks: inside a block all similarities come from one product of incidence matrices,
-and only a spanning forest of its links leaves the task.  Blocks of different classes are
-then compared the same way until no band holds an unchecked pair of different classes;
-members that are already connected are not compared again, so a huge group of copies costs
-in proportion to its size.
+and only a spanning forest of its links leaves the task.  Members of bands that then still
+hold several classes are held against each other by prefixes: shingles of more than ``RARE``
+of these members come last in order, and of two sets that reach the limit the smallest common
+shingle stands among the first ones of both, so only members that share such a shingle are
+verified.  What very many texts have in common (a template, a passage) thus pairs nobody, and
+what is left over are sets made almost only of common shingles; these alone are compared
+block by block.  Members that are already connected are not compared again, so a huge group
+of copies costs in proportion to its size.
 
 Defined results: a null or blank text has an empty set, is linked with nothing and kept;
 repeated rows have equal sets and share a component; rows with the same id are one document,
@@ -29,6 +33,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.llm.bytetext import Bytes, mix, shingles, slices, tidy
@@ -40,6 +45,7 @@ HASHES, ROWS = 128, 4
 PERCENT = 85
 SMALL = 32
 BLOCK = 256
+RARE = 64
 BROADCAST_IDS = 1_000_000
 
 
@@ -159,20 +165,22 @@ def _pairs(t: pa.Table, least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([cat(found_a), cat(found_b)], names=["a", "b"])
 
 
-def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def exact_links(pairs: DataFrame, sets: DataFrame, percent: int, sets_of: Callable | None = None) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = sets_of or stored_sets
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                keep = []
+                for p, q in zip(of(pa.chunked_array([part.column(2)])), of(pa.chunked_array([part.column(3)])), strict=True):
+                    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+                        keep.append(False)
+                        continue
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(p) + len(q) - both))
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     withs = pairs.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("ca")), "a").join(sets.select(F.col("node").alias("b"), F.col("codes").alias("cb")), "b")
     return withs.select("a", "b", "ca", "cb").mapInArrow(tidy(run), "a long, b long")
@@ -230,6 +238,63 @@ def block_links(blocks: DataFrame, percent: int, sets_of: Callable = stored_sets
     return blocks.groupBy("g1", "g2", "g3").applyInArrow(run, "a long, b long")
 
 
+def prefixes(nodes: DataFrame, sets: DataFrame, percent: int, sets_of: Callable) -> DataFrame:
+    """(node, grp, size, code, place, need): the first shingles of each node's set, those of at most RARE
+    nodes, in order of their hash; need of them decide whether it can reach the limit with another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                codes = sets_of(pa.chunked_array([part.column(2)]))
+                n = np.array([len(c) for c in codes], np.int64)
+                node, grp = (np.repeat(part.column(k).to_numpy(zero_copy_only=False), n) for k in (0, 1))
+                code = np.concatenate([*codes, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(grp), pa.array(np.repeat(n, n)), pa.array(code)], names=["node", "grp", "size", "code"])
+
+    every = written(nodes.join(sets, "node").select("node", "grp", "codes").mapInArrow(tidy(run), "node long, grp long, size long, code long"), "crowd")
+    common = written(every.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") > RARE).select("code"), "common")
+    rare = every.join(F.broadcast(common) if common.count() <= BROADCAST_IDS else common, "code", "left_anti")
+    place = F.row_number().over(W.partitionBy("node").orderBy("code"))
+    first = rare.select("*", place.alias("place"), F.expr(f"size * {100 - percent} div 100 + 1").alias("need")).where("place <= need")
+    first = written(first, "prefixes")
+    dropped(every, common)
+    return first
+
+
+def prefix_pairs(first: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different classes that share a shingle of their prefixes and are of fitting sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            codes = t.column(0).to_numpy()
+            cut = int(np.searchsorted(codes, codes[-1])) if len(codes) else 0  # sorted; the last code may go on
+            rest = t.slice(cut)
+            if cut:
+                yield found(t.slice(0, cut))
+        if rest is not None and rest.num_rows:
+            yield found(rest)
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        code, node, grp, size = (t.column(k).to_numpy() for k in range(4))
+        out = [np.zeros((2, 0), np.int64)]
+        for shift in range(1, RARE):
+            i = np.flatnonzero(code[shift:] == code[:-shift]) if shift < len(code) else []
+            if not len(i):
+                break
+            j = i + shift
+            fit = (grp[i] != grp[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+            x, y = node[i[fit]], node[j[fit]]
+            out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1))
+        pair = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+    dealt = first.repartition("code").sortWithinPartitions("code").select("code", "node", "grp", "size")
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
+
+
 def large_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int, sets_of: Callable = stored_sets) -> DataFrame:
     """Links of large bands, beyond those known.  members: (key, node, n); sets: (node, codes),
     where sets_of makes a list of distinct hashes from a column of codes.
@@ -239,13 +304,42 @@ def large_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent:
     first = members.select("node", F.col("key").alias("g1"), F.pmod(F.xxhash64("key", "node"), parts).alias("g2"), F.lit(0).cast("long").alias("g3"))
     inner = block_links(first.join(sets, "node").withColumn("grp", F.col("node")), percent, sets_of)
     links = written(links.unionByName(inner), "links")
-    # Then between blocks of bands that still hold several classes.
+    # Then by prefixes, over all bands that still hold several classes.
+    grouped = _by_class(members, links)
+    crowd = written(_mixed(grouped).select("node", "grp").distinct(), "mixed")
+    if crowd.isEmpty():
+        return links
+    prefix = prefixes(crowd, sets, percent, sets_of)
+    known = links
+    links = written(known.unionByName(exact_links(prefix_pairs(prefix, percent), sets, percent, sets_of)), "links")
+    # Then between blocks of those whose rare shingles are too few to tell.
+    left = written(crowd.select("node").join(prefix.where("place = need").select("node"), "node", "left_anti"), "left")
+    dropped(grouped, known, crowd, prefix)
+    if left.isEmpty():
+        return links
+    rest = members.join(F.broadcast(left) if left.count() <= BROADCAST_IDS else left, "node", "left_semi")
+    between = between_blocks(_by_class(rest, links), sets, percent, sets_of)
+    return links if between is None else written(links.unionByName(between), "links")
+
+
+def _by_class(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, node, grp): members with the class that the links give them."""
     comp = connected_components(links)
-    grouped = members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("grp"))
+    return written(members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("grp")), "grouped")
+
+
+def _mixed(grouped: DataFrame) -> DataFrame:
+    """Members of the bands that hold several classes."""
+    mixed = written(grouped.groupBy("key").agg(F.min("grp").alias("a"), F.max("grp").alias("z")).where("a <> z").select("key"), "mixed")
+    return grouped.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "key")
+
+
+def between_blocks(grouped: DataFrame, sets: DataFrame, percent: int, sets_of: Callable) -> DataFrame | None:
+    """Links between the classes of each band, block by block; null where no band holds several."""
     sizes = written(grouped.groupBy("key", "grp").agg(F.count("*").alias("m")), "groups")
     mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))).alias("rest")).where("classes > 1")
     if mixed.isEmpty():
-        return links
+        return None
     # A large class has blocks of its own, which need no comparison among themselves; small ones share blocks.
     alone = F.col("m") > BLOCK
     own = F.ceil(F.col("m") / BLOCK)
@@ -254,9 +348,8 @@ def large_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent:
         F.when(alone, own).otherwise(F.greatest(F.lit(1), F.ceil(F.col("rest") / BLOCK))).alias("parts"), alone.alias("alone"),
     )
     slots = written(slots, "slots")
-    slots = F.broadcast(slots) if slots.count() <= BROADCAST_IDS else slots
     placed = written(
-        grouped.join(slots, ["key", "grp"]).select("key", "node", "grp", "class", F.when(F.col("alone"), F.pmod(F.xxhash64("node"), "parts")).otherwise(F.pmod(F.xxhash64("grp"), "parts")).alias("part")),
+        grouped.join(F.broadcast(slots) if slots.count() <= BROADCAST_IDS else slots, ["key", "grp"]).select("key", "node", "grp", "class", F.when(F.col("alone"), F.pmod(F.xxhash64("node"), "parts")).otherwise(F.pmod(F.xxhash64("grp"), "parts")).alias("part")),
         "placed",
     )
     blocks = placed.groupBy("key", "class", "part").agg(F.count("*").alias("m"), F.countDistinct("grp").alias("kinds"))
@@ -268,9 +361,9 @@ def large_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent:
     sides = pairs.select("key", "b1", "b2", F.col("b1").alias("block")).unionByName(pairs.where("b1 <> b2").select("key", "b1", "b2", F.col("b2").alias("block")))
     rows = placed.withColumn("block", F.xxhash64(F.coalesce("class", F.lit(-1)), F.col("class").isNull(), "part")).join(sides, ["key", "block"])
     rows = rows.select("node", "grp", F.col("key").alias("g1"), F.col("b1").alias("g2"), F.col("b2").alias("g3")).join(sets, "node")
-    links = written(links.unionByName(block_links(rows, percent, sets_of)), "links")
+    found = written(block_links(rows, percent, sets_of), "between")
     dropped(sizes, slots, placed, blocks)
-    return links
+    return found
 
 
 def same_ids(rows: DataFrame) -> DataFrame | None:
