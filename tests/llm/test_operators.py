@@ -743,3 +743,40 @@ def test_a_conversation_over_many_ranges(spark):
         text = "".join(r.rendered for r in mine)
         roles = re.findall(r"<\|im_start\|>(\w+)", text)
         assert re.fullmatch("(system )?(user assistant )+", " ".join(roles) + " ")
+
+
+def brute_components(texts):
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        n = len(sets[a] & sets[b])
+        if sets[a] and 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_a_template_pairs_nobody(spark, monkeypatch):
+    """Many texts that share a template, a few true near copies among them, and mixtures of common passages."""
+    rng = random.Random(6)
+    common, texts = [f"c{i}" for i in range(96)], []
+    for i in range(300):
+        texts.append(" ".join([*common, *(f"u{i}_{k}" for k in range(24))]))
+    for i in range(0, 300, 25):
+        texts.append(texts[i].replace(f"u{i}_23", "changed"))
+    passages = [" ".join(f"p{j}_{k}" for k in range(20)) for j in range(12)]
+    for _ in range(200):
+        texts.append(" ".join(sorted(rng.sample(passages, 6))))
+    seen = []
+    own = near_dedup.block_links
+    monkeypatch.setattr(near_dedup, "block_links", lambda *a: seen.append(1) or own(*a))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(rows).collect()}
+    assert got == brute_components(texts) and len(set(got.values())) > 300
+    assert len(seen) >= 1
