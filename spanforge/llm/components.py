@@ -7,34 +7,36 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.storage import dropped, written
 
+BROADCAST_NODES = 1_000_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of all nodes in an edge; component is the smallest node reachable.
 
     Each round takes minima by node, combined before the shuffle, and joins them back.  Minima
-    are written before they are joined, so both sides of a join are plain shuffles: adaptive
-    execution can then split a node with very many edges, or broadcast small minima.  Rounds
-    end when the edges stay as they are.  Nulls and self-links are ignored; no edges give an
-    empty table.
+    are written first: up to BROADCAST_NODES of them are broadcast, so a node with very many
+    edges is no group at all; beyond that both sides of the join are plain shuffles, which
+    adaptive execution can split.  Rounds end when every edge leads from a leaf to the centre
+    of its star.  Nulls and self-links are ignored; no edges give an empty table.
     """
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    state = _state(e)
-    while state[0]:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
-        large = written(both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        large = both.join(_side(low), "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        nxt = written(small, "edges")
-        after = _state(nxt)
-        dropped(e, low, large, least)
-        e = nxt
-        if after == state:
-            break
-        state = after
+        small = large.join(_side(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        after = written(small, "edges")
+        dropped(e, low, least)
+        e = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _state(e: DataFrame) -> tuple:
-    row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _side(minima: DataFrame) -> DataFrame:
+    return F.broadcast(minima) if minima.count() <= BROADCAST_NODES else minima
+
+
+def _stars(e: DataFrame) -> bool:
+    """Has every node one edge to a smaller node, or else edges from larger ones alone?"""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
