@@ -97,7 +97,7 @@ SPANS = RAW + f""", body AS (
 fixed(span_seq, y, x, text, m) AS (VALUES {', '.join([f"({k}, {B.HEADER_Y}, {B.LEFTS[k]}, '{B.HEADERS[k]}', 13)" for k in range(10)] + [f"({20 + k}, {B.RULE_Y}, {B.LEFTS[k]}, '------', 11)" for k in range(10)] + [f"(40, {B.FOOTER_Y}, 21, '{'-' * 60}', 7)"])}),
 spans AS (
   {' UNION ALL '.join(f"SELECT doc_id, page, r * 10 + 100 + {k} AS span_seq, {B.FIRST_Y} + {B.PITCH} * r + {k % 2} AS y, {B.DATA_X[k]}{f' - length({B.CELLS[k]})' if k in B.RIGHT_ALIGNED else ''} AS x, {B.CELLS[k]} AS text FROM body" for k in range(10))}
-  UNION ALL SELECT doc_id, page, span_seq, y, x, text FROM (SELECT DISTINCT doc_id, page FROM body), fixed WHERE doc_id % m <> 0 AND NOT (doc_id % 13 = 0 AND m = 11)),
+  UNION ALL SELECT doc_id, page, span_seq, y, x, text FROM (SELECT DISTINCT doc_id, page FROM body), fixed WHERE (doc_id % m <> 0 OR (doc_id % 17 = 0 AND m = 11)) AND NOT (doc_id % 13 = 0 AND m = 11)),
 ruled AS (SELECT *, regexp_full_match(trim(text), '-{{4,}}') AS rule FROM spans),
 tops AS (SELECT doc_id, page, min(y) FILTER (text LIKE '6%') AS one, max(y) AS low FROM ruled GROUP BY ALL),
 often AS (SELECT doc_id, page, min(y) AS two FROM (SELECT doc_id, page, x, min(y) AS y FROM ruled WHERE NOT rule GROUP BY ALL HAVING count(*) >= 3) GROUP BY ALL),

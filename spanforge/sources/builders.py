@@ -49,7 +49,7 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spans(raw: DataFrame) -> DataFrame:
     """Positioned text: (doc_id, page, span_seq, y, x, text), blank text left out.
 
-    Documents divisible by 7 have no footer rule, by 11 no header rules, by 13 no header.
+    Documents divisible by 7 have no footer rule, by 11 but not by 17 no header rules, by 13 no header.
     """
     row = (F.col("rec_seq") - 1) % PAGE_ROWS
     page = (F.floor((F.col("rec_seq") - 1) / PAGE_ROWS) + 1).cast("int")
@@ -60,7 +60,7 @@ def spans(raw: DataFrame) -> DataFrame:
     pages = raw.select("doc_id", page.alias("page")).distinct()
     fixed = [(k, HEADER_Y, LEFTS[k], HEADERS[k], 13) for k in range(10)] + [(20 + k, RULE_Y, LEFTS[k], "------", 11) for k in range(10)] + [(40, FOOTER_Y, 21, "-" * 60, 7)]
     rows = F.array(*[F.struct(F.lit(s).alias("span_seq"), F.lit(y).alias("y"), F.lit(at).alias("x"), F.lit(t).alias("text"), F.lit(m).alias("m")) for s, y, at, t, m in fixed])
-    head = pages.select("doc_id", "page", F.inline(rows)).where((F.col("doc_id") % F.col("m") != 0) & ~((F.col("doc_id") % 13 == 0) & (F.col("m") == 11)))
+    head = pages.select("doc_id", "page", F.inline(rows)).where(((F.col("doc_id") % F.col("m") != 0) | ((F.col("doc_id") % 17 == 0) & (F.col("m") == 11))) & ~((F.col("doc_id") % 13 == 0) & (F.col("m") == 11)))
     return body.unionByName(head.drop("m")).where(F.trim("text") != "")
 
 
