@@ -6,8 +6,6 @@ would otherwise copy a column's whole expression into the lambda and run it per
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
