@@ -44,7 +44,7 @@ from spanforge.llm.storage import dropped, written
 HASHES, ROWS = 128, 4
 PERCENT = 85
 SMALL = 32
-BLOCK = 256
+BLOCK = 96
 RARE = 64
 BROADCAST_IDS = 1_000_000
 
@@ -187,7 +187,7 @@ def exact_links(pairs: DataFrame, sets: DataFrame, percent: int, sets_of: Callab
 
 
 def forest(node: np.ndarray, group: np.ndarray, codes: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members of different groups."""
+    """For the groups that links join, a star from the smallest member to one member of each."""
     m = len(node)
     size = np.array([len(c) for c in codes], np.float32)
     owner = np.repeat(np.arange(m), [len(c) for c in codes])
@@ -214,13 +214,14 @@ def forest(node: np.ndarray, group: np.ndarray, codes: list[np.ndarray], percent
     by_group: dict[int, int] = {}
     for i, g in enumerate(group.tolist()):  # a group is connected already
         root[find(i)] = find(by_group.setdefault(g, i))
-    out = []
+    before = [find(i) for i in range(m)]
     for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-        p, q = find(int(i)), find(int(j))
-        if p != q:
-            root[q] = p
-            out.append((int(node[i]), int(node[j])))
-    return out
+        root[find(int(j))] = find(int(i))
+    centre: dict[int, int] = {}
+    for i in np.argsort(node, kind="stable").tolist():
+        centre.setdefault(find(i), i)
+    one_of = {before[i]: i for i in range(m)}  # of each group before
+    return [(int(node[centre[find(i)]]), int(node[i])) for g, i in one_of.items() if g != before[centre[find(i)]]]
 
 
 def stored_sets(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -304,28 +305,29 @@ def large_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent:
     first = members.select("node", F.col("key").alias("g1"), F.pmod(F.xxhash64("key", "node"), parts).alias("g2"), F.lit(0).cast("long").alias("g3"))
     inner = block_links(first.join(sets, "node").withColumn("grp", F.col("node")), percent, sets_of)
     links = written(links.unionByName(inner), "links")
-    # Then by prefixes, over all bands that still hold several classes.
-    grouped = _by_class(members, links)
+    # Then by prefixes, over all bands that still hold several classes; classes go on as their stars.
+    grouped, stars = _by_class(members, links)
     crowd = written(_mixed(grouped).select("node", "grp").distinct(), "mixed")
     if crowd.isEmpty():
-        return links
+        return stars
     prefix = prefixes(crowd, sets, percent, sets_of)
-    known = links
-    links = written(known.unionByName(exact_links(prefix_pairs(prefix, percent), sets, percent, sets_of)), "links")
+    links = written(stars.unionByName(exact_links(prefix_pairs(prefix, percent), sets, percent, sets_of)), "links")
     # Then between blocks of those whose rare shingles are too few to tell.
     left = written(crowd.select("node").join(prefix.where("place = need").select("node"), "node", "left_anti"), "left")
-    dropped(grouped, known, crowd, prefix)
+    dropped(grouped, crowd, prefix)
     if left.isEmpty():
         return links
     rest = members.join(F.broadcast(left) if left.count() <= BROADCAST_IDS else left, "node", "left_semi")
-    between = between_blocks(_by_class(rest, links), sets, percent, sets_of)
-    return links if between is None else written(links.unionByName(between), "links")
+    grouped, stars = _by_class(rest, links)
+    between = between_blocks(grouped, sets, percent, sets_of)
+    return stars if between is None else written(stars.unionByName(between), "links")
 
 
-def _by_class(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, node, grp): members with the class that the links give them."""
+def _by_class(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, node, grp): members with the class that the links give them; and the classes as links (a, b)."""
     comp = connected_components(links)
-    return written(members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("grp")), "grouped")
+    grouped = written(members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("grp")), "grouped")
+    return grouped, comp.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b")
 
 
 def _mixed(grouped: DataFrame) -> DataFrame:
