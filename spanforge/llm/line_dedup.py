@@ -198,7 +198,7 @@ def fuzzy_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
         members = members.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "key")
         crowd = members.select(F.col("node").alias("line")).distinct()
         sets = texts.join(crowd, "line", "left_semi").select(F.col("line").alias("node"), F.col("content").alias("codes"))
-        links = large_links(members, sets, links, percent, _sets_of)
+        links = large_links(members, sets, links, percent, _sets_of, lambda two: verified(two, texts, percent))
     comp = connected_components(links)
     rows = written(line_rows(src).select("doc_id", "line_no", "line"), "lines")
     few = comp.count() <= BROADCAST_ROWS

@@ -13,7 +13,7 @@ and only a spanning forest of its links leaves the task.  Members of bands that
 hold several classes are held against each other by prefixes: shingles of more than ``RARE``
 of these members come last in order, and of two sets that reach the limit the smallest common
 shingle stands among the first ones of both, so only members that share such a shingle are
-verified.  What very many texts have in common (a template, a passage) thus pairs nobody, and
+verified (few blocks are simply all compared, which costs less).  What very many texts have in common (a template, a passage) thus pairs nobody, and
 what is left over are sets made almost only of common shingles; these alone are compared
 block by block.  Members that are already connected are not compared again, so a huge group
 of copies costs in proportion to its size.
@@ -45,6 +45,7 @@ HASHES, ROWS = 128, 4
 PERCENT = 85
 SMALL = 32
 BLOCK = 96
+FEW_PAIRS = 200_000
 RARE = 64
 BROADCAST_IDS = 1_000_000
 
@@ -296,10 +297,12 @@ def prefix_pairs(first: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def large_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int, sets_of: Callable = stored_sets) -> DataFrame:
+def large_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int, sets_of: Callable = stored_sets, exact: Callable | None = None) -> DataFrame:
     """Links of large bands, beyond those known.  members: (key, node, n); sets: (node, codes),
-    where sets_of makes a list of distinct hashes from a column of codes.
+    where sets_of makes a list of distinct hashes from a column of codes, and exact(pairs) tells the
+    similar ones among pairs of nodes.
     """
+    exact = exact or (lambda pairs: exact_links(pairs, sets, percent, sets_of))
     # First inside blocks, each band with a dealing of its own.
     parts = F.ceil(F.col("n") / BLOCK)
     first = members.select("node", F.col("key").alias("g1"), F.pmod(F.xxhash64("key", "node"), parts).alias("g2"), F.lit(0).cast("long").alias("g3"))
@@ -307,14 +310,20 @@ def large_links(members: DataFrame, sets: DataFrame, links: DataFrame, percent:
     links = written(links.unionByName(inner), "links")
     # Then by prefixes, over all bands that still hold several classes; classes go on as their stars.
     grouped, stars = _by_class(members, links)
-    crowd = written(_mixed(grouped).select("node", "grp").distinct(), "mixed")
-    if crowd.isEmpty():
+    mixed = written(_mixed(grouped), "mixed")
+    bands = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    work = bands.agg(F.sum(F.col("blocks") * F.col("blocks"))).first()[0]
+    if not work:
         return stars
+    if work <= FEW_PAIRS:  # comparing all blocks costs less than prefixes would
+        between = between_blocks(mixed, sets, percent, sets_of)
+        return stars if between is None else written(stars.unionByName(between), "links")
+    crowd = written(mixed.select("node", "grp").distinct(), "crowd")
     prefix = prefixes(crowd, sets, percent, sets_of)
-    links = written(stars.unionByName(exact_links(prefix_pairs(prefix, percent), sets, percent, sets_of)), "links")
+    links = written(stars.unionByName(exact(prefix_pairs(prefix, percent))), "links")
     # Then between blocks of those whose rare shingles are too few to tell.
     left = written(crowd.select("node").join(prefix.where("place = need").select("node"), "node", "left_anti"), "left")
-    dropped(grouped, crowd, prefix)
+    dropped(grouped, mixed, crowd, prefix)
     if left.isEmpty():
         return links
     rest = members.join(F.broadcast(left) if left.count() <= BROADCAST_IDS else left, "node", "left_semi")

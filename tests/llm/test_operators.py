@@ -773,10 +773,23 @@ def test_a_template_pairs_nobody(spark, monkeypatch):
     passages = [" ".join(f"p{j}_{k}" for k in range(20)) for j in range(12)]
     for _ in range(200):
         texts.append(" ".join(sorted(rng.sample(passages, 6))))
-    seen = []
-    own = near_dedup.block_links
-    monkeypatch.setattr(near_dedup, "block_links", lambda *a: seen.append(1) or own(*a))
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(rows).collect()}
-    assert got == brute_components(texts) and len(set(got.values())) > 300
-    assert len(seen) >= 1
+    rows, want = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), brute_components(texts)
+    assert len(set(want.values())) > 300
+    for bound in (0, 200_000):  # by prefixes, and by blocks alone
+        monkeypatch.setattr(near_dedup, "FEW_PAIRS", bound)
+        assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(rows).collect()} == want
+
+
+def test_lines_by_prefixes_and_by_blocks(spark, monkeypatch):
+    rng = random.Random(7)
+    lines = [f"the common part of all of these lines is rather long and says number {rng.randint(0, 10**9)} and {rng.randint(0, 10**9)}" for _ in range(150)]
+    lines += [x[:-1] + "#" for x in lines[::10]] + ["alone and unlike anything else in here"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    found = []
+    for bound in (0, 200_000):
+        monkeypatch.setattr(near_dedup, "FEW_PAIRS", bound)
+        found.append(sorted((r.doc_id, r.first_doc_id, r.kept) for r in line_dedup.fuzzy_lines(df).collect()))
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
+    same = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    want = linked(range(len(lines)), same)
+    assert found[0] == found[1] and {d: f for d, f, _ in found[0]} == {i: min(j for j in range(len(lines)) if want[j] == want[i]) for i in range(len(lines))}
