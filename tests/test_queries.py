@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from spanforge import queries as orders
@@ -51,3 +52,18 @@ def test_masked_orders_pass_their_audit(spark):
     rows = {r["column"]: r for r in orders.anonymize_audit(spark, SF).collect()}
     assert all(r["same_lengths"] for c, r in rows.items() if c in ("ord_no", "part_no", "qty", "price", "unit", "need_date"))
     assert all(r["leaks"] == 0 for r in rows.values())
+
+
+def test_audit_of_masks_moves_each_order_once(spark):
+    raw = orders._raw(spark, SF)
+    got, want = (sorted(map(tuple, df.collect())) for df in (orders.anonymize_audit(spark, SF), orders.N.audit(raw, orders.N.anonymize(raw), orders._AUDITED)))
+    assert got == want and len(got) == 10
+    plan = orders.anonymize_audit(spark, SF)._jdf.queryExecution().sparkPlan().toString() + orders.anonymize_audit(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") <= 5
+
+
+def test_rows_without_a_part_are_audited_as_in_sql(spark):
+    raw = orders._raw(spark, SF).withColumn("part_no", F.when(F.col("rec_seq") != 2, F.col("part_no")))
+    got = sorted(map(tuple, orders.N.audit_masks(raw, orders._AUDITED).collect()))
+    assert got == sorted(map(tuple, orders.N.audit(raw, orders.N.anonymize(raw), orders._AUDITED).collect()))
+    assert orders.N.anonymize(raw).where("part_no IS NULL").count() == 0
