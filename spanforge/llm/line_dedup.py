@@ -140,14 +140,15 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _sets_of(column: pa.ChunkedArray) -> list[np.ndarray]:
-    """The distinct shingles of each text."""
-    b = Bytes(column.combine_chunks())
-    owner, code = char_shingles(b, Spans(b.bounds[:-1], b.bounds[1:], np.arange(b.n), np.zeros(b.n, np.uint64)), WIDTH)
-    at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b.n))])
+    """The distinct shingles of each text; a slice of texts at a time, as lines may be long."""
     out = []
-    for i in range(b.n):
-        own = np.sort(code[at[i] : at[i + 1]])
-        out.append(own[np.append(True, own[1:] != own[:-1])[: len(own)]])
+    for part in slices([pa.record_batch([column.combine_chunks()], ["content"])], 0, _SLICE):
+        b = Bytes(part.column(0))
+        owner, code = char_shingles(b, Spans(b.bounds[:-1], b.bounds[1:], np.arange(b.n), np.zeros(b.n, np.uint64)), WIDTH)
+        at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b.n))])
+        for i in range(b.n):
+            own = np.sort(code[at[i] : at[i + 1]])
+            out.append(own[np.append(True, own[1:] != own[:-1])[: len(own)]])
     return out
 
 
@@ -155,14 +156,19 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose exact shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 128):
-                yield _verify(b.slice(at, 128), percent)
+        return _verified(batches, percent)
 
     two = pairs.join(texts.select(F.col("line").alias("a"), F.col("content").alias("ta")), "a").join(texts.select(F.col("line").alias("b"), F.col("content").alias("tb")), "b")
     return two.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
+def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Up to 128 pairs (a, b, ta, tb) at once, fewer where their texts are long."""
+    for part in slices(slices(batches, 2, _SLICE), 3, _SLICE):
+        for at in range(0, part.num_rows, 128):
+            yield _verify(part.slice(at, 128), percent)
+
+
 def _verify(b: pa.RecordBatch, percent: int) -> pa.RecordBatch:
     n = b.num_rows
     sides = []

@@ -793,3 +793,28 @@ def test_lines_by_prefixes_and_by_blocks(spark, monkeypatch):
     same = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
     want = linked(range(len(lines)), same)
     assert found[0] == found[1] and {d: f for d, f, _ in found[0]} == {i: min(j for j in range(len(lines)) if want[j] == want[i]) for i in range(len(lines))}
+
+
+def test_long_lines_need_memory_by_the_slice():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=40_000))
+    lines = [text[: 300 * i] + str(i) + text[300 * i :] for i in range(64)] + ["", "short", "äöü", "äöüäöüäöüä"]
+    pairs = pa.record_batch([pa.array(range(67)), pa.array(range(1, 68)), pa.array(lines[:-1]), pa.array(lines[1:])], ["a", "b", "ta", "tb"])
+    line_dedup._sets_of(pa.chunked_array([pa.array(lines[:1])]))
+    tracemalloc.start()
+    sets = line_dedup._sets_of(pa.chunked_array([pa.array(lines)]))
+    beside = tracemalloc.get_traced_memory()[1] - sum(x.nbytes for x in sets)
+    tracemalloc.reset_peak()
+    base = tracemalloc.get_traced_memory()[0]
+    found = [x for b in line_dedup._verified(iter([pairs]), 80) for x in b.column(0).to_pylist()]
+    pairwise = tracemalloc.get_traced_memory()[1] - base
+    tracemalloc.stop()
+    assert beside < 40e6 and pairwise < 40e6, (beside, pairwise)
+    assert [len(x) for x in sets] == [len({s[i : i + 8] for i in range(max(1, len(s) - 7))} - {""}) for s in lines]
+    both = [len(np.intersect1d(x, y)) for x, y in itertools.pairwise(sets)]
+    assert found == [k for k, n in enumerate(both) if 100 * n >= 80 * (len(sets[k]) + len(sets[k + 1]) - n)]
