@@ -11,6 +11,7 @@ from spanforge import schema as S
 from spanforge.functions import loose_json as J
 from spanforge.functions import scalar as C
 from spanforge.operators import anonymize as N
+from spanforge.operators import bulk as K
 from spanforge.operators import compare as A
 from spanforge.operators import layout as L
 from spanforge.operators import matching as M
@@ -635,7 +636,7 @@ q AS (SELECT p.*, t, numeric < 1.0 AND dated < 0.5 AND inches < 0.5 AS is_text,
 y AS (SELECT *, CASE WHEN swap THEN t[2] ELSE t[1] END AS qc, CASE WHEN swap THEN t[1] ELSE t[2] END AS rc, t[3] AS kc, arg_max(CASE WHEN is_text THEN col_idx END, CASE WHEN is_text THEN mean_length * 1000 - col_idx END) OVER w AS longest, min(CASE WHEN is_text AND kinds = n THEN col_idx END) OVER w AS first_key FROM q WINDOW w AS (PARTITION BY doc_id))
 SELECT doc_id, col_idx, CASE WHEN col_idx = kc THEN NULL WHEN col_idx = qc THEN 'QTY' WHEN col_idx = rc THEN 'PRICE' WHEN dated >= 0.5 THEN 'NEED_DATE' WHEN inches >= 0.5 THEN 'WIDE' WHEN col_idx = longest THEN 'MATM_DESC' WHEN col_idx = first_key THEN 'ORD_NO' WHEN max_length <= 3 AND kinds * 2 <= n THEN 'UNIT' END AS field FROM y""")
 def classify_columns(spark, d):
-    return M.classify_columns(L.grid(_page_spans(spark, d)))
+    return K.classify_columns(_raw(spark, d).where("doc_id IS NOT NULL"), B.row_spans)
 
 
 def _extracted(cells: str) -> str:
