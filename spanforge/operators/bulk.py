@@ -34,7 +34,8 @@ def contiguous(spans: DataFrame) -> DataFrame:
     """Spans one a row (doc_id, page, span_seq, y, x, text), or some of a page in an array s, dealt by
     document, for arrays()."""
     if "s" not in spans.columns:
-        spans = spans.select("doc_id", "page", F.array(F.struct("y", "x", "text", "span_seq")).alias("s"))
+        rest = [c for c in spans.columns if c not in ("doc_id", "page", "y", "x", "text", "span_seq")]
+        spans = spans.select("doc_id", "page", *rest, F.array(F.struct("y", "x", "text", "span_seq")).alias("s"))
     return spans.where("doc_id IS NOT NULL").repartition("doc_id").sortWithinPartitions("doc_id")
 
 
@@ -343,3 +344,54 @@ def _schema(rows: DataFrame, rest: str) -> str:
 def classify_columns(rows: DataFrame, read: Callable[[pa.Table], Spans] = arrays, tolerance: float = 0.5) -> DataFrame:
     """matching.classify_columns over the grid of these spans, in one pass."""
     return _map(rows, lambda t: _classified(t, read, tolerance), _schema(rows, "col_idx int, field string"))
+
+
+def _pages(table: pa.Table, read: Callable[[pa.Table], Spans]) -> pa.Table:
+    g = grid(table, read)
+    at = np.flatnonzero(g.columns >= 0)
+    return pa.table({"doc_id": _one(table["doc_id"]).take(pa.array(g.first_row[g.page_doc[at]])), "page": pa.array(g.page_no[at].astype(np.int32)), "n": pa.array(g.columns[at].astype(np.int32))})
+
+
+def page_columns(rows: DataFrame, read: Callable[[pa.Table], Spans] = arrays) -> DataFrame:
+    """doc_id, page, n: the number of columns of each page that holds a table."""
+    return _map(rows, lambda t: _pages(t, read), _schema(rows, "page int, n int"))
+
+
+def _modal(g: Grid) -> np.ndarray:
+    """Of each document: the commonest column count above 0, of equals the one seen first; else 0."""
+    at = np.flatnonzero(g.columns > 0)
+    at = at[_order(g.page_doc[at], g.columns[at], g.page_no[at])]
+    begin = np.flatnonzero(_begins(g.page_doc[at], g.columns[at]))
+    size, at = np.diff(np.append(begin, len(at))), at[begin]
+    at = at[_order(g.page_doc[at], -size, g.page_no[at])]
+    at = at[_begins(g.page_doc[at])]
+    out = np.zeros(len(g.first_row), np.int64)
+    out[g.page_doc[at]] = g.columns[at]
+    return out
+
+
+def _mapped(table: pa.Table, read: Callable[[pa.Table], Spans]) -> pa.Table:
+    g = grid(table, read)
+    mapping = _one(table["mapping"]).take(pa.array(g.first_row))
+    wanted = pc.list_value_length(mapping).to_numpy(zero_copy_only=False)
+    fields = pc.fill_null(pc.index_in(mapping.flatten(), pa.array(S.IMPORTED)), -1).to_numpy(zero_copy_only=False)
+    fits = (g.columns == wanted[g.page_doc]) & (_modal(g) == wanted)[g.page_doc]
+    at = np.flatnonzero(fits[g.page])
+    field = fields[(np.cumsum(wanted) - wanted)[g.page_doc[g.page[at]]] + g.col[at]]
+    at, field = at[field >= 0], field[field >= 0]
+    new = _begins(g.page[at], g.row[at])
+    row, first = np.cumsum(new) - 1, at[new]
+    cell = np.full((len(S.IMPORTED), len(first)), -1)
+    cell[field, row] = at
+    told = cell[S.IMPORTED.index("ORD_NO")] >= 0
+    cell, first = cell[:, told], first[told]
+    page = g.page[first]
+    key = {"doc_id": _one(table["doc_id"]).take(pa.array(g.first_row[g.page_doc[page]])), "page": pa.array(g.page_no[page].astype(np.int32)), "row_idx": pa.array(g.row[first].astype(np.int32))}
+    return pa.table(key | {f: g.value.take(pa.array(c, mask=c < 0)) for f, c in zip(S.IMPORTED, cell, strict=True)})
+
+
+def mapped_rows(rows: DataFrame, read: Callable[[pa.Table], Spans] = arrays) -> DataFrame:
+    """doc_id, page, row_idx and the text of each imported field: the rows with an order number of the
+    pages whose column count is both their document's commonest and the length of its mapping, which is
+    in each of its rows and names no field twice."""
+    return _map(rows, lambda t: _mapped(t, read), _schema(rows, "page int, row_idx int, " + ", ".join(f"{f} string" for f in S.IMPORTED)))

@@ -136,10 +136,6 @@ def _spans(spark, d):
     return B.spans(_raw(spark, d))
 
 
-def _page_spans(spark, d):
-    return B.page_spans(_raw(spark, d))
-
-
 def _sides(spark, d):
     rec = _rec(spark, d)
     i = F.col("doc_id")
@@ -664,7 +660,7 @@ def extract_by_proposal(spark, d):
 
     answer = json.dumps({"mapping": _GOOD})
     answers = _raw(spark, d).select("doc_id").distinct().select("doc_id", F.lit(0).alias("run"), F.lit(answer).alias("raw"))
-    return by_proposal(_page_spans(spark, d), answers)["records"]
+    return by_proposal(_raw(spark, d), answers, B.row_spans)["records"]
 
 
 @query(SPANS + ", marked AS (SELECT *, row_number() OVER w AS k, x IS DISTINCT FROM lag(x) OVER w AS begins FROM spans WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, x, text, span_seq)), numbered AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id, page ORDER BY k) - 1 AS run FROM marked) SELECT doc_id, page, run::INT AS run, any_value(x)::INT AS x, substr(string_agg(text, ' ' ORDER BY k), 1, 34) AS line FROM numbered GROUP BY doc_id, page, run")

@@ -65,3 +65,27 @@ def test_rows_of_an_order_lie_together_by_a_shuffled_join(spark, monkeypatch):
     shuffled = B.raw_orders(spark, SF)
     assert kept(got) and kept(shuffled)
     same(got, shuffled)
+
+
+GOOD = '{"mapping": ["ORD_NO","料號","MATM_DESC","WIDE","QTY","UNIT","PRICE",null,"NEED_DATE","NEED_CUST"]}'
+
+
+def test_proposals_agree_as_by_parse_and_vote(spark):
+    short, bad, odd, twice = '{"mapping": ["ORD_NO", " n/a ", "QTY"]}', "no", '{"mapping": ["ORD_NO", "what"]}', '{"mapping": ["QTY", "數量"]}'
+    said = {1: [GOOD] * 3, 2: [GOOD, GOOD, short], 3: [GOOD, bad], 4: [short], 5: [odd], 6: [twice], 7: [None], 8: ['{"mapping": null}'], 9: [GOOD, GOOD.replace('"UNIT"', "null")]}
+    rows = spark.createDataFrame([(d, i, r) for d, raws in said.items() for i, r in enumerate(raws)], "doc_id long, run int, raw string")
+    assert {r.doc_id: len(r.mapping) for r in M.agreed(rows).collect()} == {1: 10, 4: 3}
+    errors = {(r.doc_id, r.run): r.error for r in rows.select("doc_id", "run", M.parse_mapping(F.col("raw"), F.lit(10))["error"].alias("error")).collect()}
+    assert errors[(1, 0)] is None and [errors[(d, 0)] for d in (3, 4, 5, 6, 7, 8)] == [None, "length", "length", "length", "no JSON", "no mapping"] and errors[(3, 1)] == "no JSON"
+    free = {r.doc_id: r.error for r in rows.where("run = 0").select("doc_id", M.parse_mapping(F.col("raw"), None)["error"].alias("error")).collect()}
+    assert free[5] == "unknown field" and free[6] == "duplicate"
+
+
+def test_columns_of_odd_pages_are_counted_alike(small_batches, odd):
+    same(K.page_columns(K.contiguous(odd)), L.tables(odd).select("doc_id", "page", F.size("lefts")))
+
+
+def test_proposals_are_applied_in_one_pass(spark):
+    df = orders.extract_by_proposal(spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 2  # order rows, and their numbers for the answers
